@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import unicodedata
 
@@ -69,8 +70,6 @@ def checked_profile(profile):
         raise VectorError("preprocessing.config must be an object")
     _no_credentials(steps["config"])
     try:
-        import json
-
         return json.loads(canonical_json(profile))
     except (TypeError, ValueError) as error:
         raise VectorError("profile is not plain JSON") from error

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, Window, functions as F
 
 from excerpta.errors import VectorError
 from excerpta.functions import vectors as vec
@@ -39,10 +42,6 @@ def embed(missing: DataFrame, profile, embedder) -> DataFrame:
     dimensions = profile["dimensions"]
 
     def run(frames):
-        import math
-
-        import numpy as np
-
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start:start + batch_size]
@@ -213,8 +212,6 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, *, key: str, vector: s
         *groups, key, vec.cosine(F.col("_unit"), F.col(vector).cast("array<double>")).alias("score")
     )
     if groups:
-        from pyspark.sql import Window
-
         window = Window.partitionBy(*groups).orderBy(F.desc("score"), key)
         return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     return scored.orderBy(F.desc("score"), key).limit(k)
