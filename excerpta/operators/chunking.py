@@ -20,6 +20,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that later filters and projections must not duplicate.
+
+    The optimizer substitutes a projected expression into every filter and projection above it;
+    it does not do so across a generator, and this one yields exactly one row per input row.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def _lines(source: Column, headings: bool) -> Column:
     """Non-blank numbered lines; a line beyond the limit becomes fixed-width pieces marked solo."""
 
@@ -152,7 +161,7 @@ def markdown_documents(sources: DataFrame) -> DataFrame:
     )
     stem = tx.clean_title(tx.file_stem("source_name"), tx.UNTITLED_DOCUMENT)
     hint = F.coalesce(F.col("title_hint"), F.lit(""))
-    packed = sources.withColumn("_packed", pack(F.col("content_text"), headings=True))
+    packed = once(sources, "_packed", pack(F.col("content_text"), headings=True))
     if "source_sha256" not in packed.columns:
         packed = packed.withColumn("source_sha256", digest)
     if "byte_size" not in packed.columns:
@@ -207,7 +216,7 @@ def pdf_documents(sources: DataFrame) -> DataFrame:
     stem = tx.clean_title(tx.file_stem("source_name"), tx.UNTITLED_DOCUMENT)
     visible = F.aggregate("units", F.lit(0), lambda total, unit: total + tx.visible_chars(unit))
     return (
-        sources.withColumn("chunks", numbered)
+        once(sources, "chunks", numbered)
         .withColumn("title_hint", F.lit(""))
         .withColumn("document_id", identity.document_id("source_name", "source_sha256"))
         .withColumn("asset_id", identity.asset_id("source_name", "source_sha256"))
@@ -244,9 +253,8 @@ def chunk_pages(pages: DataFrame, key: str, page: str, column: str) -> DataFrame
     Each page is packed where it lies. Only page sizes are shuffled to number the chunks through a
     document, and a document of any length is numbered block by block (see ``running_offset``).
     """
-    sized = pages.select(
-        key, F.col(page).alias("_page"), pack(F.col(column), headings=False)["pieces"].alias("_pieces")
-    ).withColumn("_n", F.size("_pieces"))
+    paged = pages.select(key, F.col(page).alias("_page"), F.col(column).alias("_text"))
+    sized = once(paged, "_pieces", pack(F.col("_text"), headings=False)["pieces"]).withColumn("_n", F.size("_pieces"))
     offsets = running_offset(sized.select(key, "_page", "_n"), key, "_page", "_n")
     placed = sized.join(offsets, [key, "_page"])
     return placed.select(

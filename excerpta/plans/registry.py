@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from excerpta.plans import ingest, search
+from excerpta.plans import ingest, search, versions
 
-MODULES = (search, ingest)
+MODULES = (search, ingest, versions)
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

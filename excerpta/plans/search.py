@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from excerpta.functions import query as q, text as tx
-from excerpta.operators import bm25, navigation
+from excerpta.operators import bm25, chunking
 from excerpta.plans import inputs as io
 
 OR_QUERY = "Where is the attion, eriner and thanedble?"
@@ -55,11 +55,16 @@ def within_source(spark, sf):
 
 def chunk_evidence(spark, sf):
     """The search tool: best chunks with anchors and a bounded excerpt."""
-    scored = bm25.score_scan(io.chunks(spark, sf), CHUNK_QUERY, key="chunk_id", text="chunk_text")
-    # At most ten rows, so the join back to the chunks broadcasts a proven bound.
+    files = io.files(spark, sf)
+    made = chunking.explode_chunks(chunking.markdown_documents(files), "doc_id")
+    keyed = made.select("chunk_text", F.struct("chunk_id", "doc_id").alias("key"))
+    scored = bm25.score_scan(keyed, CHUNK_QUERY, key="key", text="chunk_text").select("key.*", "score")
+    # At most five rows, so both joins broadcast a proven bound; only the files of the hits are
+    # chunked again for their text.
     best = F.broadcast(bm25.top_k(scored, 5, key="chunk_id"))
-    found = io.chunks(spark, sf, "source_name").join(best, "chunk_id")
-    return found.select(
+    hit_files = files.join(best.select("doc_id"), "doc_id", "left_semi")
+    found = chunking.explode_chunks(chunking.markdown_documents(hit_files), "source_name")
+    return found.join(best.drop("doc_id"), "chunk_id").select(
         "chunk_id",
         "document_id",
         "source_name",
