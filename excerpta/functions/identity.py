@@ -112,7 +112,11 @@ def corpus_digest(members: DataFrame, *keys: str, leaf_members: int = LEAF_MEMBE
         depth = F.when(F.col("members") > leaf_members * 256 ** (digits // 2 - 1), digits).otherwise(depth)
     sizes = sizes.withColumn("_depth", depth)
     # One row per library: at most a few rows, joined without a hint so Catalyst checks the size.
-    placed = leaves.join(sizes, keys) if keys else leaves.crossJoin(sizes)
+    if keys:
+        placed = leaves.join(sizes, keys)
+    else:
+        size = sizes.select(F.struct("members", "_depth").alias("_size")).scalar()
+        placed = leaves.withColumn("_size", size).select("*", "_size.*")
     node = F.when(F.col("_depth") == 0, F.lit("")).otherwise(F.expr("substring(document_id, 5, _depth)"))
     listing = F.array_sort(F.collect_list(F.struct("document_id", "_entry")))
     nodes = placed.groupBy(*keys, "members", node.alias("_node")).agg(

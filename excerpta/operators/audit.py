@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from excerpta.functions import identity, text as tx
+from excerpta.operators.members import lineage_faults
 from excerpta.operators.chunking import markdown_anchor, pdf_anchor
 
 
@@ -29,12 +30,32 @@ def _has_id(column, pattern) -> Column:
 
 
 def chunk_rules(chunks: DataFrame, assets: DataFrame, documents: DataFrame) -> DataFrame:
-    """Row rules of chunks: owner, ordinal, size, anchors, derived label and derived id."""
-    owned = (
-        chunks.join(assets.select("asset_id", F.col("document_id").alias("_owner"), "page_count"), "asset_id", "left")
-        .join(documents.select("document_id", "media_type"), "document_id", "left")
-        # One asset is one imported file, so this window is bounded by that file.
-        .withColumn("_expected", F.row_number().over(Window.partitionBy("asset_id").orderBy("ordinal", "chunk_id")))
+    """Row rules of chunks: owner, ordinal, size, anchors, derived label and derived id.
+
+    Everything that needs the text is decided where the row lies; only flags and anchors are
+    shuffled, once, by asset.
+    """
+    markdown_label = markdown_anchor(F.col("source_line_start"), F.col("source_line_end"), F.col("heading_path"))
+    local = chunks.select(
+        "chunk_id", "document_id", "asset_id", "ordinal",
+        "pdf_page_start", "pdf_page_end", "source_line_start", "source_line_end",
+        (F.coalesce(tx.strip("chunk_text"), F.lit("")) == "").alias("_blank"),
+        (F.length("chunk_text") > tx.MAX_CHUNK_CHARS).alias("_long"),
+        (F.col("heading_path").isNull() | F.exists("heading_path", lambda h: h.isNull())).alias("_path_bad"),
+        (F.size("heading_path") == 0).alias("_path_empty"),
+        F.col("anchor_label").eqNullSafe(markdown_label).alias("_markdown_label"),
+        F.col("anchor_label").eqNullSafe(pdf_anchor(F.col("pdf_page_start"))).alias("_pdf_label"),
+        F.col("chunk_id")
+        .eqNullSafe(identity.chunk_id("document_id", "ordinal", "anchor_label", "chunk_text"))
+        .alias("_id_ok"),
+        (F.col("fulltext_verified") | F.col("formula_verified")).alias("_promoted"),
+    )
+    owners = assets.select("asset_id", F.col("document_id").alias("_owner"), "page_count").join(
+        documents.select(F.col("document_id").alias("_owner"), "media_type"), "_owner", "left"
+    )
+    # One asset is one imported file, so this window is bounded by that file.
+    owned = local.join(owners, "asset_id", "left").withColumn(
+        "_expected", F.row_number().over(Window.partitionBy("asset_id").orderBy("ordinal", "chunk_id"))
     )
     markdown = F.col("media_type") == "text/markdown"
     pdf = F.col("media_type") == "application/pdf"
@@ -51,26 +72,22 @@ def chunk_rules(chunks: DataFrame, assets: DataFrame, documents: DataFrame) -> D
     )
     anchors = (
         F.when(markdown, no_pages & lines_ok)
-        .when(pdf, no_lines & pages_ok & (F.size("heading_path") == 0))
+        .when(pdf, no_lines & pages_ok & F.col("_path_empty"))
         .otherwise(False)
     )
-    label = F.when(
-        markdown, markdown_anchor(F.col("source_line_start"), F.col("source_line_end"), F.col("heading_path"))
-    ).when(pdf, pdf_anchor(F.col("pdf_page_start")))
-    derived = identity.chunk_id("document_id", "ordinal", "anchor_label", "chunk_text")
-    size = F.length("chunk_text")
+    label_ok = F.when(markdown, F.col("_markdown_label")).when(pdf, F.col("_pdf_label")).otherwise(False)
     return _sum_up(
         owned,
         {
             "chunk_owner_differs": ~F.col("document_id").eqNullSafe(F.col("_owner")),
             "chunk_ordinal_gap": ~F.col("ordinal").eqNullSafe(F.col("_expected")),
-            "chunk_blank": F.coalesce(tx.strip("chunk_text"), F.lit("")) == "",
-            "chunk_too_long": size > tx.MAX_CHUNK_CHARS,
-            "chunk_heading_path_invalid": F.col("heading_path").isNull() | F.exists("heading_path", lambda h: h.isNull()),
+            "chunk_blank": F.col("_blank"),
+            "chunk_too_long": F.col("_long"),
+            "chunk_heading_path_invalid": F.col("_path_bad"),
             "chunk_anchor_range": ~anchors,
-            "chunk_anchor_label": ~F.col("anchor_label").eqNullSafe(label),
-            "chunk_id_forged": ~F.col("chunk_id").eqNullSafe(derived),
-            "chunk_promoted": F.col("fulltext_verified") | F.col("formula_verified"),
+            "chunk_anchor_label": ~label_ok,
+            "chunk_id_forged": ~F.col("_id_ok"),
+            "chunk_promoted": F.col("_promoted"),
         },
     )
 
@@ -94,19 +111,40 @@ def document_rules(documents: DataFrame) -> DataFrame:
 
 
 def table_rules(documents: DataFrame, assets: DataFrame, chunks: DataFrame) -> list[DataFrame]:
-    """Keys and references between the three tables."""
-
-    def repeated(frame, *key):
-        return frame.groupBy(*key).count().filter("count > 1")
-
+    """Keys and references between the three tables.
+
+    Each pair of tables is counted per shared key in one map-side combined aggregation, which
+    answers uniqueness and both directions of the reference at once.
+    """
+
+    def side_by_side(left, right, key):
+        both = left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+            right.select(key, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+        )
+        return both.groupBy(key).agg(F.sum("_l").alias("_left"), F.sum("_r").alias("_right"))
+
+    def tally(frame, **counts):
+        totals = frame.agg(
+            *(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name) for name, value in counts.items())
+        )
+        return totals.unpivot([], list(counts), "check", "violations")
+
+    left, right = F.col("_left"), F.col("_right")
+    repeated = F.when(left > 1, 1)
     return [
-        _count("document_repeated", repeated(documents, "document_id")),
-        _count("asset_repeated", repeated(assets, "asset_id")),
-        _count("chunk_repeated", repeated(chunks, "chunk_id")),
-        _count("asset_without_document", assets.join(documents, "document_id", "left_anti")),
-        _count("document_without_asset", documents.join(assets, "document_id", "left_anti")),
-        _count("chunk_without_asset", chunks.join(assets, "asset_id", "left_anti")),
-        _count("asset_without_chunk", assets.join(chunks, "asset_id", "left_anti")),
+        tally(
+            side_by_side(documents, assets, "document_id"),
+            document_repeated=repeated,
+            asset_without_document=F.when(left == 0, right),
+            document_without_asset=F.when(right == 0, left),
+        ),
+        tally(
+            side_by_side(assets, chunks, "asset_id"),
+            asset_repeated=repeated,
+            chunk_without_asset=F.when(left == 0, right),
+            asset_without_chunk=F.when(right == 0, left),
+        ),
+        _count("chunk_repeated", chunks.groupBy("chunk_id").count().filter("count > 1")),
     ]
 
 
@@ -185,12 +223,10 @@ def content_fingerprint(table: DataFrame) -> DataFrame:
 
 def catalog_rules(catalog: DataFrame, pointers: DataFrame) -> DataFrame:
     """Structure of a snapshot catalog: id format, uniqueness, digest, earlier base, both pointers."""
-    from excerpta.operators.members import lineage_faults
-
-    last = catalog.agg(F.max_by("snapshot_id", "position").alias("_last"))
+    last = catalog.agg(F.max_by("snapshot_id", "position")).scalar()
     current = pointers.select(F.col("current_snapshot_id").alias("snapshot_id"))
     unknown = current.filter(F.col("snapshot_id").isNotNull()).join(catalog, "snapshot_id", "left_anti")
-    wrong_last = pointers.crossJoin(last).filter(~F.col("last_successful_snapshot_id").eqNullSafe(F.col("_last")))
+    wrong_last = pointers.filter(~F.col("last_successful_snapshot_id").eqNullSafe(last))
     return _union(
         [
             _sum_up(

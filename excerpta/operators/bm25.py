@@ -70,20 +70,27 @@ def score_scan(corpus: DataFrame, query: str, *, key: str, text: str, groups=())
         *(F.sum(F.when(F.col(name) > 0, 1).otherwise(0)).alias(f"_n{name}") for name in distinct.values()),
     )
     hits = merged.filter(matched & (F.col("_rows") > 0))
-    joined = hits.join(stats, groups) if groups else hits.crossJoin(stats)
     total = reduce(
         lambda left, right: left + right,
         (
             contribution(
                 F.col(distinct[tuple(phrase)]),
                 F.col("_len"),
-                F.col("_average"),
-                idf(F.col("_total"), F.col(f"_n{distinct[tuple(phrase)]}")),
+                F.col("_s._average"),
+                idf(F.col("_s._total"), F.col(f"_s._n{distinct[tuple(phrase)]}")),
             )
             for phrase in phrases
         ),
     )
-    return joined.select(*groups, F.col("_key").alias(key), (-total).alias("score"))
+    return with_stats(hits, stats, groups).select(*groups, F.col("_key").alias(key), (-total).alias("score"))
+
+
+def with_stats(rows: DataFrame, stats: DataFrame, groups) -> DataFrame:
+    """Attach corpus statistics as struct ``_s``: a scalar for one corpus, an equi-join for several."""
+    packed = F.struct(*(name for name in stats.columns if name not in groups)).alias("_s")
+    if groups:
+        return rows.join(stats.select(*groups, packed), list(groups))
+    return rows.withColumn("_s", stats.select(packed).scalar())
 
 
 def top_k(scored: DataFrame, k: int, *, key: str, groups=()) -> DataFrame:
@@ -141,12 +148,12 @@ def score_postings(
     )
     counts = single.unionByName(several).groupBy(*by).agg(F.count("*").alias("_f"))
     matching = counts.groupBy(*groups, query_id, "phrase").agg(F.count("*").alias("_n"))
-    weights = (matching.join(stats, groups) if groups else matching.crossJoin(stats)).select(
+    weights = with_stats(matching, stats, groups).select(
         *groups,
         query_id,
         "phrase",
-        (F.col("tokens") / F.col("rows")).alias("_average"),
-        idf(F.col("rows"), F.col("_n")).alias("_idf"),
+        (F.col("_s.tokens") / F.col("_s.rows")).alias("_average"),
+        idf(F.col("_s.rows"), F.col("_n")).alias("_idf"),
     )
     # No hint on the weights: one row per query phrase, and Catalyst checks the size at run time.
     parts = (

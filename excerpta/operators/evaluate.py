@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from excerpta.functions import text as tx
+from excerpta.session import small_side
+
 LIMITED = "observational_known_limitation"
 
 
@@ -94,3 +97,44 @@ def metrics(judged: DataFrame, *keys: str) -> DataFrame:
         ratio(F.col("_trace_ok"), F.col("_traced")).alias("traceability_coverage"),
         "contract_passed_case_count",
     )
+
+
+def scoped_targets(cases: DataFrame, chunks: DataFrame, *keys: str) -> DataFrame:
+    """Per case the smallest chunk of its expected document that contains the marker.
+
+    ``cases(case_id, document_id, marker)``; the join is on the document, so each case only meets
+    the chunks of one file.
+    """
+    joined = cases.join(chunks.select(*keys, "document_id", "chunk_id", "chunk_text"), [*keys, "document_id"])
+    hits = joined.filter(F.col("chunk_text").contains(F.col("marker")))
+    return hits.groupBy("case_id").agg(F.min("chunk_id").alias("target_chunk_id"))
+
+
+def find_markers(items: DataFrame, docs: DataFrame, *, item: str, marker: str, key: str, text: str) -> DataFrame:
+    """``(item, key)``: the smallest ``key`` whose text contains the item's marker.
+
+    A text that contains the marker also contains each inner word of it, so candidates come from an
+    equi-join on the marker's rarest inner word, and only they are compared. A marker therefore
+    needs three words; a shorter one is refused.
+    """
+    words = items.select(item, tx.index_tokens(marker).alias("_w"))
+    inner = F.when(F.size("_w") > 2, F.slice("_w", F.lit(2), F.size("_w") - 2)).otherwise(
+        F.raise_error(F.lit("a marker needs at least three words")).cast("array<string>")
+    )
+    anchored = words.select(item, F.explode(F.array_distinct(inner)).alias("term"))
+    vocabulary = docs.select(key, F.explode(F.array_distinct(tx.index_tokens(text))).alias("term"))
+    postings = vocabulary.join(small_side(anchored.select("term").distinct()), "term")
+    frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
+    rarest = (
+        anchored.join(frequency, "term")
+        .groupBy(item)
+        .agg(F.min_by("term", F.struct("_df", "term")).alias("term"))
+    )
+    candidates = rarest.join(postings, "term").select(item, key)
+    return (
+        candidates.join(items.select(item, marker), item)
+        .join(docs.select(key, text), key)
+        .filter(F.col(text).contains(F.col(marker)))
+        .groupBy(item)
+        .agg(F.min(key).alias(key))
+    )

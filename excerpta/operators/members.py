@@ -128,7 +128,11 @@ def snapshot_listing(catalog: DataFrame, pointers: DataFrame, *keys: str) -> Dat
     """Newest first, with the flags of the two pointers."""
     keys = list(keys)
     newest = Window.partitionBy(*keys).orderBy(F.col("position").desc())
-    joined = catalog.join(pointers, keys, "left") if keys else catalog.crossJoin(pointers)
+    if keys:
+        joined = catalog.join(pointers, keys, "left")
+    else:
+        both = F.struct("current_snapshot_id", "last_successful_snapshot_id").alias("_p")
+        joined = catalog.withColumn("_p", pointers.select(both).scalar()).select("*", "_p.*")
     return joined.select(
         *keys,
         F.row_number().over(newest).alias("listed"),

@@ -202,13 +202,11 @@ def mapping_faults(chunks: DataFrame, mapping: DataFrame, stored: DataFrame) ->
 def nearest(vectors: DataFrame, query: DataFrame, k: int, *, key: str, vector: str, query_vector: str, groups=()) -> DataFrame:
     """Exact cosine top ``k`` by (-score, key) for the one vector in ``query``.
 
-    The single query row is broadcast (``limit(1)`` proves the bound); every stored vector is read
-    once, and only the best ``k`` of each task leave it.
+    The query is a scalar; every stored vector is read once, and only the best ``k`` of each task
+    leave it.
     """
-    one = F.broadcast(
-        query.limit(1).select(vec.scaled_unit(F.col(query_vector).cast("array<double>")).alias("_unit"))
-    )
-    scored = vectors.crossJoin(one).select(
+    unit = query.limit(1).select(vec.scaled_unit(F.col(query_vector).cast("array<double>")).alias("_unit")).scalar()
+    scored = vectors.withColumn("_unit", unit).select(
         *groups, key, vec.cosine(F.col("_unit"), F.col(vector).cast("array<double>")).alias("score")
     )
     if groups:
