@@ -11,7 +11,7 @@ from excerpta.operators.members import lineage_faults
 from excerpta.operators.chunking import markdown_anchor, pdf_anchor
 
 
-def _count(name, frame) -> DataFrame:
+def count_rows(name, frame) -> DataFrame:
     return frame.agg(F.count("*").cast("long").alias("violations")).select(F.lit(name).alias("check"), "violations")
 
 
@@ -144,7 +144,7 @@ def table_rules(documents: DataFrame, assets: DataFrame, chunks: DataFrame) -> l
             chunk_without_asset=F.when(left == 0, right),
             asset_without_chunk=F.when(right == 0, left),
         ),
-        _count("chunk_repeated", chunks.groupBy("chunk_id").count().filter("count > 1")),
+        count_rows("chunk_repeated", chunks.groupBy("chunk_id").count().filter("count > 1")),
     ]
 
 
@@ -182,7 +182,7 @@ def manifest_rules(documents, assets, chunks, manifest_sources: DataFrame) -> li
     expected = manifest_sources.select("document_id", F.struct(*columns).alias("_expected"))
     both = actual.select("document_id", F.struct(*columns).alias("_actual")).join(expected, "document_id", "full_outer")
     return [
-        _count("manifest_source_differs", both.filter(~F.col("_actual").eqNullSafe(F.col("_expected"))))
+        count_rows("manifest_source_differs", both.filter(~F.col("_actual").eqNullSafe(F.col("_expected"))))
     ]
 
 
@@ -195,7 +195,7 @@ def object_chunk_rules(chunks: DataFrame, rebuilt: DataFrame) -> DataFrame:
     left = chunks.select("document_id", "ordinal", F.struct(*columns).alias("_stored"))
     right = rebuilt.select("document_id", "ordinal", F.struct(*columns).alias("_object"))
     both = left.join(right, ["document_id", "ordinal"], "full_outer")
-    return _count("chunk_differs_from_object", both.filter(~F.col("_stored").eqNullSafe(F.col("_object"))))
+    return count_rows("chunk_differs_from_object", both.filter(~F.col("_stored").eqNullSafe(F.col("_object"))))
 
 
 def audit(documents: DataFrame, assets: DataFrame, chunks: DataFrame, *more: DataFrame) -> DataFrame:
@@ -211,14 +211,18 @@ def audit(documents: DataFrame, assets: DataFrame, chunks: DataFrame, *more: Dat
 
 
 def content_fingerprint(table: DataFrame) -> DataFrame:
-    """Order-independent identity of a table: row count and two sums over row hashes."""
-    row = F.xxhash64(*table.columns)
-    second = F.crc32(F.encode(F.concat_ws("\0", *(F.col(c).cast("string") for c in table.columns)), "UTF-8"))
-    return table.agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.bit_xor(row), F.lit(0).cast("long")).alias("xor"),
-        F.coalesce(F.sum(F.pmod(row, F.lit(2**31)) + second), F.lit(0).cast("long")).alias("sum"),
-    )
+    """Order-independent identity of a table: row count and the sum of the rows' SHA-256 prefixes.
+
+    A sum over 60-bit prefixes in decimal(38,0) combines map-side and does not overflow below
+    10^20 rows.
+    """
+    row = F.sha2(F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}), 256)
+
+    def part(start):
+        number = F.conv(F.substring(row, start, 15), 16, 10).cast("decimal(28,0)")
+        return F.coalesce(F.sum(number).cast("string"), F.lit("0"))
+
+    return table.agg(F.count("*").alias("rows"), part(1).alias("sum_a"), part(16).alias("sum_b"))
 
 
 def catalog_rules(catalog: DataFrame, pointers: DataFrame) -> DataFrame:
@@ -236,9 +240,9 @@ def catalog_rules(catalog: DataFrame, pointers: DataFrame) -> DataFrame:
                     "manifest_digest_format": ~_has_id("manifest_sha256", "sha256"),
                 },
             ),
-            _count("snapshot_repeated", catalog.groupBy("snapshot_id").count().filter("count > 1")),
-            _count("base_not_earlier", lineage_faults(catalog)),
-            _count("current_unknown", unknown),
-            _count("last_successful_wrong", wrong_last),
+            count_rows("snapshot_repeated", catalog.groupBy("snapshot_id").count().filter("count > 1")),
+            count_rows("base_not_earlier", lineage_faults(catalog)),
+            count_rows("current_unknown", unknown),
+            count_rows("last_successful_wrong", wrong_last),
         ]
     )

@@ -27,9 +27,8 @@ OBJECT_REF = (
     "document_id string, kind string, sha256 string, byte_size bigint, path string, created_in_snapshot boolean"
 )
 OBJECT = "sha256 string, byte_size bigint, payload binary"
-POSTING = "term string, chunk_id string, position int"
-LENGTH = "chunk_id string, document_id string, length bigint"
-STATS = "rows bigint, tokens bigint"
+POSTING = "document_id string, chunk_id string, position int, term string"
+LENGTH = "document_id string, chunk_id string, length bigint"
 VECTOR_MAP = "chunk_id string, vector_object_id string"
 VECTOR_OBJECT = (
     "vector_object_id string, input_sha256 string, input_byte_size bigint, payload_sha256 string, "
@@ -40,10 +39,8 @@ TABLES = {
     "document": DOCUMENT,
     "asset": ASSET,
     "chunk": CHUNK,
-    "object_ref": OBJECT_REF,
     "posting": POSTING,
     "length": LENGTH,
-    "stats": STATS,
 }
 
 

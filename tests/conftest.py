@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("excerpta-tests", cores=4, shuffle_partitions=4, memory="4g")
+    session = local_session("excerpta-tests", cores=4, shuffle_partitions=2, memory="4g")
+    # Tiny inputs: interpreted plans start faster than compiled ones.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
