@@ -22,6 +22,7 @@ from excerpta.functions import identity
 from excerpta.functions.identity import ID_PATTERNS, canonical_json
 from excerpta.operators import audit, bm25, members, objects
 from excerpta.sources import files as source_files, uploads
+from excerpta.session import together
 from excerpta.storage import Folder
 
 CATALOG = "snapshot-catalog.json"
@@ -156,15 +157,15 @@ class Library:
             snapshot_id = f"{now:%Y%m%dT%H%M%S%f}Z-{digest['corpus_sha256'][:12]}-{uuid.uuid4().hex[:8]}"
             published = snapshot_id
             manifest = self._publish(work, snapshot_id, fresh, member_rows, digest, base, now)
-            text = canonical_json(manifest)
-            self.folder.write_text(text, work, "snapshot", MANIFEST)
             self.folder.publish((work, "snapshot"), ("snapshots", snapshot_id))
+            manifest["fingerprints"] = self._audit(snapshot_id, manifest)
+            text = canonical_json(manifest)
+            self.folder.write_text(text, "snapshots", snapshot_id, MANIFEST)
             record = {
                 "snapshot_id": snapshot_id,
                 "manifest_sha256": hashlib.sha256(text.encode()).hexdigest(),
                 "base_snapshot_id": base_snapshot_id,
             }
-            self._audit(snapshot_id, manifest)
             updated = {
                 **catalog,
                 "current_snapshot_id": catalog["current_snapshot_id"] or snapshot_id,
@@ -267,9 +268,12 @@ class Library:
                 result = result.unionByName(new.drop("replaced_document_id"))
         if result.groupBy("document_id").count().filter("count > 1").limit(1).count():
             raise ImportPolicyError("a new file repeats a member of the snapshot")
-        fresh = None
-        if incoming is not None:
-            fresh = incoming.join(result.filter("segment is null").select("document_id"), "document_id", "left_semi")
+        fresh = incoming
+        if base is not None and incoming is not None and base["pipeline_sha256"] != PIPELINE:
+            # Derived again from the base, unless removed or replaced.
+            again = F.col("replaced_document_id") == ""
+            kept_again = incoming.filter(again).join(asked, "document_id", "left_anti")
+            fresh = kept_again.unionByName(incoming.filter(~F.coalesce(again, F.lit(False))))
         return result, fresh
 
     def _publish(self, work, snapshot_id, fresh, member_rows, digest, base, now):
@@ -281,9 +285,10 @@ class Library:
 
         refs_path = self.folder.path(work, "snapshot", "object_ref")
         refs = None
-        if fresh is not None and fresh.limit(1).count():
-            self._write_segment(snapshot_id, fresh)
-            refs = self._store_objects(snapshot_id, fresh)
+        if fresh is not None:
+            _, refs = together(
+                lambda: self._write_segment(snapshot_id, fresh), lambda: self._store_objects(work, snapshot_id, fresh)
+            )
         kept_refs = None
         if base is not None:
             kept_refs = (
@@ -324,7 +329,6 @@ class Library:
         lens = self.table_from(manifest, stored_members, "length")
         manifest["stats"] = bm25.corpus_stats(lens).first().asDict()
         manifest["counts"]["index_rows"] = manifest["stats"]["rows"]
-        manifest["fingerprints"] = self._fingerprints(manifest, stored_members)
         return manifest
 
     def table_from(self, manifest, member_frame, name):
@@ -339,27 +343,33 @@ class Library:
         return rows.join(member_frame.select("document_id", "segment"), ["document_id", "segment"], "left_semi").drop("segment")
 
     def _fingerprints(self, manifest, member_frame):
-        made = {"member": audit.content_fingerprint(member_frame).first().asDict()}
-        for name in ("document", "asset", "chunk"):
-            made[name] = audit.content_fingerprint(self.table_from(manifest, member_frame, name)).first().asDict()
-        return made
+        names = ("document", "asset", "chunk")
+        tables = {"member": member_frame, **{n: self.table_from(manifest, member_frame, n) for n in names}}
+        prints = together(*(lambda t=t: audit.content_fingerprint(t).first().asDict() for t in tables.values()))
+        return dict(zip(tables, prints))
 
     def _write_segment(self, segment, fresh):
         count = fresh.agg(F.count("*").alias("d"), F.sum(F.size("chunks")).alias("c"), F.sum("extracted_char_count").alias("n")).first()
-        self._write("document", schemas.document_rows(fresh), segment, count["d"], "document_id")
-        self._write("asset", schemas.asset_rows(fresh), segment, count["d"], "document_id")
-        self._write("chunk", schemas.chunk_rows(fresh), segment, count["c"], "document_id", "ordinal")
+        together(
+            lambda: self._write("document", schemas.document_rows(fresh), segment, count["d"], "document_id"),
+            lambda: self._write("asset", schemas.asset_rows(fresh), segment, count["d"], "document_id"),
+            lambda: self._write("chunk", schemas.chunk_rows(fresh), segment, count["c"], "document_id", "ordinal"),
+        )
         chunks = self.spark.read.schema(schemas.CHUNK).parquet(self.folder.path("tables", "chunk", f"segment={segment}"))
         # Range partitions on (term, chunk_id) split a frequent term over several files.
         posts = bm25.postings(chunks, key="chunk_id", text="chunk_text", groups=["document_id"])
-        self._write("posting", posts, segment, count["n"] // 6, "term", "chunk_id", "position")
         lens = bm25.lengths(chunks, key="chunk_id", text="chunk_text", groups=["document_id"])
-        self._write("length", lens, segment, count["c"], "chunk_id")
+        together(
+            lambda: self._write("posting", posts, segment, count["n"] // 6, "term", "chunk_id", "position"),
+            lambda: self._write("length", lens, segment, count["c"], "chunk_id"),
+        )
 
-    def _store_objects(self, segment, fresh):
+    def _store_objects(self, work, segment, fresh):
         """Append objects that are not stored yet; returns the references with their flags."""
         payloads = objects.object_payloads(fresh.withColumn("content_text", F.lit("")), units=F.col("units"))
-        refs = payloads.drop("payload")
+        narrow = self.folder.path(work, "references")
+        payloads.drop("payload").write.parquet(narrow)
+        refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(narrow).drop("created_in_snapshot")
         existing = None
         if self.folder.exists("objects"):
             existing = self.spark.read.schema("sha256 string, kind string").parquet(self.folder.path("objects"))
@@ -381,24 +391,30 @@ class Library:
     # --- verification ------------------------------------------------------------------------
 
     def _audit(self, snapshot_id, manifest):
-        """Full audit of one snapshot; raises with the names of the violated rules."""
+        """Full audit of one snapshot; raises with the names of the violated rules, returns the fingerprints."""
         try:
             held = self.members(snapshot_id)
             documents, assets, chunks = (self.table_from(manifest, held, n) for n in ("document", "asset", "chunk"))
-            findings = audit.audit(documents, assets, chunks, *self._binding_rules(manifest, held, documents, assets, chunks))
-            broken = sorted(row["check"] for row in findings.filter("violations > 0").collect())
-            prints = self._fingerprints(manifest, held)
-            digest = identity.corpus_digest(held).first()
+            rules = [
+                *audit.rules(documents, assets, chunks), *self._binding_rules(manifest, held, documents, assets, chunks)
+            ]
+            prints, digest, *findings = together(
+                lambda: self._fingerprints(manifest, held),
+                lambda: identity.corpus_digest(held).first(),
+                *(lambda rule=rule: rule.filter("violations > 0").collect() for rule in rules),
+            )
+            broken = sorted(row["check"] for found in findings for row in found)
         except SnapshotError:
             raise
         except Exception as error:
             raise SnapshotError("the snapshot could not be read") from error
-        if prints != manifest["fingerprints"]:
+        if "fingerprints" in manifest and prints != manifest["fingerprints"]:
             broken.append("content_fingerprint")
         if digest is None or digest["corpus_sha256"] != manifest["corpus_sha256"]:
             broken.append("corpus_sha256")
         if broken:
             raise SnapshotError("audit failed: " + ", ".join(broken))
+        return prints
 
     def _binding_rules(self, manifest, held, documents, assets, chunks):
         refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(

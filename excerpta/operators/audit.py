@@ -198,16 +198,14 @@ def object_chunk_rules(chunks: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return count_rows("chunk_differs_from_object", both.filter(~F.col("_stored").eqNullSafe(F.col("_object"))))
 
 
+def rules(documents: DataFrame, assets: DataFrame, chunks: DataFrame) -> list[DataFrame]:
+    """The rules of the three tables as independent ``(check, violations)`` frames."""
+    return [chunk_rules(chunks, assets, documents), document_rules(documents), *table_rules(documents, assets, chunks)]
+
+
 def audit(documents: DataFrame, assets: DataFrame, chunks: DataFrame, *more: DataFrame) -> DataFrame:
     """``(check, violations)`` over all rules; ``more`` adds counts computed elsewhere."""
-    return _union(
-        [
-            chunk_rules(chunks, assets, documents),
-            document_rules(documents),
-            *table_rules(documents, assets, chunks),
-            *more,
-        ]
-    )
+    return _union([*rules(documents, assets, chunks), *more])
 
 
 def content_fingerprint(table: DataFrame) -> DataFrame:

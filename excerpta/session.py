@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -73,3 +74,12 @@ def spread_small(df: DataFrame) -> DataFrame:
     if size > SMALL_INPUT_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def together(*jobs):
+    """Run independent Spark actions at the same time and return their results in order.
+
+    Stages of different jobs then share the cluster instead of waiting for each other's stragglers.
+    """
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [future.result() for future in [pool.submit(job) for job in jobs]]
