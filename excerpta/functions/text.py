@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, functions as F
 
@@ -110,10 +110,15 @@ def count_tokens(folded: Column) -> Column:
 
 
 def count_phrase(folded: Column, words) -> Column:
-    """Start positions of the word sequence in already folded text (overlaps count)."""
+    """Start positions of the word sequence in already folded text (overlaps count).
+
+    A plain substring test on every word comes first; only rows that pass it pay for the regex.
+    """
     first, *rest = words
     follow = "".join(rf"[^{TOKEN}]+{word}" for word in rest)
-    return F.regexp_count(folded, F.lit(rf"(?<![{TOKEN}]){first}(?={follow}(?![{TOKEN}]))")).cast("long")
+    counted = F.regexp_count(folded, F.lit(rf"(?<![{TOKEN}]){first}(?={follow}(?![{TOKEN}]))"))
+    present = reduce(and_, (folded.contains(word) for word in words))
+    return F.when(present, counted).otherwise(0).cast("long")
 
 
 def contiguous_cjk(text) -> Column:

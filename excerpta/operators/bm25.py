@@ -105,8 +105,12 @@ def top_k(scored: DataFrame, k: int, *, key: str, groups=()) -> DataFrame:
 
 
 def postings(corpus: DataFrame, *, key: str, text: str, groups=()) -> DataFrame:
-    """One row per word occurrence: ``groups + [term, key, position]``; a narrow projection."""
-    return corpus.select(*groups, key, F.posexplode(tx.index_tokens(text)).alias("position", "term"))
+    """One row per word occurrence: ``groups + [key, length, position, term]``; a narrow projection.
+
+    ``length`` is the row's own word count, so scoring a hit needs no join back to its row.
+    """
+    words = corpus.select(*groups, key, tx.index_tokens(text).alias("_w"))
+    return words.select(*groups, key, F.size("_w").alias("length"), F.posexplode("_w").alias("position", "term"))
 
 
 def lengths(corpus: DataFrame, *, key: str, text: str, groups=()) -> DataFrame:
@@ -118,35 +122,23 @@ def corpus_stats(lens: DataFrame, *, groups=()) -> DataFrame:
 
 
 def score_postings(
-    posts: DataFrame,
-    lens: DataFrame,
-    stats: DataFrame,
-    words: DataFrame,
-    *,
-    key: str,
-    query_id: str = "query_id",
-    groups=(),
+    posts: DataFrame, stats: DataFrame, words: DataFrame, *, key: str, query_id: str = "query_id", groups=()
 ) -> DataFrame:
     """Score a whole table of queries: ``groups + [query_id, key, score]``.
 
     ``words`` comes from ``query_words``. A posting that could be word ``offset`` of a phrase votes
-    for the start ``position - offset``; a start with all its words is an occurrence. Everything is
-    keyed by (key, query), never by term, so a frequent word does not make a hot partition. The
-    query words and the per-phrase statistics are broadcast only after a size check.
+    for the start ``position - offset``; a start with all its words is an occurrence. Single words
+    need no start, so their occurrences are counted map-side. Everything is keyed by (key, query),
+    never by term, so a frequent word does not make a hot partition. The query words are broadcast
+    only after a size check; the per-phrase statistics are left to Catalyst's own check.
     """
     groups = list(groups)
-    words = small_side(words)
-    votes = posts.join(words, "term").withColumn("_start", F.col("position") - F.col("offset"))
-    by = [*groups, key, query_id, "phrase"]
-    single = votes.filter(F.col("words") == 1).select(*by)
-    several = (
-        votes.filter(F.col("words") > 1)
-        .groupBy(*by, "words", "_start")
-        .agg(F.count("*").alias("_votes"))
-        .filter(F.col("_votes") == F.col("words"))
-        .select(*by)
-    )
-    counts = single.unionByName(several).groupBy(*by).agg(F.count("*").alias("_f"))
+    by = [*groups, key, "length", query_id, "phrase"]
+    start = F.when(F.col("words") > 1, F.col("position") - F.col("offset")).otherwise(0)
+    votes = posts.join(small_side(words), "term").withColumn("_start", start)
+    starts = votes.groupBy(*by, "words", "_start").agg(F.count("*").alias("_votes"))
+    occurrences = F.when(F.col("words") == 1, F.col("_votes")).when(F.col("_votes") == F.col("words"), 1).otherwise(0)
+    counts = starts.groupBy(*by).agg(F.sum(occurrences).alias("_f")).filter(F.col("_f") > 0)
     matching = counts.groupBy(*groups, query_id, "phrase").agg(F.count("*").alias("_n"))
     weights = with_stats(matching, stats, groups).select(
         *groups,
@@ -155,12 +147,8 @@ def score_postings(
         (F.col("_s.tokens") / F.col("_s.rows")).alias("_average"),
         idf(F.col("_s.rows"), F.col("_n")).alias("_idf"),
     )
-    # No hint on the weights: one row per query phrase, and Catalyst checks the size at run time.
-    parts = (
-        counts.join(weights, [*groups, query_id, "phrase"])
-        .join(lens, [*groups, key])
-        .select(*by, contribution(F.col("_f"), F.col("length"), F.col("_average"), F.col("_idf")).alias("_part"))
-    )
+    part = contribution(F.col("_f"), F.col("length"), F.col("_average"), F.col("_idf"))
+    parts = counts.join(weights, [*groups, query_id, "phrase"]).select(*by, part.alias("_part"))
     # Add the parts in phrase order, so equal rows get bit-equal scores. At most 400 parts per row.
     ordered = F.array_sort(F.collect_list(F.struct("phrase", "_part")))
     return parts.groupBy(*groups, query_id, key).agg(

@@ -19,6 +19,10 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark, sf, *keep):
+    return spread_small(table(spark, sf, "documents").select(*keep, "doc_id", "text"))
+
+
 def body(column="text"):
     text = F.col(column)
     for pattern, mark in HEADING_RULES:

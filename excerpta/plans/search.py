@@ -19,7 +19,7 @@ CHUNK_QUERY = "thanedble ertion the_the"
 
 def _documents(query, k=10, places=6):
     def run(spark, sf):
-        docs = io.table(spark, sf, "documents").select("doc_id", "text")
+        docs = io.texts(spark, sf)
         scored = bm25.score_scan(docs, q.checked_query(query), key="doc_id", text="text")
         return bm25.top_k(scored, k, key="doc_id").select("doc_id", F.round("score", places).alias("score"))
 
@@ -32,12 +32,12 @@ SELECT doc_id, round(score, {places}) AS score FROM scored ORDER BY score, doc_i
 
 
 def all_hits(spark, sf):
-    docs = io.table(spark, sf, "documents").select("doc_id", "text")
+    docs = io.texts(spark, sf)
     return bm25.score_scan(docs, OR_QUERY, key="doc_id", text="text").select("doc_id", F.round("score", 6).alias("score"))
 
 
 def by_library(spark, sf):
-    docs = io.table(spark, sf, "documents").select("lang", "doc_id", "text")
+    docs = io.texts(spark, sf, "lang")
     scored = bm25.score_scan(docs, MIXED_QUERY, key="doc_id", text="text", groups=["lang"])
     return bm25.top_k(scored, 5, key="doc_id", groups=["lang"]).select(
         "lang", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score")
@@ -46,7 +46,7 @@ def by_library(spark, sf):
 
 def within_source(spark, sf):
     """Scope is applied after scoring: statistics stay those of the whole corpus."""
-    docs = io.table(spark, sf, "documents").select("doc_id", "text")
+    docs = io.texts(spark, sf)
     scored = bm25.score_scan(docs, OR_QUERY, key="doc_id", text="text")
     scope = io.table(spark, sf, "documents").filter("source = 'src3'").select("doc_id")
     hits = scored.join(scope, "doc_id", "left_semi")
@@ -93,10 +93,10 @@ def batch(spark, sf):
     """Every benchmark item as a query against every document, best five each."""
     queries = io.table(spark, sf, "benchmark").select("item_id", "text")
     words = q.query_words(queries, "item_id", "text")
-    docs = io.table(spark, sf, "documents").select("doc_id", "text")
+    docs = io.texts(spark, sf)
     lens = bm25.lengths(docs, key="doc_id", text="text")
     scored = bm25.score_postings(
-        bm25.postings(docs, key="doc_id", text="text"), lens, bm25.corpus_stats(lens), words,
+        bm25.postings(docs, key="doc_id", text="text"), bm25.corpus_stats(lens), words,
         key="doc_id", query_id="item_id",
     )
     scored = scored.withColumn("score", F.round("score", 9))
@@ -133,7 +133,7 @@ SELECT item_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <=
 
 def term_statistics(spark, sf):
     """Index vocabulary: total occurrences and documents per word."""
-    docs = io.table(spark, sf, "documents").select("doc_id", "text")
+    docs = io.texts(spark, sf)
     posts = bm25.postings(docs, key="doc_id", text="text")
     per_doc = posts.groupBy("term", "doc_id").agg(F.count("*").alias("f"))
     return per_doc.groupBy("term").agg(F.sum("f").alias("occurrences"), F.count("*").alias("documents"))
@@ -141,7 +141,7 @@ def term_statistics(spark, sf):
 
 def tied_copies(spark, sf):
     """Equal scores are ordered by key: every hit with its rank."""
-    docs = io.table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs = io.texts(spark, sf, "source")
     scored = bm25.score_scan(docs, REPEATED_QUERY, key="doc_id", text="text", groups=["source"])
     ranked = scored.withColumn(
         "rank", F.row_number().over(Window.partitionBy("source").orderBy("score", "doc_id"))

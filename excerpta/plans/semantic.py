@@ -166,7 +166,7 @@ def rerank_answer_audit(spark, sf):
 def _markers(spark, sf):
     """The smallest document whose text holds each benchmark item, found through its rarest word."""
     items = io.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("marker"))
-    docs = io.table(spark, sf, "documents").select("doc_id", "text")
+    docs = io.texts(spark, sf)
     return evaluate.find_markers(items, docs, item="item_id", marker="marker", key="doc_id", text="text")
 
 
@@ -185,10 +185,10 @@ def scoped_targets(spark, sf):
 def _judged(spark, sf):
     items = io.table(spark, sf, "benchmark").select("item_id", "text")
     words = q.query_words(items, "item_id", "text")
-    docs = io.table(spark, sf, "documents").select("doc_id", "text")
+    docs = io.texts(spark, sf)
     lens = bm25.lengths(docs, key="doc_id", text="text")
     scored = bm25.score_postings(
-        bm25.postings(docs, key="doc_id", text="text"), lens, bm25.corpus_stats(lens), words,
+        bm25.postings(docs, key="doc_id", text="text"), bm25.corpus_stats(lens), words,
         key="doc_id", query_id="item_id",
     ).withColumn("score", F.round("score", 9))
     top = bm25.top_k(scored, 5, key="doc_id", groups=["item_id"])

@@ -12,6 +12,7 @@ from excerpta.functions import identity
 from excerpta.operators import audit, chunking, members, objects
 from excerpta.plans import inputs as io
 from excerpta.schemas import asset_rows, document_rows
+from excerpta.session import settle
 
 REVISION = "\n\nRevised edition."
 
@@ -169,7 +170,8 @@ def object_missing(spark, sf):
 
 
 def _tables(spark, sf):
-    made = io.prepared(spark, sf)
+    # Several rules read each table: parse and chunk once, keep the result in the checkpoint folder.
+    made = settle(io.prepared(spark, sf).drop("content_text"))
     chunks = chunking.explode_chunks(made, "doc_id").withColumn("fulltext_verified", F.lit(False)).withColumn(
         "formula_verified", F.lit(False)
     )

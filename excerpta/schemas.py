@@ -27,7 +27,7 @@ OBJECT_REF = (
     "document_id string, kind string, sha256 string, byte_size bigint, path string, created_in_snapshot boolean"
 )
 OBJECT = "sha256 string, byte_size bigint, payload binary"
-POSTING = "document_id string, chunk_id string, position int, term string"
+POSTING = "document_id string, chunk_id string, length int, position int, term string"
 LENGTH = "document_id string, chunk_id string, length bigint"
 VECTOR_MAP = "chunk_id string, vector_object_id string"
 VECTOR_OBJECT = (

@@ -104,21 +104,21 @@ class EvidenceTools:
         terms = sorted({word for phrase in phrases for word in phrase})
         # The IN list reaches the Parquet scan; postings are sorted by term, so few row groups match.
         posts = library.table(snapshot_id, "posting", manifest).filter(F.col("term").isin(terms))
-        lens = library.table(snapshot_id, "length", manifest)
         stats = library.spark.createDataFrame(
             [(manifest["stats"]["rows"], manifest["stats"]["tokens"])], "rows bigint, tokens bigint"
         )
         scored = bm25.score_postings(
-            posts.drop("document_id"), lens.drop("document_id"), stats, words, key="chunk_id"
-        )
+            posts.withColumn("owned", F.struct("chunk_id", "document_id")), stats, words, key="owned"
+        ).select("owned.*", "score")
         if document_id is not None:
             # After scoring: the statistics stay those of the whole snapshot.
-            inside = lens.filter(F.col("document_id") == document_id).select("chunk_id")
-            scored = scored.join(inside, "chunk_id", "left_semi")
-        best = bm25.top_k(scored, top_k, key="chunk_id").select("chunk_id", "score").collect()
+            scored = scored.filter(F.col("document_id") == document_id)
+        best = bm25.top_k(scored, top_k, key="chunk_id").collect()
         if not best:
             return []
-        found = self._evidence(library, manifest, [row["chunk_id"] for row in best])
+        found = self._evidence(
+            library, manifest, [row["chunk_id"] for row in best], sorted({row["document_id"] for row in best})
+        )
         rows = {row["chunk_id"]: row for row in _rows(found.withColumn("excerpt", tx.excerpt("chunk_text", excerpt_chars)))}
         return [self._public(rows[row["chunk_id"]], score=row["score"]) for row in best]
 
@@ -131,11 +131,17 @@ class EvidenceTools:
             raise SearchInputError("the snapshot has no such document_id")
         return row
 
-    def _evidence(self, library, manifest, chunk_ids):
-        """Evidence rows of at most ten chunks, looked up by id down to the scan."""
+    def _evidence(self, library, manifest, chunk_ids, document_ids):
+        """Evidence rows of at most ten chunks.
+
+        Both tables are range-partitioned by document, so the document ids prune files and row
+        groups down to the few that hold the hits.
+        """
         snapshot_id = manifest["snapshot_id"]
-        chunks = library.table(snapshot_id, "chunk", manifest).filter(F.col("chunk_id").isin(chunk_ids))
-        return navigation.evidence(F.broadcast(chunks), library.table(snapshot_id, "document", manifest))
+        inside = F.col("document_id").isin(document_ids)
+        chunks = library.table(snapshot_id, "chunk", manifest).filter(inside & F.col("chunk_id").isin(chunk_ids))
+        documents = library.table(snapshot_id, "document", manifest).filter(inside)
+        return navigation.evidence(F.broadcast(chunks), documents)
 
     @staticmethod
     def _public(row, **extra):
@@ -165,15 +171,13 @@ class EvidenceTools:
             raise SearchInputError("chunk_ids must not repeat")
         q.bounded_int(limit, limit_name, 1200)
         library, manifest = self._open(library_id, snapshot_id)
-        found = self._evidence(library, manifest, chunk_ids)
+        found = self._evidence(library, manifest, chunk_ids, [document_id])
         shown = found.withColumn("excerpt", tx.excerpt("chunk_text", limit)).withColumn(
             "truncated", tx.is_truncated("chunk_text", limit)
         )
         rows = {row["chunk_id"]: row for row in _rows(shown)}
-        if any(row["document_id"] != document_id for row in rows.values()):
-            raise SearchInputError("a chunk_id does not belong to the document_id")
         if set(rows) != set(chunk_ids):
-            raise SearchInputError("the snapshot lacks a chunk_id")
+            raise SearchInputError("a chunk_id is not in the snapshot or not in the document")
         return [self._public(rows[chunk_id], truncated=rows[chunk_id]["truncated"]) for chunk_id in chunk_ids]
 
     # --- documents ---------------------------------------------------------------------------

@@ -67,7 +67,6 @@ def test_postings_equal_scan_for_a_table_of_queries(spark):
     lens = bm25.lengths(corpus, key="id", text="t")
     scored = bm25.score_postings(
         bm25.postings(corpus, key="id", text="t"),
-        lens,
         bm25.corpus_stats(lens),
         q.query_words(queries, "query_id", "query"),
         key="id",
