@@ -110,7 +110,9 @@ def postings(corpus: DataFrame, *, key: str, text: str, groups=()) -> DataFrame:
     ``length`` is the row's own word count, so scoring a hit needs no join back to its row.
     """
     words = corpus.select(*groups, key, tx.index_tokens(text).alias("_w"))
-    return words.select(*groups, key, F.size("_w").alias("length"), F.posexplode("_w").alias("position", "term"))
+    # Outer, then filtered: a plain posexplode makes the optimizer tokenize again in an inferred filter.
+    rows = words.select(*groups, key, F.size("_w").alias("length"), F.posexplode_outer("_w").alias("position", "term"))
+    return rows.filter(F.col("term").isNotNull())
 
 
 def lengths(corpus: DataFrame, *, key: str, text: str, groups=()) -> DataFrame:
@@ -126,20 +128,27 @@ def score_postings(
 ) -> DataFrame:
     """Score a whole table of queries: ``groups + [query_id, key, score]``.
 
-    ``words`` comes from ``query_words``. A posting that could be word ``offset`` of a phrase votes
-    for the start ``position - offset``; a start with all its words is an occurrence. Single words
-    need no start, so their occurrences are counted map-side. Everything is keyed by (key, query),
-    never by term, so a frequent word does not make a hot partition. The query words are broadcast
-    only after a size check; the per-phrase statistics are left to Catalyst's own check.
+    ``words`` comes from ``query_words``. Single words are counted per row and term before they meet
+    the queries, so a word many queries share is counted once. In a phrase, a posting that could be
+    word ``offset`` votes for the start ``position - offset``; a start with all its words is an
+    occurrence. Everything is keyed by row, never by term alone, so a frequent word does not make a
+    hot partition. The query words are broadcast only after a size check; the per-phrase statistics
+    are left to Catalyst's own check.
     """
     groups = list(groups)
-    by = [*groups, key, "length", query_id, "phrase"]
-    start = F.when(F.col("words") > 1, F.col("position") - F.col("offset")).otherwise(0)
-    votes = posts.join(small_side(words), "term").withColumn("_start", start)
-    starts = votes.groupBy(*by, "words", "_start").agg(F.count("*").alias("_votes"))
-    occurrences = F.when(F.col("words") == 1, F.col("_votes")).when(F.col("_votes") == F.col("words"), 1).otherwise(0)
-    counts = starts.groupBy(*by).agg(F.sum(occurrences).alias("_f")).filter(F.col("_f") > 0)
-    matching = counts.groupBy(*groups, query_id, "phrase").agg(F.count("*").alias("_n"))
+    row = [*groups, key, "length"]
+    by = [*row, query_id, "phrase"]
+    single = words.filter(F.col("words") == 1).select(query_id, "phrase", "term")
+    relevant = posts.join(small_side(single.select("term").distinct()), "term")
+    frequency = relevant.groupBy(*row, "term").agg(F.count("*").alias("_f"))
+    counts = frequency.join(small_side(single), "term").select(*by, "_f")
+    several = words.filter(F.col("words") > 1)
+    if not several.isEmpty():
+        votes = posts.join(small_side(several), "term").withColumn("_start", F.col("position") - F.col("offset"))
+        found = votes.groupBy(*by, "words", "_start").count().filter(F.col("count") == F.col("words"))
+        counts = counts.unionByName(found.groupBy(*by).agg(F.count("*").alias("_f")))
+    # Counting on ``_f`` keeps this branch's columns equal to the scoring branch, so both read one shuffle.
+    matching = counts.groupBy(*groups, query_id, "phrase").agg(F.count_if(F.col("_f") > 0).alias("_n"))
     weights = with_stats(matching, stats, groups).select(
         *groups,
         query_id,

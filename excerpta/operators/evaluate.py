@@ -122,8 +122,8 @@ def find_markers(items: DataFrame, docs: DataFrame, *, item: str, marker: str, k
         F.raise_error(F.lit("a marker needs at least three words")).cast("array<string>")
     )
     anchored = words.select(item, F.explode(F.array_distinct(inner)).alias("term"))
-    vocabulary = docs.select(key, F.explode(F.array_distinct(tx.index_tokens(text))).alias("term"))
-    postings = vocabulary.join(small_side(anchored.select("term").distinct()), "term")
+    vocabulary = docs.select(key, F.explode_outer(F.array_distinct(tx.index_tokens(text))).alias("term"))
+    postings = vocabulary.filter(F.col("term").isNotNull()).join(small_side(anchored.select("term").distinct()), "term")
     frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
     rarest = (
         anchored.join(frequency, "term")
