@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from excerpta.functions import query as q, text as tx
-from excerpta.session import small_side
+from excerpta.session import is_small, small_side
 
 # --- fixed values -----------------------------------------------------------------------------
 K1 = 1.2
@@ -132,34 +132,51 @@ def score_postings(
     the queries, so a word many queries share is counted once. In a phrase, a posting that could be
     word ``offset`` votes for the start ``position - offset``; a start with all its words is an
     occurrence. Everything is keyed by row, never by term alone, so a frequent word does not make a
-    hot partition. The query words are broadcast only after a size check; the per-phrase statistics
-    are left to Catalyst's own check.
+    hot partition. Query words and their weights are broadcast only after a size check.
     """
     groups = list(groups)
     row = [*groups, key, "length"]
-    by = [*row, query_id, "phrase"]
     single = words.filter(F.col("words") == 1).select(query_id, "phrase", "term")
-    relevant = posts.join(small_side(single.select("term").distinct()), "term")
-    frequency = relevant.groupBy(*row, "term").agg(F.count("*").alias("_f"))
-    counts = frequency.join(small_side(single), "term").select(*by, "_f")
+    terms = small_side(single.select("term").distinct())
+    frequency = posts.join(terms, "term").groupBy(*row, "term").agg(F.count("*").alias("_f"))
+    # Counting on ``_f`` keeps this branch's columns equal to the scoring branch: both read one shuffle.
+    matching = frequency.groupBy(*groups, "term").agg(F.count_if(F.col("_f") > 0).alias("_n"))
+    weights = _weights(single.join(matching, "term"), stats, groups, query_id, "term")
+    if not groups and is_small(single):
+        # One row per query word, which was just counted.
+        weights = F.broadcast(weights)
+    parts = _parts(frequency.join(weights, [*groups, "term"]), groups, key, query_id)
+
     several = words.filter(F.col("words") > 1)
     if not several.isEmpty():
+        by = [*row, query_id, "phrase"]
         votes = posts.join(small_side(several), "term").withColumn("_start", F.col("position") - F.col("offset"))
         found = votes.groupBy(*by, "words", "_start").count().filter(F.col("count") == F.col("words"))
-        counts = counts.unionByName(found.groupBy(*by).agg(F.count("*").alias("_f")))
-    # Counting on ``_f`` keeps this branch's columns equal to the scoring branch, so both read one shuffle.
-    matching = counts.groupBy(*groups, query_id, "phrase").agg(F.count_if(F.col("_f") > 0).alias("_n"))
-    weights = with_stats(matching, stats, groups).select(
+        counts = found.groupBy(*by).agg(F.count("*").alias("_f"))
+        matching = counts.groupBy(*groups, query_id, "phrase").agg(F.count_if(F.col("_f") > 0).alias("_n"))
+        weights = _weights(matching, stats, groups, query_id)
+        parts = parts.unionByName(
+            _parts(counts.join(weights, [*groups, query_id, "phrase"]), groups, key, query_id)
+        )
+    # Add the parts in phrase order, so equal rows get bit-equal scores. At most 400 parts per row.
+    ordered = F.array_sort(F.collect_list(F.struct("phrase", "_part")))
+    return parts.groupBy(*groups, query_id, key).agg(
+        (-F.aggregate(ordered, F.lit(0.0), lambda total, part: total + part["_part"])).alias("score")
+    )
+
+
+def _weights(matching: DataFrame, stats: DataFrame, groups, query_id, *keep) -> DataFrame:
+    """Inverse document frequency and average length per query phrase."""
+    return with_stats(matching, stats, groups).select(
         *groups,
         query_id,
         "phrase",
+        *keep,
         (F.col("_s.tokens") / F.col("_s.rows")).alias("_average"),
         idf(F.col("_s.rows"), F.col("_n")).alias("_idf"),
     )
+
+
+def _parts(weighted: DataFrame, groups, key, query_id) -> DataFrame:
     part = contribution(F.col("_f"), F.col("length"), F.col("_average"), F.col("_idf"))
-    parts = counts.join(weights, [*groups, query_id, "phrase"]).select(*by, part.alias("_part"))
-    # Add the parts in phrase order, so equal rows get bit-equal scores. At most 400 parts per row.
-    ordered = F.array_sort(F.collect_list(F.struct("phrase", "_part")))
-    return parts.groupBy(*groups, query_id, key).agg(
-        (-F.aggregate(ordered, F.lit(0.0), lambda total, part: total + part["_part"])).alias("score")
-    )
+    return weighted.select(*groups, key, query_id, "phrase", part.alias("_part"))

@@ -52,13 +52,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
+    """Whether ``df`` has at most ``limit`` rows; reads at most ``limit + 1`` of them."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only when ``df`` provably has at most ``limit`` rows.
 
     The check reads at most ``limit + 1`` rows. Beyond it the frame comes back without a hint and
     the join becomes an ordinary shuffle join, split by AQE where a key is hot.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 SMALL_INPUT_BYTES = 512 * 1024 * 1024
