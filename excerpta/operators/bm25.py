@@ -158,11 +158,10 @@ def score_postings(
         parts = parts.unionByName(
             _parts(counts.join(weights, [*groups, query_id, "phrase"]), groups, key, query_id)
         )
-    # Add the parts in phrase order, so equal rows get bit-equal scores. At most 400 parts per row.
-    ordered = F.array_sort(F.collect_list(F.struct("phrase", "_part")))
-    return parts.groupBy(*groups, query_id, key).agg(
-        (-F.aggregate(ordered, F.lit(0.0), lambda total, part: total + part["_part"])).alias("score")
-    )
+    # A decimal sum does not depend on the order of its parts, so equal rows tie exactly, and it
+    # combines map-side. 24 places keep parts of the floored idf (1e-6) to full double precision.
+    exact = F.sum(F.col("_part").cast("decimal(38,24)")).cast("double")
+    return parts.groupBy(*groups, query_id, key).agg((-exact).alias("score"))
 
 
 def _weights(matching: DataFrame, stats: DataFrame, groups, query_id, *keep) -> DataFrame:
