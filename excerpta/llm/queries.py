@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from excerpta.llm import exact_dedup, packing
+from excerpta.llm import bpe, exact_dedup, language, packing
 from excerpta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -21,9 +23,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = language.held_out(F.col("doc_id"))
+    model = language.train(docs.where(~learned))
+    found = language.predict(docs.select("doc_id", learned.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_bpe_coding(spark, sf_dir):
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
