@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from excerpta.llm import bpe, exact_dedup, language, packing
+from excerpta.llm import bpe, exact_dedup, language, near_dedup, packing
 from excerpta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op7_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learned = language.held_out(F.col("doc_id"))
@@ -39,5 +43,5 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
