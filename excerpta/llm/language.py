@@ -139,12 +139,15 @@ def fit(rows: list[tuple], epochs=6, rate=0.5, seed=7, tolerance=TOLERANCE) -> M
 def train(docs: DataFrame, label="lang", text="text", key="doc_id", sample=SAMPLE, **options) -> Model | None:
     """Fit on at most ``sample`` rows per label: those of least id hash among rows with label and text.
 
-    Labels are assumed to be a closed set of moderate size. Rows are chosen without their text, which is then read for
+    Labels are a closed set of moderate size: its counts are broadcast. Rows are chosen without their text, which is then read for
     the chosen ids alone.
     """
     labelled = docs.select(F.col(key).alias("_id"), F.col(label).alias("_label")).where("_id is not null and _label is not null")
-    first = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = labelled.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).select("_id").distinct()
+    # About twice the sample of each label is ranked: the others' hashes are too large to be among the least.
+    counts = labelled.groupBy("_label").agg((F.lit(2 * sample + 100) / F.count("*")).alias("_share"))
+    small = labelled.join(F.broadcast(counts), "_label").where(F.expr("pmod(xxhash64(_id), 1000003) < 1000003 * _share"))
+    first = Window.partitionBy("_label").orderBy(F.expr("pmod(xxhash64(_id), 1000003)"), "_id")
+    chosen = small.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).select("_id").distinct()
     texts = docs.select(F.col(key).alias("_id"), F.col(label).alias("_label"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = texts.where("_label is not null").join(F.broadcast(chosen), "_id", "left_semi")  # at most sample per label
     return fit([tuple(r) for r in bucket_counts(rows, "_label", "_text").collect()], **options)
