@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from excerpta.llm import bpe, exact_dedup, language, near_dedup, packing, topk
+from excerpta.llm import bpe, exact_dedup, language, near_dedup, packing, pii, topk
 from excerpta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,20 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def op6_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.personal_spans(docs)
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    number = {name: F.size(F.array_remove(kinds, k)) for k, name in enumerate(pii.NAMES[: pii.BASE])}
+    return found.select(
+        "doc_id",
+        *[(F.size(kinds) - others).cast("long").alias(f"n_{name}") for name, others in number.items()],
+        F.sha2(pii.spelled(base), 256).alias("base_sha256"),
+        pii.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -60,5 +74,5 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL}
