@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from excerpta.llm import bpe, exact_dedup, language, near_dedup, packing, pii, topk
+from excerpta.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, pii, token_counts, tool_calls, topk
 from excerpta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,60 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+ASK = {
+    "type": "object",
+    "required": ["text", "words"],
+    "additionalProperties": False,
+    "properties": {
+        "text": {"type": "string", "minLength": 1},
+        "words": {"type": "integer", "minimum": 1, "maximum": 40},
+    },
+}
+
+
+def op4_tool_calls(spark, sf_dir):
+    """Each user turn as a call that needs the call two turns before, each assistant turn as the result of the turn before."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
+    words = F.size(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0)))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("ask").alias("name"),
+        F.to_json(F.struct("text", words.alias("words"))).alias("arguments"),
+        F.array(name(F.col("turn") - 2)).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    linked = tool_calls.link_tool_calls(calls, results, {"ask": ASK})
+    return linked.fillna(-1, ["call_turn", "result_turn", "position"])  # integers without nulls compare everywhere
+
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, text, len(regexp_extract_all(text, '[^ \n]+')) AS words FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM c),
+j AS (
+  SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, 'call-' || coalesce(p.turn, r.turn - 1) AS call_id, coalesce(p.turn, -1) AS call_turn,
+    coalesce(r.turn, -1) AS result_turn, p.text AS asked, r.text AS answered, words, coalesce(position, -1) AS position,
+    CASE WHEN p.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM p FULL JOIN r ON p.conv_id = r.conv_id AND p.turn = r.turn - 1)
+SELECT conv_id, call_id, call_turn, result_turn, status, position,
+  CASE WHEN status <> 'orphan' THEN asked <> '' AND words BETWEEN 1 AND 40 END AS valid,
+  concat_ws('; ', CASE WHEN asked = '' THEN 'text has a wrong length' END, CASE WHEN words NOT BETWEEN 1 AND 40 THEN 'words is out of range' END) AS faults,
+  CASE WHEN status = 'orphan' THEN '{"id":' || to_json(call_id) || ',"result":' || to_json(answered) || ',"status":"orphan"}'
+    ELSE '{"arguments":{"text":' || to_json(asked) || ',"words":' || words || '},"id":' || to_json(call_id) || ',"name":"ask","result":'
+      || coalesce(CAST(to_json(answered) AS VARCHAR), 'null') || ',"status":"' || status || '"}' END AS message
+FROM j
+"""
+
+
+def op5_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op6_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.personal_spans(docs)
@@ -74,5 +128,5 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op3_license_scan, op4_tool_calls, op5_token_counts, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_tool_calls": OP4_SQL}
