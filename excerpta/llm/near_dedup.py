@@ -131,11 +131,26 @@ def sketches(docs: DataFrame, width: int, key="doc_id", text="text") -> DataFram
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary, parity binary")
 
 
+def chunk_bounds() -> np.ndarray:
+    return np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
+
+
+def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of each pair of signatures, the symbol left out in the first of their shared keys."""
+    errors = left != right
+    bounds = chunk_bounds()
+    found = np.full(len(errors), -1)
+    for a, b in list(zip(bounds, bounds[1:]))[::-1]:
+        part = errors[:, a:b]
+        found = np.where(part.sum(1) <= 1, a + part.argmax(1), found)
+    return found
+
+
 def chunk_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep): for each chunk and each of its symbols, a hash of the chunk's other symbols."""
+    """(key, left_out, rep): for each chunk and each of its symbols, a hash of the chunk's other symbols."""
 
     def run(it):
-        bounds = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
+        bounds = chunk_bounds()
         for batch in it:
             if not batch.num_rows:
                 continue
@@ -149,9 +164,12 @@ def chunk_keys(reps: DataFrame) -> DataFrame:
                         if k != left_out:
                             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + symbols[:, k])
                     keys.append(key.view("i8"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(reps, len(keys)))], names=["key", "rep"])
+            left_out = np.repeat(np.arange(SYMBOLS, dtype="i2"), len(reps))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys)), pa.array(left_out), pa.array(np.tile(reps, len(keys)))], names=["key", "left_out", "rep"]
+            )
 
-    return reps.select("rep", "signature").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "signature").mapInArrow(run, "key long, left_out short, rep long")
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -227,20 +245,22 @@ def components(links: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different roots within a key that the parity sketches allow.
 
-    ``members`` has key, members (their number), rep, root, n_shingles and parity. A key's members are dealt to blocks of
-    about ``BLOCK``; a task meets two blocks at a time and emits allowed pairs alone.
+    ``members`` has key, left_out, members (their number), rep, root, n_shingles, parity and signature. A key's members are
+    dealt to blocks of about ``BLOCK``; a task meets two blocks at a time. Of the keys that a pair shares only the first
+    emits it.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = dealt.select("key", "rep", "root", "n_shingles", "parity", "block", other.alias("other"))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n_shingles", "parity")
+    kept = ["block", "rep", "root", "n_shingles", "parity", "signature", "left_out"]
+    met = dealt.select("key", *kept, other.alias("other"))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *kept)
 
     def run(it):
         held, name = [], None
         for batch in it:
             names = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3, 8))))
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3, 10))))
             for own, row in zip(names, rows):
                 if own != name:
                     if len(held) > 1:
@@ -250,13 +270,14 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield from met_pairs(held, percent, name[1] != name[2])
 
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def met_pairs(rows: list[tuple], percent: int, across: bool):
-    """Allowed pairs among rows (block, rep, root, size, parity); ``across`` asks for different blocks."""
+    """Allowed pairs among rows (block, rep, root, size, parity, signature, left out); ``across`` asks for different blocks."""
     block, rep, root, size = (np.array([r[k] for r in rows]) for k in range(4))
     width = np.array([len(r[4]) for r in rows])
+    signatures = np.frombuffer(b"".join([r[5] for r in rows]), "<u2").reshape(-1, SYMBOLS)
     for w in np.unique(width):
         wide = np.flatnonzero(width >= w)
         sketch = np.stack([folded(np.frombuffer(rows[k][4], "u1"), w) for k in wide]).view("u8")
@@ -270,6 +291,7 @@ def met_pairs(rows: list[tuple], percent: int, across: bool):
                 continue
             differ = np.bitwise_count(sketch[ok] ^ sketch[at]).sum(1, dtype="i8")
             y = wide[ok[may_link(size[wide[ok]], size[x], differ, percent)]]
+            y = y[first_shared(signatures[y], signatures[x][None]) == rows[x][6]]
             if len(y):
                 other = np.full(len(y), rep[x])
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[y], other)), pa.array(np.minimum(rep[y], other))], names=["a", "b"])
@@ -300,9 +322,9 @@ def near_dedup(docs: DataFrame, width=5, percent=80, key="doc_id", text="text")
 
     # Of up to three members, all pairs are star pairs.
     large = members.where("members > 3").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    large = large.select("key", "members", "rep", F.coalesce("root", "rep").alias("root"))
+    large = large.select("key", "left_out", "members", "rep", F.coalesce("root", "rep").alias("root"))
     split = large.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    rest = large.join(split, "key").join(reps.select("rep", "n_shingles", "parity"), "rep")
+    rest = large.join(split, "key").join(reps.select("rep", "n_shingles", "parity", "signature"), "rep")
     crossed = settle(block_pairs(rest, percent), "near-crossed")
     more = confirmed(crossed, docs, width, percent, key, text)
     roots = components(roots.toDF("a", "b").union(more))
