@@ -19,12 +19,12 @@ from excerpta.llm.common import batches, per_worker, text_runs
 
 RUN_CHARS = 8 << 20
 CACHE_WORDS = 400_000
-END = "\0"  # the end mark as one character; no byte is written as it
+LAST = 0x10000  # added to a word's last character: with the end mark it is another symbol than without
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("longest_word", pa.int64())])
 
 
 class LongestMatch:
-    """``pieces(word)`` for words spelled in the vocabulary's characters and closed by ``END``."""
+    """``pieces(word)`` for words spelled in the vocabulary's symbols."""
 
     def __init__(self, vocabulary):
         self.child: list[dict[str, int]] = [{}]
@@ -70,11 +70,16 @@ class LongestMatch:
         return 1 if node < 0 else count
 
 
+def closed(spelled: str) -> str:
+    """A spelling that ends a word."""
+    return spelled[:-1] + chr(ord(spelled[-1]) + LAST)
+
+
 class Counter:
     def __init__(self, path: str):
         self.walk = TrieWalk(path)
         end = self.walk.file.end
-        self.match = LongestMatch(t.removesuffix(end) + END if t.endswith(end) else t for t in self.walk.file.vocabulary)
+        self.match = LongestMatch(closed(t.removesuffix(end)) if t.endswith(end) else t for t in self.walk.file.vocabulary)
         self.known: dict[str, int] = {}
 
     def counted(self, texts: list[str]) -> list[tuple[int, int, int]]:
@@ -85,7 +90,7 @@ class Counter:
         characters, special = self.walk.file.characters, self.walk.file.special
         for word in set().union(*split).difference(self.known):
             spelled = "".join([characters[b] for b in word.encode("utf-8", "surrogatepass")])
-            self.known[word] = 1 if word in special else self.match.pieces(spelled + END)
+            self.known[word] = 1 if word in special else self.match.pieces(closed(spelled))
         found = [[self.known[w] for w in words] for words in split]
         return [(len(f), sum(f), max(f, default=0)) for f in found]
 
