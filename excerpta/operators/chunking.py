@@ -1,8 +1,9 @@
 """Heading-aware chunking of Markdown and page-scoped chunking of extracted PDF text.
 
-One document is one row, so everything here is a narrow projection: no shuffle, no Python. The
-sequential part (heading stack, greedy packing to 1200 characters) is a single ``aggregate`` fold
-whose accumulator grows by one entry per *chunk*, not per line.
+One document is one row, so everything here is a narrow projection without a shuffle. Lines are split, cleaned and measured
+in the JVM. The sequential part (heading stack, greedy packing to 1200 characters) is a small function over line sizes,
+levels and flags, exchanged as Arrow batches: an ``aggregate`` over the row copies its whole state at every line, which
+grows with the square of a file. Chunk texts are then cut from the lines in the JVM.
 """
 
 from __future__ import annotations
@@ -11,9 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from excerpta.functions import identity, text as tx
 
-BREAK = "struct<at:int,path:array<string>>"
-FOLD = f"struct<breaks:array<{BREAK}>,size:int,seen:int,path:array<string>>"
-
 
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable: evaluated once per row however often ``body`` uses it."""
@@ -29,8 +27,9 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
-def _lines(source: Column, headings: bool) -> Column:
+def _lines(source: Column, headings: bool, page: Column | None = None) -> Column:
     """Non-blank numbered lines; a line beyond the limit becomes fixed-width pieces marked solo."""
+    page = (F.lit(None) if page is None else page).cast("int").alias("page")
 
     def number(raw, index):
         line = (index + 1).cast("int")
@@ -44,7 +43,9 @@ def _lines(source: Column, headings: bool) -> Column:
             line.alias("line"),
             level.cast("int").alias("level"),
             shown.alias("text"),
+            F.length(shown).alias("chars"),
             F.lit(False).alias("solo"),
+            page,
         )
 
     numbered = F.filter(F.transform(tx.split_lines(source), number), lambda item: item["text"] != "")
@@ -58,74 +59,61 @@ def _lines(source: Column, headings: bool) -> Column:
                 item["line"].alias("line"),
                 F.lit(0).alias("level"),
                 piece.alias("text"),
+                F.length(piece).alias("chars"),
                 F.lit(True).alias("solo"),
+                page,
             ),
         )
-        return F.when(F.length(item["text"]) > tx.MAX_CHUNK_CHARS, wide).otherwise(F.array(item))
+        return F.when(item["chars"] > tx.MAX_CHUNK_CHARS, wide).otherwise(F.array(item))
 
     def widen(lines):
-        too_wide = F.exists(lines, lambda item: F.length(item["text"]) > tx.MAX_CHUNK_CHARS)
+        too_wide = F.exists(lines, lambda item: item["chars"] > tx.MAX_CHUNK_CHARS)
         return F.when(too_wide, F.flatten(F.transform(lines, pieces))).otherwise(lines)
 
     return let(numbered, widen)
 
 
-def _breaks(lines: Column) -> Column:
-    """Positions where a chunk starts, each with the heading path in force there."""
+def chunk_starts(levels, sizes, solo, pages):
+    """Positions where a chunk starts, each with the positions of the headings in force there.
 
-    def step(state, item):
-        chars = F.length(item["text"])
-        is_heading = item["level"] > 0
-        path = F.when(
-            is_heading,
-            F.concat(
-                F.slice(state["path"], F.lit(1), F.least(F.size(state["path"]), item["level"] - 1)),
-                F.array(item["text"]),
-            ),
-        ).otherwise(state["path"])
-        joined = state["size"] + 1 + chars
-        starts = (state["size"] < 0) | is_heading | item["solo"] | (joined > tx.MAX_CHUNK_CHARS)
-        start = F.array(F.struct(state["seen"].alias("at"), path.alias("path")))
-        return F.struct(
-            F.when(starts, F.concat(state["breaks"], start)).otherwise(state["breaks"]).alias("breaks"),
-            F.when(item["solo"], -1).when(starts, chars).otherwise(joined).cast("int").alias("size"),
-            (state["seen"] + 1).cast("int").alias("seen"),
-            path.alias("path"),
-        )
+    A chunk starts at a heading, at a solo line and after one, on a new page, and where one more line would exceed the
+    limit. One pass over small integers; the texts stay where they are.
+    """
+    out, path, size, page = [], [], -1, None
+    for at, (level, chars, alone, own) in enumerate(zip(levels, sizes, solo, pages)):
+        if level:
+            path = path[: level - 1] + [at]
+        if size < 0 or level or alone or own != page or size + 1 + chars > tx.MAX_CHUNK_CHARS:
+            out.append((at, path))
+            size = chars
+        else:
+            size += 1 + chars
+        page = own
+        if alone:
+            size = -1
+    return out
 
-    empty = F.struct(
-        F.array().cast(f"array<{BREAK}>").alias("breaks"),
-        F.lit(-1).alias("size"),
-        F.lit(0).alias("seen"),
-        F.array().cast("array<string>").alias("path"),
-    ).cast(FOLD)
-    return F.aggregate(lines, empty, step, lambda state: state["breaks"])
 
+def packed(df: DataFrame, name: str, lines: Column) -> DataFrame:
+    """Adds ``name``: the chunks of ``lines`` in order (text, heading path, line range, page) and the first level-1 heading."""
+    starts = F.udf(chunk_starts, "array<struct<at:int,path:array<int>>>", useArrow=True)
+    held = once(df, "_lines", lines)
+    held = once(held, "_starts", starts("_lines.level", "_lines.chars", "_lines.solo", "_lines.page"))
 
-def _pieces(lines: Column, breaks: Column) -> Column:
     def piece(start, index):
-        following = F.get(breaks, index + 1)["at"]
-        until = F.coalesce(following, F.size(lines))
-        part = F.slice(lines, start["at"] + 1, until - start["at"])
+        until = F.coalesce(F.get("_starts", index + 1)["at"], F.size("_lines"))
+        part = F.slice("_lines", start["at"] + 1, until - start["at"])
         return F.struct(
             F.array_join(F.transform(part, lambda item: item["text"]), "\n").alias("chunk_text"),
-            start["path"].alias("heading_path"),
+            F.transform(start["path"], lambda at: F.get("_lines", at)["text"]).alias("heading_path"),
             F.element_at(part, 1)["line"].alias("first_line"),
             F.element_at(part, -1)["line"].alias("last_line"),
+            F.element_at(part, 1)["page"].alias("page"),
         )
 
-    return F.transform(breaks, piece)
-
-
-def pack(source: Column, *, headings: bool) -> Column:
-    """Chunks of one text in order, with heading path and line range, plus its first level-1 heading."""
-    return let(
-        _lines(source, headings),
-        lambda lines: F.struct(
-            let(_breaks(lines), lambda breaks: _pieces(lines, breaks)).alias("pieces"),
-            F.get(F.filter(lines, lambda item: item["level"] == 1), F.lit(0))["text"].alias("first_h1"),
-        ),
-    )
+    titles = F.filter("_lines", lambda item: item["level"] == 1)
+    made = F.struct(F.transform("_starts", piece).alias("pieces"), F.get(titles, F.lit(0))["text"].alias("first_h1"))
+    return once(held, name, made).drop("_lines", "_starts")
 
 
 def markdown_anchor(first_line: Column, last_line: Column, heading_path: Column) -> Column:
@@ -161,13 +149,13 @@ def markdown_documents(sources: DataFrame) -> DataFrame:
     )
     stem = tx.clean_title(tx.file_stem("source_name"), tx.UNTITLED_DOCUMENT)
     hint = F.coalesce(F.col("title_hint"), F.lit(""))
-    packed = once(sources, "_packed", pack(F.col("content_text"), headings=True))
-    if "source_sha256" not in packed.columns:
-        packed = packed.withColumn("source_sha256", digest)
-    if "byte_size" not in packed.columns:
-        packed = packed.withColumn("byte_size", F.octet_length("content_text").cast("long"))
+    made = packed(sources, "_packed", _lines(F.col("content_text"), headings=True))
+    if "source_sha256" not in made.columns:
+        made = made.withColumn("source_sha256", digest)
+    if "byte_size" not in made.columns:
+        made = made.withColumn("byte_size", F.octet_length("content_text").cast("long"))
     return (
-        packed.withColumn("title_hint", F.coalesce("_packed.first_h1", F.lit("")))
+        made.withColumn("title_hint", F.coalesce("_packed.first_h1", F.lit("")))
         .withColumn("chunks", chunks)
         .drop("_packed")
         .withColumn("document_id", identity.document_id("source_name", "source_sha256"))
@@ -188,35 +176,25 @@ def markdown_documents(sources: DataFrame) -> DataFrame:
 def pdf_documents(sources: DataFrame) -> DataFrame:
     """``sources(source_name, source_sha256, byte_size, units, pdf_title, ...)`` likewise, page by page."""
 
-    def page(unit, index):
-        number = (index + 1).cast("int")
-        return F.transform(
-            pack(unit, headings=False)["pieces"],
-            lambda piece: F.struct(
-                piece["chunk_text"].alias("chunk_text"),
-                F.array().cast("array<string>").alias("heading_path"),
-                number.alias("pdf_page_start"),
-                number.alias("pdf_page_end"),
-                F.lit(None).cast("int").alias("source_line_start"),
-                F.lit(None).cast("int").alias("source_line_end"),
-                pdf_anchor(number).alias("anchor_label"),
-            ),
+    def piece(piece, index):
+        return F.struct(
+            (index + 1).cast("int").alias("ordinal"),
+            piece["chunk_text"].alias("chunk_text"),
+            F.array().cast("array<string>").alias("heading_path"),
+            piece["page"].alias("pdf_page_start"),
+            piece["page"].alias("pdf_page_end"),
+            F.lit(None).cast("int").alias("source_line_start"),
+            F.lit(None).cast("int").alias("source_line_end"),
+            pdf_anchor(piece["page"]).alias("anchor_label"),
         )
 
-    numbered = F.transform(
-        F.flatten(F.transform("units", page)),
-        lambda piece, index: F.struct(
-            (index + 1).cast("int").alias("ordinal"),
-            *(piece[name].alias(name) for name in (
-                "chunk_text", "heading_path", "pdf_page_start", "pdf_page_end",
-                "source_line_start", "source_line_end", "anchor_label",
-            )),
-        ),
-    )
+    lines = F.flatten(F.transform("units", lambda unit, index: _lines(unit, False, index + 1)))
     stem = tx.clean_title(tx.file_stem("source_name"), tx.UNTITLED_DOCUMENT)
     visible = F.aggregate("units", F.lit(0), lambda total, unit: total + tx.visible_chars(unit))
     return (
-        once(sources, "chunks", numbered)
+        packed(sources, "_packed", lines)
+        .withColumn("chunks", F.transform("_packed.pieces", piece))
+        .drop("_packed")
         .withColumn("title_hint", F.lit(""))
         .withColumn("document_id", identity.document_id("source_name", "source_sha256"))
         .withColumn("asset_id", identity.asset_id("source_name", "source_sha256"))
@@ -254,7 +232,8 @@ def chunk_pages(pages: DataFrame, key: str, page: str, column: str) -> DataFrame
     document, and a document of any length is numbered block by block (see ``running_offset``).
     """
     paged = pages.select(key, F.col(page).alias("_page"), F.col(column).alias("_text"))
-    sized = once(paged, "_pieces", pack(F.col("_text"), headings=False)["pieces"]).withColumn("_n", F.size("_pieces"))
+    made = packed(paged, "_packed", _lines(F.col("_text"), headings=False))
+    sized = made.select(key, "_page", F.col("_packed.pieces").alias("_pieces"), F.size("_packed.pieces").alias("_n"))
     offsets = running_offset(sized.select(key, "_page", "_n"), key, "_page", "_n")
     placed = sized.join(offsets, [key, "_page"])
     return placed.select(
