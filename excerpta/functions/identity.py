@@ -20,8 +20,10 @@ ID_PATTERNS = {
 }
 # ------------------------------------------------------------------------------------------------
 
-# Members one task may list when the corpus digest is computed; larger sets are hashed as a tree.
-LEAF_MEMBERS = 50_000
+# The corpus digest's tree: hex digits of the document id that name a leaf and an inner node.
+ID_PREFIX = len("doc_")
+LEAF_DIGITS = 6
+NODE_DIGITS = 3
 
 
 def canonical_json(value) -> str:
@@ -30,13 +32,19 @@ def canonical_json(value) -> str:
 
 
 def json_string(text) -> Column:
-    """JSON string literal with exactly the escapes of ``canonical_json``."""
+    """JSON string literal with exactly the escapes of ``canonical_json``.
+
+    Line feed, tab and carriage return are common; the other control characters have a test of their own, so that
+    ordinary texts pay for three replacements.
+    """
     text = F.col(text) if isinstance(text, str) else text
     escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    controlled = escaped
+    common = rare = escaped
+    for char in "\n\t\r":
+        common = F.replace(common, F.lit(char), F.lit(json.dumps(char)[1:-1]))
     for code in range(32):
-        controlled = F.replace(controlled, F.lit(chr(code)), F.lit(json.dumps(chr(code))[1:-1]))
-    body = F.when(text.rlike(r"[\x00-\x1f]"), controlled).otherwise(escaped)
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(json.dumps(chr(code))[1:-1]))
+    body = F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).otherwise(common)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
@@ -90,13 +98,13 @@ def object_path(kind, digest) -> Column:
     return F.concat(F.lit("objects/"), kind, F.lit("/"), digest, F.lit("/payload"))
 
 
-def corpus_digest(members: DataFrame, *keys: str, leaf_members: int = LEAF_MEMBERS) -> DataFrame:
+def corpus_digest(members: DataFrame, *keys: str) -> DataFrame:
     """One SHA-256 per ``keys`` group over its members ``(document_id, source_name, source_sha256)``.
 
-    Up to ``leaf_members`` members this is the SHA-256 of the canonical JSON list sorted by
-    document_id. Larger sets are split by the leading hex digits of the document id (a hash, so the
-    parts are even), each part is listed and hashed on its own, and the digests are folded upwards
-    256 at a time: no task ever lists the whole set.
+    A hash tree of three levels, the same for every size. Members are dealt to leaves by the first ``LEAF_DIGITS`` hex
+    digits of the document id, which is a hash itself, so leaves are even; a leaf is the SHA-256 of the canonical JSON list
+    of its members in order of their ids. An inner node is the SHA-256 of its leaves' digests in order, the root that of
+    the inner nodes' digests. No task lists more than one leaf, or the digests of one node.
     """
     keys = list(keys)
     entry = F.concat(
@@ -105,30 +113,14 @@ def corpus_digest(members: DataFrame, *keys: str, leaf_members: int = LEAF_MEMBE
         F.lit(',"source_sha256":'), json_string("source_sha256"),
         F.lit("}"),
     )
-    leaves = members.select(*keys, "document_id", entry.alias("_entry"))
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("members"))
-    depth = F.lit(0)
-    for digits in (2, 4, 6, 8):
-        depth = F.when(F.col("members") > leaf_members * 256 ** (digits // 2 - 1), digits).otherwise(depth)
-    sizes = sizes.withColumn("_depth", depth)
-    # One row per library: at most a few rows, joined without a hint so Catalyst checks the size.
-    if keys:
-        placed = leaves.join(sizes, keys)
-    else:
-        size = sizes.select(F.struct("members", "_depth").alias("_size")).scalar()
-        placed = leaves.withColumn("_size", size).select("*", "_size.*")
-    node = F.when(F.col("_depth") == 0, F.lit("")).otherwise(F.expr("substring(document_id, 5, _depth)"))
-    listing = F.array_sort(F.collect_list(F.struct("document_id", "_entry")))
-    nodes = placed.groupBy(*keys, "members", node.alias("_node")).agg(
-        sha256(
-            F.concat(F.lit("["), F.array_join(F.transform(listing, lambda m: m["_entry"]), ","), F.lit("]"))
-        ).alias("_digest")
-    )
-    for digits in (6, 4, 2, 0):
-        parent = F.expr(f"substring(_node, 1, {digits})")
-        folded = F.array_sort(F.collect_list(F.struct("_node", "_digest")))
-        joined = F.array_join(F.transform(folded, lambda n: n["_digest"]), "")
-        nodes = nodes.groupBy(*keys, "members", parent.alias("_parent")).agg(
-            F.when(F.max(F.length("_node")) > digits, sha256(joined)).otherwise(F.max("_digest")).alias("_digest")
-        ).withColumnRenamed("_parent", "_node")
+    leaf = F.substring("document_id", ID_PREFIX + 1, LEAF_DIGITS)
+    listing = F.array_sort(F.collect_list(F.struct("document_id", entry.alias("e"))))
+    content = F.concat(F.lit("["), F.array_join(F.transform(listing, lambda m: m["e"]), ","), F.lit("]"))
+    nodes = members.groupBy(*keys, leaf.alias("_node")).agg(sha256(content).alias("_digest"), F.count("*").alias("members"))
+    for digits in (NODE_DIGITS, 0):
+        below = F.array_sort(F.collect_list(F.struct("_node", "_digest")))
+        nodes = nodes.groupBy(*keys, F.substring("_node", 1, digits).alias("_up")).agg(
+            sha256(F.array_join(F.transform(below, lambda n: n["_digest"]), "")).alias("_digest"),
+            F.sum("members").alias("members"),
+        ).withColumnRenamed("_up", "_node")
     return nodes.select(*keys, "members", F.col("_digest").alias("corpus_sha256"))

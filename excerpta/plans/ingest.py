@@ -246,10 +246,9 @@ SELECT doc_id, document_id, asset_id, title, source_sha256, strlen(content_text)
 FROM titles JOIN sizes USING (doc_id)""",
     "chunk_ids": f"WITH {CHUNKS} SELECT doc_id, ordinal, chunk_id FROM chunks",
     "corpus_hash": f"""WITH {io.FILES},
-ids AS (SELECT lang, source_name, sha256(content_text) AS s,
-  'doc_' || substr(sha256(source_name || chr(0) || sha256(content_text)), 1, 24) AS d FROM files)
-SELECT lang, count(*) AS members, sha256('[' || string_agg('{{"document_id":"' || d || '","source_name":"' || source_name
-  || '","source_sha256":"' || s || '"}}', ',' ORDER BY d) || ']') AS corpus_sha256 FROM ids GROUP BY lang""",
+ids AS (SELECT lang, source_name, sha256(content_text) AS source_sha256,
+  'doc_' || substr(sha256(source_name || chr(0) || sha256(content_text)), 1, 24) AS document_id FROM files),
+{io.sql_digest("ids", "lang")}""",
     "import_checks": """SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, count(*) AS valid_utf8,
   count(*) FILTER (contains(text, chr(65533))) AS replacement_chars,
   sum(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')))::BIGINT AS visible_chars,

@@ -290,10 +290,8 @@ UNION ALL SELECT 'result_collision', (SELECT count(*) FROM (SELECT document_id F
 UNION ALL SELECT 'empty_result', (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM result)""",
     "corpus_hash_versions": f"""WITH {CHANGES},
 both_versions AS (SELECT 'base' AS version, document_id, source_name, source_sha256 FROM base
-  UNION ALL SELECT 'next', document_id, source_name, source_sha256 FROM next)
-SELECT version, count(*) AS members, sha256('[' || string_agg('{{"document_id":"' || document_id || '","source_name":"' || source_name
-  || '","source_sha256":"' || source_sha256 || '"}}', ',' ORDER BY document_id) || ']') AS corpus_sha256
-FROM both_versions GROUP BY version""",
+  UNION ALL SELECT 'next', document_id, source_name, source_sha256 FROM next),
+{io.sql_digest("both_versions", "version")}""",
     "lineage_violations": f"""WITH {TURNS}
 SELECT t.conv_id, t.position, t.snapshot_id, t.base_snapshot_id FROM turns t
 WHERE t.base_snapshot_id IS NOT NULL AND NOT EXISTS (

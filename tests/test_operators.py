@@ -107,20 +107,22 @@ def test_json_strings_equal_python(spark):
     assert [r[0] for r in frame.select(identity.json_string("s")).collect()] == [identity.canonical_json(s) for s in samples]
 
 
-def test_corpus_digest_list_and_tree(spark):
+@pytest.mark.parametrize("size", [1, 7, 3000])
+def test_corpus_digest_is_one_tree_at_every_size(spark, size):
     import hashlib
 
-    rows = [(f"doc_{hashlib.sha256(str(i).encode()).hexdigest()[:24]}", f"{i}.md", "s" * 64) for i in range(600)]
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    # Ids with few leading digits put many members in one leaf.
+    rows = [(f"doc_{i % 5:06x}{sha(str(i))[:18]}", f"{i}.md", "s" * 64) for i in range(size)]
     frame = spark.createDataFrame(rows, "document_id string, source_name string, source_sha256 string")
-    listed = [{"document_id": d, "source_name": n, "source_sha256": s} for d, n, s in sorted(rows)]
-    want = hashlib.sha256(identity.canonical_json(listed).encode()).hexdigest()
-    assert identity.corpus_digest(frame).first()["corpus_sha256"] == want
-    groups = {}
-    for item in listed:
-        groups.setdefault(item["document_id"][4:6], []).append(item)
-    leaves = [hashlib.sha256(identity.canonical_json(groups[g]).encode()).hexdigest() for g in sorted(groups)]
-    tree = hashlib.sha256("".join(leaves).encode()).hexdigest()
-    assert identity.corpus_digest(frame, leaf_members=100).first()["corpus_sha256"] == tree
+    leaves, nodes = {}, {}
+    for d, n, s in sorted(rows):
+        leaves.setdefault(d[4:10], []).append({"document_id": d, "source_name": n, "source_sha256": s})
+    for leaf in sorted(leaves):
+        nodes.setdefault(leaf[:3], []).append(sha(identity.canonical_json(leaves[leaf])))
+    want = sha("".join(sha("".join(nodes[n])) for n in sorted(nodes)))
+    got = identity.corpus_digest(frame).first()
+    assert (got["members"], got["corpus_sha256"]) == (size, want)
 
 
 def test_sections_recur_and_budget(spark):
