@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -33,6 +34,10 @@ def parser():
             verb.add_argument("--replace", action="append", default=[], metavar="DOCUMENT_ID=FILE")
         elif name != "snapshots":
             verb.add_argument("snapshot_id")
+        if name.endswith("-vectors"):
+            verb.add_argument("--profile", required=True, help="JSON file of the embedding profile")
+        if name == "build-vectors":
+            verb.add_argument("--embedder", required=True, metavar="MODULE:CLASS")
         if name == "search":
             verb.add_argument("query")
             verb.add_argument("--top-k", type=int, default=5)
@@ -69,9 +74,12 @@ def run(spark, args):
         return EvidenceTools(registry).search_documents(
             args.library_id, args.snapshot_id, args.query, top_k=args.top_k, excerpt_chars=args.excerpt_chars
         )
-    store, profile = VectorStore(library), vec.offline_profile()
+    with open(args.profile, encoding="utf-8") as file:
+        profile = json.load(file)
+    store = VectorStore(library)
     if args.verb == "build-vectors":
-        return store.build(args.snapshot_id, profile, vec.OfflineEmbedder())
+        module, _, name = args.embedder.partition(":")
+        return store.build(args.snapshot_id, profile, getattr(importlib.import_module(module), name)())
     return store.verify(args.snapshot_id, vec.profile_id(profile))
 
 

@@ -31,9 +31,7 @@ MEMBER = (
     "document_id string, segment string, asset_id string, source_name string, source_sha256 string, title string, "
     "media_type string, byte_size bigint, chunk_count bigint"
 )
-PIPELINE = hashlib.sha256(
-    canonical_json([objects.MARKDOWN_PARSER, objects.PDF_PARSER, objects.CHUNKER]).encode()
-).hexdigest()
+PIPELINE = hashlib.sha256(canonical_json(objects.STEPS).encode()).hexdigest()
 TARGET_ROWS = 2_000_000
 
 

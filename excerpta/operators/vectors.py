@@ -24,6 +24,21 @@ def missing_inputs(mapped: DataFrame, stored: DataFrame | None) -> DataFrame:
     return wanted.select("vector_object_id", "chunk_text").dropDuplicates(["vector_object_id"])
 
 
+def embed_batches(missing: DataFrame, digits: int = 3, size: int = vec.BATCH_SIZE) -> DataFrame:
+    """``(part, batch, inputs, input_chars, first_id)`` of the calls for ``missing`` inputs.
+
+    Object ids are digests, so their first ``digits`` hex digits deal them evenly to parts that are numbered apart.
+    """
+    part = F.substring("vector_object_id", len("vec_") + 1, digits)
+    placed = missing.select("vector_object_id", F.length("chunk_text").alias("_chars"), part.alias("part"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("vector_object_id")) - 1
+    return (
+        placed.withColumn("batch", F.floor(place / size))
+        .groupBy("part", "batch")
+        .agg(F.count("*").alias("inputs"), F.sum("_chars").alias("input_chars"), F.min("vector_object_id").alias("first_id"))
+    )
+
+
 def checked_embedder(embedder, profile):
     simulated = getattr(embedder, "simulated", None)
     if not callable(embedder) or type(simulated) is not bool or getattr(embedder, "offline", None) is not simulated:

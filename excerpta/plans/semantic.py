@@ -10,8 +10,13 @@ from excerpta.operators import bm25, chunking, evaluate, rerank, vectors
 from excerpta.plans import inputs as io
 from excerpta.plans.search import BATCH_SQL
 
-PROFILE = vec.offline_profile(dimensions=8)
-OTHER = vec.offline_profile(dimensions=8, instruction="Represent the evidence for another purpose.")
+PROFILE = vec.checked_profile(
+    {
+        "provider": "example", "model_id": "passages", "model_revision": "3", "dimensions": 8, "input_role": "passage",
+        "instruction": "Stand for this passage.", "preprocessing": {"implementation": "plain", "version": 1, "config": {}},
+    }
+)
+OTHER = vec.checked_profile({**PROFILE, "instruction": "Stand for this question."})
 
 
 def _embeddings(spark, sf):
@@ -103,11 +108,10 @@ def vector_readiness(spark, sf):
     return vectors.snapshot_readiness(turns.select("snapshot_id"), artifacts, "mine", running)
 
 
-def fake_embed(spark, sf):
-    """Deterministic offline vectors of all distinct chunk texts."""
+def embed_plan(spark, sf):
+    """The calls an embedder will get: distinct missing inputs in batches, numbered within parts of the id space."""
     missing = vectors.missing_inputs(_inputs(spark, sf), _stored(spark, sf))
-    made = vectors.embed(missing, PROFILE, vec.OfflineEmbedder())
-    return made.select("vector_object_id", "input_sha256", "input_byte_size", "payload_sha256", "payload_byte_size")
+    return vectors.embed_batches(missing, digits=1)
 
 
 def mapping_audit(spark, sf):
@@ -236,7 +240,7 @@ QUERIES = {
     "vector_coverage": vector_coverage,
     "vector_readiness": vector_readiness,
     "vector_mapping_audit": mapping_audit,
-    "fake_embed": fake_embed,
+    "embed_plan": embed_plan,
     "rerank_budget": rerank_budget,
     "enhanced_search": enhanced_search,
     "rerank_answer_audit": rerank_answer_audit,
@@ -332,6 +336,11 @@ FROM uniq GROUP BY lang""",
 SELECT lang, count(*) FILTER (NOT known) AS new_inputs, count(*) FILTER (known) AS reused_inputs,
   coalesce(sum(chars) FILTER (NOT known), 0)::BIGINT AS new_input_chars,
   ceil(count(*) FILTER (NOT known) / 10.0)::BIGINT AS planned_calls FROM uniq GROUP BY lang""",
+    "embed_plan": f"""{INPUTS},
+wanted AS (SELECT vector_object_id AS id, max(length(chunk_text)) AS chars, substr(vector_object_id, 5, 1) AS part FROM inputs
+  WHERE vector_object_id NOT IN (SELECT vector_object_id FROM stored) GROUP BY 1),
+batched AS (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY id) - 1) // 10 AS batch FROM wanted)
+SELECT part, batch, count(*) AS inputs, sum(chars)::BIGINT AS input_chars, min(id) AS first_id FROM batched GROUP BY part, batch""",
     "vector_coverage": f"""{INPUTS},
 other AS (SELECT DISTINCT chunk_text FROM inputs WHERE lang = 'de'),
 per AS (

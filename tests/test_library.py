@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from excerpta import tools as tool_module
-from excerpta.enhanced import EnhancedSearch, EnhancedSearchConfig
+from tests import offline
+from excerpta.enhanced import EnhancedSearch, SearchPlan
 from excerpta.errors import EnhancedSearchError, ImportPolicyError, LibraryRegistryError, SearchInputError, SnapshotError, VectorError
 from excerpta.functions import vectors as vec
 from excerpta.registry import LibraryRegistry
@@ -239,26 +240,29 @@ class Script:
 
 def test_vectors_and_enhanced_search(world, tmp_path):
     library, snap = world["library"], world["first"]["snapshot_id"]
-    store, profile = VectorStore(library), vec.offline_profile()
+    store, profile = VectorStore(library), offline.profile()
     assert store.preview(snap, profile)["planned_calls"] == 1
     assert store.readiness(profile) == {snap: "missing"}
-    built = store.build(snap, profile, vec.OfflineEmbedder())
+    built = store.build(snap, profile, offline.Embedder())
     # Nine chunks; the two files of equal text share one input.
     assert built["statistics"]["vector_references"] == 9 and built["statistics"]["unique_inputs"] == 8
     assert built["statistics"]["deduplicated_vector_bytes"] == 64
-    assert store.build(snap, profile, vec.OfflineEmbedder())["already_exists"]
+    assert store.build(snap, profile, offline.Embedder())["already_exists"]
     assert store.readiness(profile) == {snap: "ready"}
-    assert store.readiness(vec.offline_profile(input_role="other")) == {snap: "mismatch"}
+    assert store.readiness(offline.profile(input_role="other")) == {snap: "mismatch"}
     assert {r["vector_status"] for r in store.document_readiness(snap, profile).collect()} == {"ready"}
-    assert {r["vector_status"] for r in store.document_readiness(snap, vec.offline_profile(dimensions=9)).collect()} == {"mismatch"}
+    assert {r["vector_status"] for r in store.document_readiness(snap, offline.profile(dimensions=9)).collect()} == {"mismatch"}
 
     hit = search(world, "Shannon entropy")["results"][0]
     text = library.table(snap, "chunk").filter(F.col("chunk_id") == hit["chunk_id"]).first()["chunk_text"]
-    vector = vec.OfflineEmbedder()([text], profile)[0]
-    config = EnhancedSearchConfig(
-        provider=profile["provider"], query_rewrite_model_id="r", vector_recall_model_id=profile["model_id"],
-        candidate_rerank_model_id="k", vector_profile=profile, max_rerank_candidates=5,
-    )
+    vector = offline.Embedder()([text], profile)[0]
+    models = {"query_rewrite": "r", "vector_recall": profile["model_id"], "candidate_rerank": "k"}
+    config = SearchPlan(profile["provider"], models, profile, candidates=5)
+    for wrong in ({"candidates": 11}, {"candidates": True}, {"else": 1}):
+        with pytest.raises(ValueError):
+            SearchPlan(profile["provider"], models, profile, **wrong)
+    with pytest.raises(ValueError):
+        SearchPlan("another", models, profile)
 
     def first_two(payload):
         return [{"chunk_id": c["chunk_id"], "score": i} for i, c in enumerate(payload["candidates"][:2])]
@@ -290,23 +294,28 @@ def test_vectors_and_enhanced_search(world, tmp_path):
         EnhancedSearch(config, Script()).search(library, snap, " ")
     assert caught.value.audit["call_count"] == 0
 
-    class Short(vec.OfflineEmbedder):
+    class Short(offline.Embedder):
         def __call__(self, texts, profile):
             return [v[:-1] for v in super().__call__(texts, profile)]
 
     with pytest.raises(VectorError):
-        store.build(snap, vec.offline_profile(dimensions=4), Short())
-    assert store.readiness(vec.offline_profile(dimensions=4)) == {snap: "mismatch"}
+        store.build(snap, offline.profile(dimensions=4), Short())
+    assert store.readiness(offline.profile(dimensions=4)) == {snap: "mismatch"}
 
 
 def test_profile_rules():
-    base = vec.offline_profile()
+    base = offline.profile()
     ids = {vec.profile_id({**base, **change}) for change in (
         {}, {"provider": "offline-x"}, {"model_id": "m"}, {"model_revision": "2"}, {"dimensions": 9}, {"input_role": "query"},
         {"instruction": ""}, {"preprocessing": {**base["preprocessing"], "version": 2}},
     )}
     assert len(ids) == 8
-    for change in ({"model_revision": "latest"}, {"dimensions": True}, {"dimensions": 0}, {"extra": 1},
-                   {"preprocessing": {**base["preprocessing"], "config": {"api_key": "x"}}}):
+    steps = base["preprocessing"]
+    for fine in ("tokenizer", "max_tokens", "secretary"):
+        assert vec.checked_profile({**base, "preprocessing": {**steps, "config": {fine: "x"}}})
+    assert vec.checked_profile({**base, "provider": "p" * 500})
+    for change in ({"model_revision": "Latest"}, {"dimensions": True}, {"dimensions": 0}, {"extra": 1}, {"provider": " x"},
+                   {"preprocessing": {**steps, "config": {"a": [{"Api-Key": "x"}]}}}, {"preprocessing": {**steps, "config": {"user_token": 1}}},
+                   {"preprocessing": {"version": 1}}, {"preprocessing": 3}):
         with pytest.raises(VectorError):
             vec.checked_profile({**base, **change})

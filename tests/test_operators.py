@@ -10,6 +10,7 @@ from excerpta.operators import audit, chunking, evaluate, members, navigation, o
 from excerpta.schemas import asset_rows, chunk_rows, document_rows
 from excerpta.sources import metrics, uploads
 from excerpta.streaming import connection
+from tests import offline
 
 
 def prepared(spark, texts):
@@ -164,12 +165,16 @@ def test_created_flag_goes_to_the_first_reference(spark):
 def test_object_layers_change_only_downstream(spark):
     made = prepared(spark, ["# A\ntext"])
     plain = {r["kind"]: r["sha256"] for r in objects.object_payloads(made).collect()}
-    other = {**objects.CHUNKER, "version": 2}
-    changed = {r["kind"]: r["sha256"] for r in objects.object_payloads(made, chunker=other).collect()}
+    own = objects.STEPS["text/markdown"]
+    layers = lambda **new: {
+        r["kind"]: r["sha256"] for r in objects.object_payloads(made, steps={"text/markdown": {**own, **new}}).collect()
+    }
+    changed, again = layers(chunker="another"), layers(parser="another")
     assert plain["source"] == changed["source"] and plain["parsed"] == changed["parsed"] and plain["chunks"] != changed["chunks"]
-    parser = {**objects.MARKDOWN_PARSER, "version": 2}
-    again = {r["kind"]: r["sha256"] for r in objects.object_payloads(made, parser=parser).collect()}
     assert plain["source"] == again["source"] and plain["parsed"] != again["parsed"] and plain["chunks"] != again["chunks"]
+    pdf = made.withColumn("media_type", F.lit("application/pdf"))
+    other = {r["kind"]: r["payload"].decode() for r in objects.object_payloads(pdf).collect()}
+    assert "pdf text layer" in other["parsed"] and "excerpta pages" in other["chunks"]
 
 
 FAULTS = {
@@ -225,7 +230,7 @@ def test_catalog_rules(spark):
 
 
 def test_vectors(spark):
-    profile = vec.offline_profile()
+    profile = offline.profile()
     frame = spark.createDataFrame([(1, "text é"), (2, 'q"\n')], "i int, chunk_text string")
     got = {r["i"]: r["v"] for r in frame.select("i", vec.vector_object_id(profile, "chunk_text").alias("v")).collect()}
     import hashlib
