@@ -72,11 +72,17 @@ def checked_query_column(query) -> Column:
     return F.when(valid, normal)
 
 
+def query_status(query) -> Column:
+    """``refused`` for a query that ``checked_query`` would refuse, ``empty`` for one without a word, else ``asked``."""
+    normal = checked_query_column(query)
+    return F.when(normal.isNull(), "refused").when(~normal.rlike(WORD), "empty").otherwise("asked")
+
+
 def query_words(queries: DataFrame, query_id: str, query: str) -> DataFrame:
     """``(query_id, phrase, offset, words, term)`` for a whole table of queries.
 
     ``phrase`` numbers the phrases of a query in order, ``offset`` the word inside its phrase and
-    ``words`` the phrase length. Refused queries and those without words yield no row.
+    ``words`` the phrase length. Refused queries and those without words yield no row: ``query_status`` tells them.
     """
     normal = checked_query_column(query)
     words = F.regexp_extract_all("_q", F.lit(WORD), F.lit(0))

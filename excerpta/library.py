@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 import uuid
 from datetime import datetime, timezone
 
@@ -77,6 +78,22 @@ class Library:
             return empty_catalog()
         return checked_catalog(self.folder.read_json(CATALOG))
 
+    def _change_catalog(self, change):
+        """Replace the catalog by ``change`` of it, as the next revision.
+
+        A revision is claimed by creating its file, which only one of several writers can; the others read the
+        catalog again and apply their change to what the first has written.
+        """
+        for attempt in range(100):
+            catalog = self.catalog()
+            revision = catalog.get("revision", 0) + 1
+            updated = checked_catalog({**change(catalog), "revision": revision})
+            if self.folder.claim("_revisions", str(revision)):
+                self.folder.write_json(updated, CATALOG)
+                return updated
+            time.sleep(0.05 * (1 + attempt % 10))
+        raise SnapshotError(f"revision {revision} of the catalog was claimed but never written")
+
     def catalog_status(self):
         catalog = self.catalog()
         return {
@@ -138,7 +155,6 @@ class Library:
         replacements = dict(replacements or {})
         removed = list(remove_document_ids)
         self._check_request(sources, base_snapshot_id, replacements, removed)
-        catalog = self.catalog()
         base = self.manifest(base_snapshot_id) if base_snapshot_id else None
         if base:
             self.verify(base_snapshot_id)
@@ -164,13 +180,14 @@ class Library:
                 "manifest_sha256": hashlib.sha256(text.encode()).hexdigest(),
                 "base_snapshot_id": base_snapshot_id,
             }
-            updated = {
-                **catalog,
-                "current_snapshot_id": catalog["current_snapshot_id"] or snapshot_id,
-                "last_successful_snapshot_id": snapshot_id,
-                "snapshots": [*catalog["snapshots"], record],
-            }
-            self.folder.write_json(checked_catalog(updated), CATALOG)
+            updated = self._change_catalog(
+                lambda catalog: {
+                    **catalog,
+                    "current_snapshot_id": catalog["current_snapshot_id"] or snapshot_id,
+                    "last_successful_snapshot_id": snapshot_id,
+                    "snapshots": [*catalog["snapshots"], record],
+                }
+            )
         except BaseException:
             if published and all(r["snapshot_id"] != published for r in self.catalog()["snapshots"]):
                 self._discard(published)
@@ -501,8 +518,7 @@ class Library:
         self.verify(snapshot_id)
         catalog = self.catalog()
         if catalog["current_snapshot_id"] != snapshot_id:
-            catalog = {**catalog, "current_snapshot_id": snapshot_id}
-            self.folder.write_json(checked_catalog(catalog), CATALOG)
+            catalog = self._change_catalog(lambda now: {**now, "current_snapshot_id": snapshot_id})
         return {
             "snapshot_id": snapshot_id,
             "current_snapshot_id": snapshot_id,

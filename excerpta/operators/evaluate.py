@@ -113,24 +113,34 @@ def scoped_targets(cases: DataFrame, chunks: DataFrame, *keys: str) -> DataFrame
 def find_markers(items: DataFrame, docs: DataFrame, *, item: str, marker: str, key: str, text: str) -> DataFrame:
     """``(item, key)``: the smallest ``key`` whose text contains the item's marker.
 
-    A text that contains the marker also contains each inner word of it, so candidates come from an
-    equi-join on the marker's rarest inner word, and only they are compared. A marker therefore
-    needs three words; a shorter one is refused.
+    A text that contains the marker also contains each inner word of it, so candidates come from an equi-join on the
+    marker's rarest inner word, and only they are compared. A marker of one or two words may begin and end inside words of
+    the text: its longest word is looked for among the parts of that length of every distinct word. A marker without a
+    word names nothing and is in no text's index: it has no row.
     """
     words = items.select(item, tx.index_tokens(marker).alias("_w"))
-    inner = F.when(F.size("_w") > 2, F.slice("_w", F.lit(2), F.size("_w") - 2)).otherwise(
-        F.raise_error(F.lit("a marker needs at least three words")).cast("array<string>")
+    inner = words.filter(F.size("_w") > 2).select(
+        item, F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.size("_w") - 2))).alias("term")
     )
-    anchored = words.select(item, F.explode(F.array_distinct(inner)).alias("term"))
     vocabulary = docs.select(key, F.explode_outer(F.array_distinct(tx.index_tokens(text))).alias("term"))
-    postings = vocabulary.filter(F.col("term").isNotNull()).join(small_side(anchored.select("term").distinct()), "term")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
-    rarest = (
-        anchored.join(frequency, "term")
-        .groupBy(item)
-        .agg(F.min_by("term", F.struct("_df", "term")).alias("term"))
+    vocabulary = vocabulary.filter(F.col("term").isNotNull())
+    short = words.filter(F.size("_w").between(1, 2)).select(
+        item, F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("part")
     )
-    candidates = rarest.join(postings, "term").select(item, key)
+    # Lengths of short markers' words: at most as many numbers as a query has characters.
+    sizes = [row[0] for row in short.select(F.length("part")).distinct().collect()]
+    if sizes:
+        places = lambda n: F.transform(F.sequence(F.lit(1), F.length("term") - n + 1), lambda at: F.substring("term", at, F.lit(n)))
+        parts = F.flatten(F.array(*[F.when(F.length("term") >= n, places(n)).otherwise(F.array()) for n in sizes]))
+        terms = vocabulary.select("term").distinct().select("term", F.explode(F.array_distinct(parts)).alias("part"))
+        several = short.join(terms, "part").select(item, "term")
+    else:
+        several = inner.limit(0)
+    wanted = inner.unionByName(several).select("term").distinct()
+    postings = vocabulary.join(small_side(wanted), "term")
+    frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
+    rarest = inner.join(frequency, "term").groupBy(item).agg(F.min_by("term", F.struct("_df", "term")).alias("term"))
+    candidates = rarest.unionByName(several).join(postings, "term").select(item, key).distinct()
     return (
         candidates.join(items.select(item, marker), item)
         .join(docs.select(key, text), key)

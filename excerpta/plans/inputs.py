@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from excerpta.operators import chunking
 from excerpta.schemas import document_rows
-from excerpta.session import spread_small
+from excerpta.session import spread_files
 
 HEADING_RULES = ((r"(?m)^(.{1,12})$", "# "), (r"(?m)^([^#\n].{12,24})$", "## "), (r"(?m)^([^#\n].{25,39})$", "### "))
 
@@ -20,7 +20,7 @@ def table(spark, sf, name):
 
 
 def texts(spark, sf, *keep):
-    return spread_small(table(spark, sf, "documents").select(*keep, "doc_id", "text"))
+    return spread_files(table(spark, sf, "documents").select(*keep, "doc_id", "text"))
 
 
 def body(column="text"):
@@ -32,7 +32,7 @@ def body(column="text"):
 
 def files(spark, sf, *, headings=True):
     """``doc_id, lang, source, source_name, content_text``."""
-    return spread_small(table(spark, sf, "documents").select("doc_id", "lang", "source", "text")).select(
+    return spread_files(table(spark, sf, "documents").select("doc_id", "lang", "source", "text")).select(
         "doc_id",
         "lang",
         "source",

@@ -100,8 +100,12 @@ def batch(spark, sf):
         key="doc_id", query_id="item_id",
     )
     scored = scored.withColumn("score", F.round("score", 9))
-    return bm25.top_k(scored, 5, key="doc_id", groups=["item_id"]).select(
-        "item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score")
+    top = bm25.top_k(scored, 5, key="doc_id", groups=["item_id"])
+    asked = queries.select("item_id", q.query_status("text").alias("status"))
+    # Every query is answered: one without a hit, or refused, has a row of rank 0.
+    return asked.join(top, "item_id", "left").select(
+        "item_id", "status", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"),
+        F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
     )
 
 
@@ -128,7 +132,9 @@ part AS (
 scored AS (SELECT item_id, doc_id, round(-sum(p), 9) AS score FROM part GROUP BY ALL),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id) AS rank FROM scored)
-SELECT item_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
+SELECT item_id, CASE WHEN length(qt) NOT BETWEEN 1 AND 400 THEN 'refused' WHEN NOT regexp_matches(qt, '[\\p{{L}}\\p{{N}}_]') THEN 'empty'
+  ELSE 'asked' END AS status, coalesce(rank, 0) AS rank, coalesce(doc_id, -1) AS doc_id, round(coalesce(score, 0), 6) AS score
+FROM normal LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) USING (item_id)"""
 
 
 def term_statistics(spark, sf):
@@ -140,13 +146,14 @@ def term_statistics(spark, sf):
 
 
 def tied_copies(spark, sf):
-    """Equal scores are ordered by key: every hit with its rank."""
+    """Equal scores are ordered by key: the first 50 hits of each source with their ranks."""
     docs = io.texts(spark, sf, "source")
     scored = bm25.score_scan(docs, REPEATED_QUERY, key="doc_id", text="text", groups=["source"])
     ranked = scored.withColumn(
         "rank", F.row_number().over(Window.partitionBy("source").orderBy("score", "doc_id"))
     )
-    return ranked.select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
+    # The filter on the rank cuts each task's rows before they meet, however many hits a source has.
+    return ranked.filter("rank <= 50").select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 def cjk_hint(spark, sf):
@@ -206,7 +213,7 @@ ranked AS (
 SELECT document_id, chunk_id, round(score, 6) AS score FROM ranked WHERE rank = 1""",
     "bm25_query_table": BATCH_SQL,
     "bm25_tie_order": f"""WITH {io.sql_bm25('documents', 'doc_id', 'text', q.phrases(REPEATED_QUERY), ['source'])}
-SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY score, doc_id) AS rank FROM scored""",
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY score, doc_id) AS rank FROM scored QUALIFY rank <= 50""",
     "index_vocabulary": f"""WITH tok AS (SELECT doc_id, unnest({io.sql_words('text')}) AS term FROM documents)
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM tok GROUP BY term""",
     "cjk_hint": """SELECT lang, count(*) AS documents,

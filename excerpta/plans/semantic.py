@@ -179,10 +179,11 @@ def marker_targets(spark, sf):
 
 
 def scoped_targets(spark, sf):
-    """Marker chunks inside known documents: the last line of every file, sought in its own chunks."""
+    """Marker chunks inside known documents: the last line of every file, sought in its own chunks. A line longer than
+    a chunk stands in pieces; its first piece is sought."""
     files = io.prepared(spark, sf)
     last = F.element_at(F.filter(F.transform(tx.split_lines("content_text"), tx.collapse_line), lambda line: line != ""), -1)
-    cases = files.select(F.col("doc_id").alias("case_id"), "document_id", F.substring(last, 1, 40).alias("marker"))
+    cases = files.select(F.col("doc_id").alias("case_id"), "document_id", tx.strip(F.substring(last, 1, tx.MAX_CHUNK_CHARS)).alias("marker"))
     return evaluate.scoped_targets(cases, chunking.explode_chunks(files))
 
 
@@ -278,7 +279,7 @@ kept AS (SELECT *, greatest(0, least(size, room))::BIGINT AS candidate_chars, su
 TARGETS = """targets AS (
   SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)"""
 
-_RANKED = BATCH_SQL[: BATCH_SQL.rindex("SELECT item_id, rank, doc_id")]
+_RANKED = BATCH_SQL[: BATCH_SQL.rindex("SELECT item_id, CASE")]
 JUDGED = f"""{_RANKED.rstrip()},
 {TARGETS},
 results AS (
@@ -368,7 +369,7 @@ UNION ALL SELECT 'repeated_chunk', count(*) FILTER (lang = 'en') FROM kept
 UNION ALL SELECT 'score_not_finite', count(*) FILTER (lang = 'de') FROM kept""",
     "eval_marker_targets": f"WITH {TARGETS} SELECT item_id, doc_id FROM targets",
     "eval_scoped_targets": f"""WITH {io.sql_chunks()},
-marked AS (SELECT doc_id, substr(max_by(trim(regexp_replace(raw, '[\\t ]+', ' ', 'g'), {io.SPACES}), line), 1, 40) AS marker
+marked AS (SELECT doc_id, trim(substr(max_by(trim(regexp_replace(raw, '[\\t ]+', ' ', 'g'), {io.SPACES}), line), 1, 1200), {io.SPACES}) AS marker
   FROM raw_lines WHERE trim(raw, {io.SPACES}) <> '' GROUP BY doc_id)
 SELECT doc_id AS case_id, min(chunk_id) AS target_chunk_id FROM marked JOIN chunks USING (doc_id)
 WHERE contains(chunk_text, marker) GROUP BY doc_id""",

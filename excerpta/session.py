@@ -1,8 +1,9 @@
-"""Session helpers: recommended settings, checkpointing and size-checked broadcasts."""
+"""Session helpers: recommended settings, settled tables and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,19 +38,26 @@ def local_session(app="excerpta", cores="*", shuffle_partitions=8, memory="8g"):
     return spark
 
 
-def ensure_checkpoint_dir(spark):
-    """Use the cluster's shared checkpoint folder; fall back to a fresh one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="excerpta-checkpoint-")
-        )
+def shared_folder(spark):
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a local session, where every machine is this one, gets a folder of its own if none is set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="excerpta-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage reliably (checkpoint in the shared folder, so a lost executor costs nothing)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, name="table") -> DataFrame:
+    """Write ``df`` once into the shared folder and read it from there: lineage ends at a table that
+    no lost executor can take away, and nothing above it is computed twice."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
@@ -66,19 +74,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input that Catalyst sizes below ``SMALL_INPUT_BYTES`` over the available cores.
+def spread_files(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer files than cores over the cores.
 
-    A small file with one row group would otherwise keep one core busy. Larger inputs have enough
-    splits of their own and are returned as they are: their text is never shuffled.
+    A file with one row group would otherwise keep one core busy. An input of more files is returned as it is: its
+    text is never shuffled.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def together(*jobs):

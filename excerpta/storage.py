@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -63,6 +64,17 @@ class Folder:
     def write_json(self, value, *parts):
         self.write_text(json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2) + "\n", *parts)
 
+    def claim(self, *parts) -> bool:
+        """Create an empty file; False if it is there already. Of several callers one gets True."""
+        try:
+            self._fs().mkdirs(self._hadoop(*parts).getParent())
+            self._fs().create(self._hadoop(*parts), False).close()
+            return True
+        except Py4JJavaError:
+            if self.exists(*parts):
+                return False
+            raise
+
     def publish(self, source, target):
         """Rename a finished folder to its final name; an existing target is never replaced."""
         if self.exists(*target):

@@ -319,3 +319,23 @@ def test_profile_rules():
                    {"preprocessing": {"version": 1}}, {"preprocessing": 3}):
         with pytest.raises(VectorError):
             vec.checked_profile({**base, **change})
+
+
+def test_interleaved_catalog_changes_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from excerpta.library import Library
+
+    record = lambda n: {"snapshot_id": f"20260101T{n:012d}Z-{'a' * 12}-{'b' * 8}", "manifest_sha256": "c" * 64, "base_snapshot_id": None}
+
+    def add(n):
+        library = Library(spark, str(tmp_path))
+        library._change_catalog(lambda c: {
+            **c, "snapshots": [*c["snapshots"], record(n)], "last_successful_snapshot_id": record(n)["snapshot_id"],
+            "current_snapshot_id": c["current_snapshot_id"] or record(n)["snapshot_id"],
+        })
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(8)))
+    catalog = Library(spark, str(tmp_path)).catalog()
+    assert sorted(r["snapshot_id"] for r in catalog["snapshots"]) == [record(n)["snapshot_id"] for n in range(8)] and catalog["revision"] == 8

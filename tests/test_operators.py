@@ -326,3 +326,22 @@ def test_provider_codes(spark):
 @pytest.mark.parametrize("name, stem", [("a.b.md", "a.b"), (".md", ".md"), ("plain", "plain")])
 def test_file_stem(spark, name, stem):
     assert spark.range(1).select(tx.file_stem(F.lit(name))).first()[0] == stem
+
+
+def test_markers_of_any_length(spark):
+    texts = {1: "the quick brown fox jumps", 2: "a quick brown-fox", 3: "xquickbrownx", 4: "one quick brown fo", 5: "!!!"}
+    markers = {10: "quick brown fox", 11: "ick bro", 12: "brown", 13: "uickb", 14: "fo", 15: "absent", 16: "no such words here", 17: "!!!", 18: ""}
+    items = spark.createDataFrame(list(markers.items()), "i int, m string")
+    docs = spark.createDataFrame(list(texts.items()), "k int, t string")
+    got = dict(map(tuple, evaluate.find_markers(items, docs, item="i", marker="m", key="k", text="t").collect()))
+    assert got == {i: min(k for k, t in texts.items() if m in t) for i, m in markers.items() if any(c.isalnum() for c in m) and any(m in t for t in texts.values())}
+
+
+def test_refused_queries_keep_a_status(spark):
+    from excerpta.functions import query as q
+
+    rows = [(1, "plain words"), (2, "x" * 401), (3, " \n"), (4, "?!"), (5, "bell \x07"), (6, None)]
+    frame = spark.createDataFrame(rows, "i int, t string")
+    assert [r[1] for r in frame.select("i", q.query_status("t")).orderBy("i").collect()] == [
+        "asked", "refused", "refused", "empty", "refused", "refused",
+    ]
