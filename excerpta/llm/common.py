@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from excerpta.session import settle  # noqa: F401  the operators' way to cut lineage
+
 OUTPUT_ROWS = 4096
 
 
@@ -17,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share (``spark.checkpoint.dir``); one of our own only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it from there: lineage ends at a table that
-    no lost executor can take away, and nothing above it is computed twice."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def per_worker(key: Hashable, make: Callable):
     """``make()``, once in each Python worker: functions of this package travel by value, so a cache of their own
     would begin empty in each task."""
