@@ -23,7 +23,7 @@ from excerpta.functions import identity
 from excerpta.functions.identity import ID_PATTERNS, canonical_json
 from excerpta.operators import audit, bm25, members, objects
 from excerpta.sources import files as source_files, uploads
-from excerpta.session import together
+from excerpta.session import spread_files, together
 from excerpta.storage import Folder
 
 CATALOG = "snapshot-catalog.json"
@@ -34,6 +34,7 @@ MEMBER = (
 )
 PIPELINE = hashlib.sha256(canonical_json(objects.STEPS).encode()).hexdigest()
 TARGET_ROWS = 2_000_000
+LEAST_ROWS = 100_000
 
 
 def empty_catalog():
@@ -144,7 +145,9 @@ class Library:
 
     def _write(self, name, rows: DataFrame, segment, count, *order):
         """One table of a segment, range-partitioned so that files and row groups prune by ``order``."""
-        parts = max(1, -(-count // TARGET_ROWS))
+        # A small segment is sorted by all cores; a large one gets files of TARGET_ROWS.
+        cores = self.spark.sparkContext.defaultParallelism
+        parts = max(1, -(-count // TARGET_ROWS), min(cores, count // LEAST_ROWS))
         sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         sorted_rows.write.mode("errorifexists").parquet(self.folder.path("tables", name, f"segment={segment}"))
 
@@ -370,7 +373,9 @@ class Library:
             lambda: self._write("asset", schemas.asset_rows(fresh), segment, count["d"], "document_id"),
             lambda: self._write("chunk", schemas.chunk_rows(fresh), segment, count["c"], "document_id", "ordinal"),
         )
-        chunks = self.spark.read.schema(schemas.CHUNK).parquet(self.folder.path("tables", "chunk", f"segment={segment}"))
+        chunks = spread_files(
+            self.spark.read.schema(schemas.CHUNK).parquet(self.folder.path("tables", "chunk", f"segment={segment}"))
+        )
         # Range partitions on (term, chunk_id) split a frequent term over several files.
         posts = bm25.postings(chunks, key="chunk_id", text="chunk_text", groups=["document_id"])
         lens = bm25.lengths(chunks, key="chunk_id", text="chunk_text", groups=["document_id"])
@@ -381,14 +386,14 @@ class Library:
 
     def _store_objects(self, work, segment, fresh):
         """Append objects that are not stored yet; returns the references with their flags."""
-        payloads = objects.object_payloads(fresh.withColumn("content_text", F.lit("")), units=F.col("units"))
-        narrow = self.folder.path(work, "references")
-        payloads.drop("payload").write.parquet(narrow)
-        refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(narrow).drop("created_in_snapshot")
+        made = objects.object_payloads(fresh.withColumn("content_text", F.lit("")), units=F.col("units"))
+        encoded = self.folder.path(work, "encoded")
+        made.write.parquet(encoded)  # each layer is encoded once; digests and payloads are read from here
+        payloads = self.spark.read.schema(made.schema).parquet(encoded)
         existing = None
         if self.folder.exists("objects"):
             existing = self.spark.read.schema("sha256 string, kind string").parquet(self.folder.path("objects"))
-        flagged = objects.mark_created(refs, existing)
+        flagged = objects.mark_created(payloads.drop("payload"), existing)
         created = flagged.filter("created_in_snapshot").select("document_id", "kind")
         payloads.join(created, ["document_id", "kind"], "left_semi").withColumn("segment", F.lit(segment)).select(
             "sha256", "byte_size", "payload", "kind", "segment"
