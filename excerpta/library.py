@@ -363,8 +363,15 @@ class Library:
     def _fingerprints(self, manifest, member_frame):
         names = ("document", "asset", "chunk")
         tables = {"member": member_frame, **{n: self.table_from(manifest, member_frame, n) for n in names}}
-        prints = together(*(lambda t=t: audit.content_fingerprint(t).first().asDict() for t in tables.values()))
-        return dict(zip(tables, prints))
+        # What is derived from them is wide and often long: a checksum per table.
+        derived = {n: self.table_from(manifest, member_frame, n) for n in ("posting", "length")}
+        refs = self.folder.path("snapshots", manifest["snapshot_id"], "object_ref")
+        derived["object_ref"] = self.spark.read.schema(schemas.OBJECT_REF).parquet(refs)
+        prints = together(
+            *(lambda t=t: audit.content_fingerprint(t).first().asDict() for t in tables.values()),
+            *(lambda t=t: audit.row_checksum(t).first().asDict() for t in derived.values()),
+        )
+        return dict(zip([*tables, *derived], prints))
 
     def _write_segment(self, segment, fresh):
         count = fresh.agg(F.count("*").alias("d"), F.sum(F.size("chunks")).alias("c"), F.sum("extracted_char_count").alias("n")).first()
@@ -455,6 +462,9 @@ class Library:
             audit.count_rows("member_differs", sources.exceptAll(seen).unionByName(seen.exceptAll(sources))),
             audit.count_rows("object_missing_or_changed", objects.missing_objects(refs, store)),
             audit.count_rows("object_reference_gap", held.join(refs, "document_id", "left_anti")),
+            audit.object_chunk_rules(
+                chunks, objects.decoded_chunks(refs.join(held.select("document_id", "asset_id"), "document_id"), store)
+            ),
         ]
 
     def verify(self, snapshot_id):

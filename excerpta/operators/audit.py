@@ -223,6 +223,13 @@ def content_fingerprint(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("rows"), part(1).alias("sum_a"), part(16).alias("sum_b"))
 
 
+def row_checksum(table: DataFrame) -> DataFrame:
+    """Row count and the sum of 64-bit row hashes: a cheap order-independent identity for derived tables."""
+    return table.agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)")).cast("string"), F.lit("0")).alias("sum")
+    )
+
+
 def catalog_rules(catalog: DataFrame, pointers: DataFrame) -> DataFrame:
     """Structure of a snapshot catalog: id format, uniqueness, digest, earlier base, both pointers."""
     last = catalog.agg(F.max_by("snapshot_id", "position")).scalar()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from excerpta.functions import text as tx
-from excerpta.functions.identity import canonical_json, json_or_null, json_string, json_strings, object_path
+from excerpta.functions.identity import canonical_json, chunk_id, json_or_null, json_string, json_strings, object_path
 
 FORMAT = "excerpta-object-store"
 VERSION = 1
@@ -163,3 +163,32 @@ def missing_objects(refs: DataFrame, stored: DataFrame) -> DataFrame:
         (F.sha2("payload", 256) == F.col("sha256")) & (F.octet_length("payload") == F.col("byte_size"))
     ).select(*digest, "byte_size")
     return wanted.join(sound, [*digest, "byte_size"], "left_anti")
+
+
+RECORD = (
+    "ordinal int, text string, heading_path array<string>, pdf_page_start int, pdf_page_end int, "
+    "source_line_start int, source_line_end int, anchor_label string"
+)
+
+
+def decoded_chunks(refs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Chunk rows of documents, rebuilt from the chunk objects they refer to.
+
+    ``refs(document_id, asset_id, kind, sha256)``; ``stored(kind, sha256, payload)``. Identities are derived again, and a
+    payload of another format, version or kind gives no rows. An object that many documents share is decoded once.
+    """
+    envelope = F.from_json(
+        F.col("payload").cast("string"), f"format string, version int, kind string, payload struct<chunks:array<struct<{_ddl(RECORD)}>>>"
+    )
+    objects = stored.filter("kind = 'chunks'").select("sha256", envelope.alias("o")).dropDuplicates(["sha256"])
+    sound = objects.filter((F.col("o.format") == FORMAT) & (F.col("o.version") == VERSION) & (F.col("o.kind") == "chunks"))
+    records = sound.select("sha256", F.explode_outer("o.payload.chunks").alias("c")).filter(F.col("c").isNotNull())
+    rows = refs.filter("kind = 'chunks'").select("document_id", "asset_id", "sha256").join(records, "sha256")
+    return rows.select(
+        "document_id", "asset_id", "c.ordinal", F.col("c.text").alias("chunk_text"), "c.heading_path", "c.pdf_page_start",
+        "c.pdf_page_end", "c.source_line_start", "c.source_line_end", "c.anchor_label",
+    ).withColumn("chunk_id", chunk_id("document_id", "ordinal", "anchor_label", "chunk_text"))
+
+
+def _ddl(fields) -> str:
+    return ", ".join(":".join(field.split(" ", 1)) for field in fields.split(", "))

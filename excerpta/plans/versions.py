@@ -204,7 +204,30 @@ def audit_violations(spark, sf):
     return audit.audit(documents, assets, faulty)
 
 
+def audit_objects(spark, sf):
+    """Stored chunks against those decoded from chunk objects; the rows of toxic documents have lost their last character."""
+    made = io.prepared(spark, sf)
+    refs = settle(objects.object_payloads(made, "asset_id").filter("kind = 'chunks'"), "chunk-objects")
+    rows = chunking.explode_chunks(made, "doc_id").join(io.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    shorter = F.expr("substring(chunk_text, 1, char_length(chunk_text) - 1)")
+    stored = rows.withColumn("chunk_text", F.when(F.col("toxic") == 1, shorter).otherwise(F.col("chunk_text")))
+    return audit.object_chunk_rules(stored, objects.decoded_chunks(refs, refs))
+
+
+def audit_manifest(spark, sf):
+    """Tables against the manifest's source list, which has another title for English and no row for Spanish documents."""
+    made = settle(io.prepared(spark, sf).drop("content_text"), "prepared")
+    documents, assets, chunks = document_rows(made), asset_rows(made), chunking.explode_chunks(made)
+    listed = documents.select("document_id", "title", "source_name", "media_type").join(assets, "document_id").join(
+        made.select("document_id", "lang", F.size("chunks").cast("long").alias("chunk_count")), "document_id"
+    )
+    listed = listed.filter("lang <> 'es'").withColumn("title", F.when(F.col("lang") == "en", "other").otherwise(F.col("title")))
+    return audit.manifest_rules(documents, assets, chunks, listed)[0]
+
+
 QUERIES = {
+    "audit_objects": audit_objects,
+    "audit_manifest": audit_manifest,
     "snapshot_build": snapshot_build,
     "snapshot_diff": snapshot_diff,
     "snapshot_diff_counts": snapshot_diff_counts,
@@ -270,6 +293,9 @@ FROM (SELECT strlen(content_text) AS size,
 
 CHUNKS = io.sql_chunks()
 ORACLES = {
+    "audit_objects": f"""WITH {CHUNKS}
+SELECT 'chunk_differs_from_object' AS "check", count(*) AS violations FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "audit_manifest": """SELECT 'manifest_source_differs' AS "check", count(*) AS violations FROM documents WHERE lang IN ('en', 'es')""",
     "snapshot_build": f"WITH {CHANGES} SELECT document_id, source_name, source_sha256 FROM next",
     "snapshot_diff": f"{DIFF} SELECT * FROM diff",
     "snapshot_diff_counts": f"""{DIFF}

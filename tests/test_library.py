@@ -339,3 +339,38 @@ def test_interleaved_catalog_changes_lose_nothing(spark, tmp_path):
         list(pool.map(add, range(8)))
     catalog = Library(spark, str(tmp_path)).catalog()
     assert sorted(r["snapshot_id"] for r in catalog["snapshots"]) == [record(n)["snapshot_id"] for n in range(8)] and catalog["revision"] == 8
+
+
+@pytest.mark.parametrize("table, change", [
+    ("posting", "position + 1 as position"), ("length", "length + 1 as length"),
+])
+def test_tampered_index_is_refused(spark, tmp_path, table, change):
+    from excerpta.library import Library
+
+    source = tmp_path / "a.md"
+    source.write_text("# Title\nsome words to index\n")
+    root = str(tmp_path / "library")
+    snap = Library(spark, root).build([str(source)])["snapshot_id"]
+    path = f"{root}/tables/{table}/segment={snap}"
+    held = spark.read.parquet(path)
+    name = change.split()[0]
+    rows, schema = held.selectExpr(*[change if c == name else c for c in held.columns]).collect(), held.schema
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
+    with pytest.raises(SnapshotError, match="content_fingerprint"):
+        Library(spark, root).verify(snap)
+
+
+def test_changed_chunks_differ_from_their_objects(spark, tmp_path):
+    from excerpta.library import Library
+
+    source = tmp_path / "a.md"
+    source.write_text("# Title\nsome words\n# Other\nmore words\n")
+    library = Library(spark, str(tmp_path / "library"))
+    snap = library.build([str(source)])["snapshot_id"]
+    manifest, held = library.manifest(snap), library.members(snap)
+    tables = [library.table_from(manifest, held, n) for n in ("document", "asset", "chunk")]
+    rules = {r["check"]: r["violations"] for f in library._binding_rules(manifest, held, *tables) for r in f.collect()}
+    assert rules["chunk_differs_from_object"] == 0
+    shorter = tables[2].withColumn("chunk_text", F.expr("substring(chunk_text, 2)"))
+    rules = {r["check"]: r["violations"] for f in library._binding_rules(manifest, held, *tables[:2], shorter) for r in f.collect()}
+    assert rules["chunk_differs_from_object"] == 2
