@@ -15,6 +15,7 @@ import time
 import uuid
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from excerpta import __version__, schemas
@@ -67,8 +68,8 @@ class Library:
         self.folder = Folder(spark, root)
         self.library_id = library_id or "lib_" + "0" * 32
         self.enhanced = enhanced
-        # A snapshot that passed its audit in this session is not audited again, as nothing ever
-        # rewrites it; pass False to audit on every call.
+        # A snapshot that passed its audit in this session is audited again only if a file of it has been
+        # added, removed or rewritten since; pass False to audit on every call.
         self.verify_once = verify_once
         self._verified = {}
 
@@ -197,7 +198,7 @@ class Library:
             raise
         finally:
             self.folder.remove(work)
-        self._verified[snapshot_id] = record["manifest_sha256"]
+        self._verified[snapshot_id] = (record["manifest_sha256"], self._files(manifest))
         return {
             "snapshot_id": snapshot_id,
             "manifest_sha256": record["manifest_sha256"],
@@ -467,12 +468,23 @@ class Library:
             ),
         ]
 
+    def _files(self, manifest):
+        """Digest of the listing of every file the snapshot is read from, objects left out."""
+        folders = [("snapshots", manifest["snapshot_id"])]
+        folders += [("tables", name, f"segment={s}") for name in schemas.TABLES for s in manifest["segments"]]
+        try:
+            listed = [self.folder.listing(*parts) for parts in folders]
+        except Py4JJavaError:
+            return None  # a folder is gone: never equal to what was seen
+        return hashlib.sha256(repr(listed).encode()).hexdigest()
+
     def verify(self, snapshot_id):
         record = self._record(snapshot_id)
         manifest = self.manifest(snapshot_id)
-        if not self.verify_once or self._verified.get(snapshot_id) != record["manifest_sha256"]:
+        seen = (record["manifest_sha256"], self._files(manifest))
+        if not self.verify_once or seen[1] is None or self._verified.get(snapshot_id) != seen:
             self._audit(snapshot_id, manifest)
-            self._verified[snapshot_id] = record["manifest_sha256"]
+            self._verified[snapshot_id] = seen
         catalog = self.catalog()
         return {
             "verified": True,

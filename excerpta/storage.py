@@ -35,6 +35,14 @@ class Folder:
             return []
         return sorted(status.getPath().getName() for status in self._fs().listStatus(self._hadoop(*parts)))
 
+    def listing(self, *parts):
+        """(path, size, modification time) of every file below a folder."""
+        found, files = [], self._fs().listFiles(self._hadoop(*parts), True)
+        while files.hasNext():
+            status = files.next()
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+        return sorted(found)
+
     def read_json(self, *parts):
         return json.loads(self.read_text(*parts))
 

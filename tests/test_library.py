@@ -350,14 +350,16 @@ def test_tampered_index_is_refused(spark, tmp_path, table, change):
     source = tmp_path / "a.md"
     source.write_text("# Title\nsome words to index\n")
     root = str(tmp_path / "library")
-    snap = Library(spark, root).build([str(source)])["snapshot_id"]
+    library = Library(spark, root)
+    snap = library.build([str(source)])["snapshot_id"]
+    assert library.verify(snap)["verified"]
     path = f"{root}/tables/{table}/segment={snap}"
     held = spark.read.parquet(path)
     name = change.split()[0]
     rows, schema = held.selectExpr(*[change if c == name else c for c in held.columns]).collect(), held.schema
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
     with pytest.raises(SnapshotError, match="content_fingerprint"):
-        Library(spark, root).verify(snap)
+        library.verify(snap)  # the same session has verified it, but the files have changed
 
 
 def test_changed_chunks_differ_from_their_objects(spark, tmp_path):
