@@ -112,6 +112,26 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+# All pairs that share a shingle: for the small tables of a comparison.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+h AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+s AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM h),
+links AS (
+  SELECT a.doc_id AS i, b.doc_id AS j FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ways AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM h UNION SELECT r.doc_id, v.j FROM reach r JOIN ways v ON r.other = v.i)
+SELECT doc_id, len(sh) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM h JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learned = language.held_out(F.col("doc_id"))
@@ -129,4 +149,4 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op3_license_scan, op4_tool_calls, op5_token_counts, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_tool_calls": OP4_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_minhash_near_dedup": OP7_SQL}
