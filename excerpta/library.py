@@ -76,9 +76,17 @@ class Library:
     # --- catalog -----------------------------------------------------------------------------
 
     def catalog(self):
-        if not self.folder.exists(CATALOG):
-            return empty_catalog()
-        return checked_catalog(self.folder.read_json(CATALOG))
+        """The catalog as last written. A local file and its checksum are replaced one after the other, so a read
+        between the two is repeated."""
+        for attempt in range(8):
+            try:
+                if not self.folder.exists(CATALOG):
+                    return empty_catalog()
+                return checked_catalog(self.folder.read_json(CATALOG))
+            except (Py4JJavaError, ValueError) as error:
+                failed = error
+                time.sleep(0.02 * 2**attempt)
+        raise SnapshotError("the catalog could not be read") from failed
 
     def _change_catalog(self, change):
         """Replace the catalog by ``change`` of it, as the next revision.

@@ -73,9 +73,16 @@ class Folder:
         self.write_text(json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2) + "\n", *parts)
 
     def claim(self, *parts) -> bool:
-        """Create an empty file; False if it is there already. Of several callers one gets True."""
+        """Create an empty file; False if it is there already. Of several callers one gets True.
+
+        HDFS creates a file for one of several callers only; for the local file system, whose Hadoop client looks first
+        and creates then, Java's own call does.
+        """
+        self._fs().mkdirs(self._hadoop(*parts).getParent())
+        target = self._fs().makeQualified(self._hadoop(*parts)).toUri()
+        if target.getScheme() == "file":
+            return self._jvm.java.io.File(target.getPath()).createNewFile()
         try:
-            self._fs().mkdirs(self._hadoop(*parts).getParent())
             self._fs().create(self._hadoop(*parts), False).close()
             return True
         except Py4JJavaError:
