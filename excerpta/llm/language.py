@@ -6,8 +6,9 @@ a text is the average of its rows, and a linear softmax over that average gives
 
 Training: a bounded sample of labelled rows (``sample`` per label, those of least id hash) is turned into bucket counts
 by the tasks, so whole texts are used and at most ``BUCKETS`` numbers per sampled row reach the driver, where numpy runs
-stochastic gradient descent. One sampled row in five is kept from it; on these the temperature is fitted and the
-rejection level is set: the confidence below which only ``tolerance`` of the right answers lie.
+stochastic gradient descent. One sampled row in five is kept from it. On these, and on short draws of their windows, a temperature and a
+shrinkage of short texts are fitted; half the confidence that all but ``tolerance`` of the right answers reach is the
+rejection level.
 
 Prediction: the average and the softmax's matrix are linear, so the model is one table of class scores per bucket. All
 the windows of a run of texts are hashed, looked up and summed as arrays. Rows never leave their task.
@@ -64,10 +65,10 @@ def _mixed(h):
 
 
 class Model:
-    """Class scores per bucket, labels, temperature and rejection level."""
+    """Class scores per bucket, labels, temperature, shrinkage of short texts and rejection level."""
 
-    def __init__(self, labels, table, temperature, level):
-        self.labels, self.table, self.temperature, self.level = labels, table, temperature, level
+    def __init__(self, labels, table, temperature, shrinkage, level):
+        self.labels, self.table, self.temperature, self.shrinkage, self.level = labels, table, temperature, shrinkage, level
 
     def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(probabilities, whether the text has any letter) of each text."""
@@ -77,7 +78,7 @@ class Model:
         scores = np.empty((len(texts), len(self.labels)))
         for k in range(len(self.labels)):
             scores[:, k] = np.bincount(owners, self.table[k][buckets], len(texts))
-        return softmax(scores / np.maximum(n, 1)[:, None] / self.temperature), n > 0
+        return calibrated(scores / np.maximum(n, 1)[:, None], n, self.temperature, self.shrinkage), n > 0
 
 
 def softmax(scores):
@@ -85,6 +86,11 @@ def softmax(scores):
     return e / e.sum(-1, keepdims=True)
 
 
+def calibrated(scores, n, temperature, shrinkage):
+    """Probabilities of average scores over ``n`` windows: few windows say little, so their scores count less."""
+    return softmax(scores * (n / (n + shrinkage))[:, None] / temperature)
+
+
 def bucket_counts(docs: DataFrame, label: str, text: str) -> DataFrame:
     """Label and the counts of each row's buckets."""
 
@@ -127,13 +133,23 @@ def fit(rows: list[tuple], epochs=6, rate=0.5, seed=7, tolerance=TOLERANCE) -> M
         matrix -= slow * np.outer(average, error)
         # An average spreads its gradient thinly; rows are scaled back up, to the text's most frequent window.
         table[buckets] -= slow * np.outer(weights / weights.max(), back)
-    scores = np.array([w @ table[b] @ matrix for _, b, w in kept])
-    truth = np.array([number[label] for label, _, _ in kept])
-    temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean())
-    chances = softmax(scores / temperature)
-    right = np.sort(chances.max(1)[chances.argmax(1) == truth])
-    level = min(right[int(tolerance * len(right))] if len(right) else 0.0, 1.0) * 0.5
-    return Model(labels, np.ascontiguousarray((table @ matrix).T), temperature, float(level))
+    classes = table @ matrix
+    scores, n, truth, whole = [], [], [], []
+    for label, buckets, weights in kept:
+        for size in (3, 10, 30, 100, None):  # draws stand for short texts of the same language
+            drawn = buckets if size is None else random.choice(buckets, size, p=weights / weights.sum())
+            scores.append(weights @ classes[buckets] if size is None else classes[drawn].mean(0))
+            n.append(1e4 if size is None else size)
+            truth.append(number[label])
+            whole.append(size is None)
+    scores, n, truth, whole = map(np.array, (scores, n, truth, whole))
+    loss = lambda t, s: -np.log(calibrated(scores, n, t, s)[np.arange(len(truth)), truth] + 1e-12).mean()
+    grid = [(t, s) for t in np.geomspace(0.02, 5, 25) for s in (0, *np.geomspace(1, 300, 16))]
+    temperature, shrinkage = min(grid, key=lambda p: loss(*p))
+    chances = calibrated(scores, n, temperature, shrinkage)[whole]
+    right = np.sort(chances.max(1)[chances.argmax(1) == truth[whole]])
+    level = 0.5 * min(right[int(tolerance * len(right))] if len(right) else 0.0, 1.0)
+    return Model(labels, np.ascontiguousarray(classes.T), float(temperature), float(shrinkage), float(level))
 
 
 def train(docs: DataFrame, label="lang", text="text", key="doc_id", sample=SAMPLE, **options) -> Model | None:
@@ -160,7 +176,7 @@ def predict(docs: DataFrame, model: Model | None, text="text", lang="lang_pred",
     """
     if model is None:
         return docs.withColumns({lang: F.lit(UNDETERMINED), score: F.lit(0.0), rejected: F.lit(True)})
-    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.table, model.temperature, model.level))
+    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.table, model.temperature, model.shrinkage, model.level))
 
     def run(it):
         own = Model(*shared.value)
