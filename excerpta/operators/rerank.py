@@ -42,6 +42,20 @@ def apply_rerank(found: DataFrame, answers: DataFrame, top_k: int, *keys: str) -
     )
 
 
+def by_index(answers: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """Answers that name candidates by their place in the request, as ``keys + (chunk_id, rerank_score, fault)``.
+
+    ``answers(keys, index, rerank_score)``, ``index`` from 0 in rank order. ``fault`` is ``no_candidate`` for an index
+    nothing was sent under, ``repeated`` for one that occurs again, else null; the first kind has no chunk_id.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("rank")) - 1
+    sent = found.select(*keys, "chunk_id", place.alias("index"))
+    times = answers.groupBy(*keys, "index").agg(F.count("*").alias("_times"))
+    named = answers.join(times, [*keys, "index"]).join(sent, [*keys, "index"], "left")
+    fault = F.when(F.col("chunk_id").isNull(), "no_candidate").when(F.col("_times") > 1, "repeated")
+    return named.select(*keys, "index", "chunk_id", "rerank_score", fault.alias("fault"))
+
+
 def rerank_faults(answers: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     """``(check, violations)`` for a reranker's answer: foreign or repeated ids, unusable scores."""
 

@@ -158,6 +158,21 @@ def enhanced_search(spark, sf):
     )
 
 
+def rerank_by_index(spark, sf):
+    """Answers by place: every second candidate, one place beyond the last, and the first place twice for German."""
+    kept = rerank.candidates(_recalled(spark, sf), "lang").select("lang", "rank", "chunk_id")
+    places = kept.groupBy("lang").agg(F.count("*").alias("n")).select(
+        "lang", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("index")
+    )
+    once = places.filter("index % 2 = 0 or index = n").select("lang", F.col("index").cast("int").alias("index"))
+    answers = once.unionByName(once.filter("lang = 'de' and index = 0")).withColumn("rerank_score", 1.0 / (F.col("index") + 1))
+    found = rerank.by_index(answers, kept, "lang")
+    return found.select(
+        "lang", F.col("index").cast("long").alias("index"), F.coalesce("chunk_id", F.lit(-1)).alias("doc_id"),
+        F.round("rerank_score", 6).alias("rerank_score"), F.coalesce("fault", F.lit("none")).alias("fault"),
+    )
+
+
 def rerank_answer_audit(spark, sf):
     """A malformed answer: candidates of all languages, English ones twice, German without a score."""
     kept = rerank.candidates(_recalled(spark, sf), "lang").select("lang", "chunk_id")
@@ -244,6 +259,7 @@ QUERIES = {
     "embed_plan": embed_plan,
     "rerank_budget": rerank_budget,
     "enhanced_search": enhanced_search,
+    "rerank_by_index": rerank_by_index,
     "rerank_answer_audit": rerank_answer_audit,
     "eval_marker_targets": marker_targets,
     "eval_scoped_targets": scoped_targets,
@@ -363,6 +379,14 @@ SELECT lang, rank, vec_id AS doc_id, candidate_chars, sha256(candidate_text) AS
 answered AS (SELECT *, len(list_distinct({io.sql_words('candidate_text')})) / 600.0 AS rs FROM kept),
 final AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rs DESC, vec_id) AS position FROM answered WHERE rs > 0.05)
 SELECT lang, position, vec_id AS doc_id, round(rs, 6)::DOUBLE AS score, round(score, 6) AS vector_score FROM final WHERE position <= 5""",
+    "rerank_by_index": f"""{RECALL},
+sent AS (SELECT lang, vec_id, row_number() OVER (PARTITION BY lang ORDER BY rank) - 1 AS "index" FROM kept),
+sizes AS (SELECT lang, count(*) AS n FROM kept GROUP BY lang),
+asked AS (SELECT lang, u.i AS "index" FROM sizes, unnest(range(0, n + 1)) AS u(i) WHERE u.i % 2 = 0 OR u.i = n),
+twice AS (SELECT * FROM asked UNION ALL SELECT * FROM asked WHERE lang = 'de' AND "index" = 0)
+SELECT t.lang, t."index", coalesce(s.vec_id, -1) AS doc_id, round(1.0::DOUBLE / (t."index" + 1), 6) AS rerank_score,
+  CASE WHEN s.vec_id IS NULL THEN 'no_candidate' WHEN t.lang = 'de' AND t."index" = 0 THEN 'repeated' ELSE 'none' END AS fault
+FROM twice t LEFT JOIN sent s ON s.lang = t.lang AND s."index" = t."index" """,
     "rerank_answer_audit": f"""{RECALL}
 SELECT 'foreign_chunk' AS "check", count(*) FILTER (lang = 'fr') AS violations FROM kept
 UNION ALL SELECT 'repeated_chunk', count(*) FILTER (lang = 'en') FROM kept
