@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
 from excerpta.llm.common import batches, per_worker, settle
 
@@ -37,14 +38,25 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """The function from a text to its ids of a byte-level tokenizer file."""
+    """The function from a text to its ids of a byte-level tokenizer file.
+
+    tiktoken's pattern backtracks over white space and gives up on runs of about a million; such a text goes, whole, to the
+    tokenizers library, which has no such bound and gives the same ids.
+    """
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
     special = {t["content"]: t["id"] for t in content["added_tokens"]}
     alphabet = byte_alphabet()
     ranks = {bytes(alphabet[c] for c in token): n for token, n in content["model"]["vocab"].items() if token not in special}
     bpe = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: bpe.encode(text, allowed_special="all")
+
+    def encode(text):
+        try:
+            return bpe.encode(text, allowed_special="all")
+        except ValueError:
+            return per_worker(("tokenizers", path), lambda: Tokenizer.from_file(path)).encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity=CAPACITY, end_id=0, key="doc_id", text="text") -> DataFrame:

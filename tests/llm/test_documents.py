@@ -356,6 +356,22 @@ def test_packing_edges(edges, none, spark):
     assert packing.token_pieces(special, BYTES).first().length == len(want) + 1
 
 
+def test_packing_very_long_white_space(spark):
+    import zlib
+
+    import numpy as np
+
+    texts = {1: "a" + " " * 1_200_000 + "b <|endoftext|>c", 2: "\n " * 600_000, 3: "x" * 1_200_000, 4: "short"}
+    library, rows = Tokenizer.from_file(BYTES), {}
+    for r in packing.token_pieces(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), BYTES).collect():
+        rows.setdefault(r.doc_id, []).append(r)
+    assert set(rows) == set(texts)
+    for doc, text in texts.items():
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        assert sum(r.length for r in rows[doc]) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows[doc])
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_plan_meets_every_capacity(rule):
     rng = random.Random(8)
