@@ -8,9 +8,9 @@
    labels it.
 3. Training counts labels by distinct feature vector over ALL candidates. There are at most a few thousand such vectors
    whatever the corpus, so the driver boosts shallow trees on the counts, and finds for each kind the least score above
-   which ``precision`` of the candidates passed their check; a kind that never reaches it adds nothing.
-4. Scores are nested CASE expressions. Spans that pass their check stay in any case for the four base kinds; other
-   candidates are selected by score, unless they overlap one of those.
+   which ``precision`` of the candidates passed their check; a kind that never reaches it adds nothing that fails it.
+4. Scores are nested CASE expressions. Spans that pass their check stay in any case for the four base kinds. Unless they
+   overlap one of those, spans of the added kinds that pass theirs stay too, and other candidates are selected by score.
 
 Candidates are computed once, per row, and written; nothing is shuffled but the counts.
 """
@@ -31,7 +31,7 @@ KINDS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{3}"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{3}"),
     "secret": (r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\x22']?\s{0,3}[:=]\s{0,3}[\x22']?[A-Za-z0-9_/+.-]{6,}", r"(?i)password|passwd|secret|token|api[_-]?key"),
 }
 NAMES = list(KINDS)
@@ -92,6 +92,18 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
 
+def _iban(head: Column, tail: Column) -> Column:
+    """The longest of the ends of an IBAN that pass mod 97, or else all of it. Ends are the tail's and those before a
+    space: an upper-case word or a number that follows an IBAN matches its pattern too."""
+
+    def shorter(words):
+        cut = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+        return F.filter(cut, lambda t: F.length(_only(t, "A-Z0-9")) >= 11)
+
+    whole = bind(F.split(tail, " "), lambda words: F.transform(shorter(words), lambda t: F.concat(head, t)))
+    return F.coalesce(F.get(F.filter(whole, _mod97), F.lit(0)), F.concat(head, tail))
+
+
 def _check(name: str, value: Column) -> Column:
     """The format check of a kind; for the base kinds, the definition of a base span."""
     digits = F.length(_only(value, "0-9"))
@@ -147,17 +159,23 @@ def candidates(text: Column) -> Column:
         some = text.contains(test) if len(test) == 1 else text.rlike(test)
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         parts = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
+        if name == "iban":  # matches are heads, so that one never hides another; tails are looked at ahead
+            parts = F.struct(*[parts[f].alias(f) for f in ("found", "gaps")], F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("tails"))
 
         def spans(p):
             lengths = F.transform(p.found, lambda m, i: F.length(F.get(p.gaps, i)) + F.length(m))
             return bind(
                 running_sums(lengths),
-                lambda ends: F.transform(
-                    p.found,
-                    lambda m, i: _candidate(name, m, F.get(ends, i), F.right(F.get(p.gaps, i), F.lit(32)), F.left(F.get(p.gaps, i + 1), F.lit(1))),
-                ),
+                lambda ends: F.transform(p.found, lambda m, i: whole(p, m, i, F.get(ends, i))),
             )
 
+        def whole(p, m, i, end):
+            before, after = F.right(F.get(p.gaps, i), F.lit(32)), F.left(F.get(p.gaps, i + 1), F.lit(1))
+            if name != "iban":
+                return _candidate(name, m, end, before, after)
+            # No letter or digit follows any of the ends.
+            return bind(_iban(m, F.get(p.tails, i)), lambda v: _candidate(name, v, end - F.length(m) + F.length(v), before, F.lit("")))
+
         made = bind(parts, spans)
         return F.when(some, made).otherwise(F.array())
 
@@ -237,12 +255,17 @@ def train(found: DataFrame, **options) -> Trees:
 
 
 def select(found: Column, trees: Trees) -> Column:
-    """The base spans and the selected others of an array of candidates, by kind, then start."""
+    """The base spans and the selected others of an array of candidates, by kind, then start.
+
+    A candidate of an added kind that passes its own check is selected whatever the score: the thresholds are of the whole
+    corpus, and one source of look-alikes must not hide what the other documents hold.
+    """
     base = F.filter(found, lambda c: (c["kind"] < BASE) & c["valid"])
 
     def with_base(held):
         free = lambda c: ~F.exists(held, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        added = F.filter(found, lambda c: ~((c["kind"] < BASE) & c["valid"]) & trees.selects(c) & free(c))
+        passing = lambda c: (c["kind"] >= BASE) & c["valid"]
+        added = F.filter(found, lambda c: ~((c["kind"] < BASE) & c["valid"]) & (passing(c) | trees.selects(c)) & free(c))
         plain = lambda kept, is_base: F.transform(
             kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(is_base).alias("base"))
         )

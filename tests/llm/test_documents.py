@@ -212,6 +212,27 @@ def test_pii_query_and_redaction(spark, sf, texts, none):
     assert got == {1: "é mail [EMAIL], then [IP]", 2: "clean"}
 
 
+def test_pii_valid_spans_stay_beside_look_alikes(spark):
+    parts = [f"part {n:03d}-{n % 100:02d}-{n:04d}" for n in range(900, 990)] + [f"code XQ{n} ABCD EFGH 1234 {n}" for n in range(10, 90)]
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    rows = {
+        1: ("part 123-45-6789 in stock", ["ssn:5:16"]),
+        2: (f"code {one} THANK YOU 12", ["iban:5:32"]),
+        3: (f"é {one} {two} END", ["iban:2:29", "iban:30:57"]),
+        4: (f"pay XX12 PART {one}, or DE89370400440532013000 NOW", ["iban:14:41", "iban:46:68"]),
+        5: ("code DE88 3704 0044 0532 0130 00 NO", []),
+        6: ("token: abcd1234efgh", ["secret:0:19"]),
+        7: ("GB82WEST12345698765432x DE89370400440532013000", ["iban:24:46"]),
+    }
+    weak = [(200 + n, f"token: abcdef{'gh' * (n % 5)}") for n in range(80)]
+    table = [(k, t) for k, (t, _) in rows.items()] + [(100, " ; ".join(parts))] + weak
+    found = pii.personal_spans(spark.createDataFrame(table, "doc_id long, text string"))
+    got = {r.doc_id: r for r in found.select("doc_id", pii.spelled(F.col("spans")).alias("s"), pii.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    for k, (_, want) in rows.items():
+        assert got[k].s == ",".join(want), k
+    assert got[3].t == "é [IBAN] [IBAN] END" and "ssn" not in got[100].s
+
+
 def test_running_sums_are_linear_parts(spark, monkeypatch):
     monkeypatch.setattr(pii, "RUN", 3)
     got = spark.range(1).select(pii.running_sums(F.sequence(F.lit(1), F.lit(10)))).first()[0]
