@@ -13,11 +13,26 @@ from excerpta.llm.common import settle, table
 from excerpta.llm.queries import BYTE_BPE
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number that tells rows apart and follows doc_id.
+
+    Where ids tell rows apart it is the id. Elsewhere one row is left of those with one id and one text (up to white
+    space), and rows are numbered by id, those without id last; equal rows meet map-side first.
+    """
+    docs_id = F.col("doc_id").cast("long")
+    if docs.groupBy(docs_id.alias("id")).count().where("id is null or count > 1").isEmpty():
+        return docs.withColumn("_row", docs_id)
+    rows = docs.withColumn("_digest", F.sha2(exact_dedup.normal_text(F.col("text")), 256)).dropDuplicates(["doc_id", "_digest"])
+    order = [docs_id.asc_nulls_last(), F.col("_digest")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return settle(placed.withColumn("_row", F.monotonically_increasing_id()).drop("_digest"), "keyed")
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the dropped ids. Rows without id stay. Ids alone cross the network where they are few; Spark
-    decides from their measured size."""
-    ids = settle(dropped.select(F.col("doc_id").cast("long").alias("_dropped")).distinct(), "dropped")
-    return docs.join(ids, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """``docs`` without the dropped rows, which ``dropped`` calls doc_id. Numbers alone cross the network where they are
+    few; Spark decides from their measured size."""
+    rows = settle(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    return docs.join(rows, F.col("_row") == F.col("_dropped"), "left_anti").drop("_row")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +43,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the document of least id."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    """Of equal texts keep one row, of the least id; rows without id come last."""
+    rows = _keyed(docs)
+    return _without(rows, exact_dedup.exact_dedup(rows, key="_row").where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 on five-word shingles keep the document of least id."""
-    return _without(docs, near_dedup.near_dedup(docs, width=5, percent=80).where("not kept"))
+    """Of each group linked by a similarity of 0.8 on five-word shingles keep one row, of the least id; rows without id
+    come last, and those with one id and different texts are different documents."""
+    rows = _keyed(docs)
+    return _without(rows, near_dedup.near_dedup(rows, width=5, percent=80, key="_row").where("not kept"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,6 +85,21 @@ def test_pipeline_stages_on_edge_tables(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "nowhere").count() >= docs.count()
 
 
+def test_pipeline_decides_by_row(spark):
+    a, b, c, d = (" ".join(f"{w}{n}" for n in range(60)) for w in "abcd")
+    near = lambda t: t + " more"
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, c), (7, c), (None, a), (None, d), (None, d), (8, near(a)), (8, "alone"), (None, near(c)), (2, "x y"), (2, "x  y")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    stages = dict(corpus_pipeline.STAGES)
+    one = queries_settled(stages["exact_dedup"](spark, docs, "nowhere"))
+    got = helpers.copies((r.doc_id, " ".join(r.text.split())) for r in one.collect())
+    assert got == helpers.copies([(5, a), (3, b), (7, c), (None, d), (8, near(a)), (8, "alone"), (None, near(c)), (2, "x y")])
+    two = stages["minhash_near_dedup"](spark, one, "nowhere")
+    assert two.columns == docs.columns
+    got = helpers.copies((r.doc_id, " ".join(r.text.split())) for r in two.collect())
+    assert got == helpers.copies([(5, a), (3, b), (7, c), (None, d), (8, "alone"), (2, "x y")])
+
+
 def test_pipeline_keeps_and_drops_what_it_should(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
