@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from excerpta.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, pii, token_counts, tool_calls, topk
+from excerpta.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, pii, sharding, token_counts, tool_calls, topk
 from excerpta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -148,5 +148,18 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op3_license_scan, op4_tool_calls, op5_token_counts, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing)}
+def op11_histogram_sort(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.histogram_sort(docs, shards=16).select(
+        "row.doc_id",
+        "size",
+        F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op3_license_scan, op4_tool_calls, op5_token_counts, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing, op11_histogram_sort)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_minhash_near_dedup": OP7_SQL}
