@@ -83,6 +83,15 @@ def _open_part(stats) -> int | None:
     return next((p for p, (low, high) in enumerate(stats) if low != high), None)
 
 
+def _narrowed(frame: DataFrame, opened: list[Interval], links: list[tuple]) -> DataFrame:
+    """The rows inside the open intervals, with the interval and the cell where each lies."""
+    grid = [f"({at}, {cell}L, {i.number}, {i.part}, {i.low}L, {i.shift}, {i.width}L)" for (at, cell), i in zip(links, opened)]
+    grid = _values(frame, grid, "_at, _cell, _next, _part, _low, _shift, _width")
+    inside = frame.join(F.broadcast(grid), ["_at", "_cell"])  # at most as many rows as ranges
+    cell = _cell(F.col("_part"), F.col("_low"), F.col("_shift"), F.col("_width"))
+    return inside.select(F.col("_next").alias("_at"), cell.alias("_cell"), "_size", *KEYS)
+
+
 def splitters(rows: DataFrame, parts: int, of_shard: int, tolerance=TOLERANCE):
     """The least keys of ranges 1 to ``parts - 1`` of near equal bytes, the rows below them, and the first round's cells.
 
@@ -97,13 +106,11 @@ def splitters(rows: DataFrame, parts: int, of_shard: int, tolerance=TOLERANCE):
     stats = list(zip(bounds[::2], bounds[1::2]))
     targets = list(range(1, parts))
     root = Interval(0, stats, 0, FIRST_PROBES, 0, 0, None, targets)
-    found, first_cells, opened, frame = {}, [], [root], rows.withColumn("_at", F.lit(0)).withColumn("_cell", F.lit(0).cast("long"))
-    links, number = [(0, 0)], 1
+    found, first_cells, opened, links, number = {}, [], [root], [], 1
+    frame = rows.select(F.lit(0).alias("_at"), _cell(F.lit(0), F.lit(root.low), F.lit(root.shift), F.lit(root.width)).alias("_cell"), "_size", *KEYS)
     while opened:
-        grid = [f"({at}, {cell}L, {i.number}, {i.part}, {i.low}L, {i.shift}, {i.width}L)" for (at, cell), i in zip(links, opened)]
-        grid = _values(rows, grid, "_at, _cell, _next, _part, _low, _shift, _width")
-        inside = frame.join(F.broadcast(grid), ["_at", "_cell"])  # at most ``parts`` rows
-        frame = inside.select(F.col("_next").alias("_at"), _cell(F.col("_part"), F.col("_low"), F.col("_shift"), F.col("_width")).alias("_cell"), "_size", *KEYS)
+        if links:
+            frame = _narrowed(frame, opened, links)
         cells: dict[int, list] = {}
         counted = frame.groupBy("_at", "_cell").agg(F.sum("_size"), F.count("*"), F.min(F.struct(*KEYS)), *ends)
         for at, cell, size, n, least, *bounds in counted.collect():  # at most FIRST_PROBES, later PROBES + 4 * parts
