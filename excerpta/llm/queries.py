@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from excerpta.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, pii, sharding, token_counts, tool_calls, topk
+from excerpta.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, pii, prefix_trie, sharding, token_counts, tool_calls, topk
 from excerpta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -161,5 +161,45 @@ def op11_histogram_sort(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op3_license_scan, op4_tool_calls, op5_token_counts, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing, op11_histogram_sort)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_minhash_near_dedup": OP7_SQL}
+def op12_prefix_trie(spark, sf_dir):
+    """Every conversation c begins with the first crc32(c) % 9 turns of conversation c - c % 5."""
+    turns = prefix_trie.placed_turns(table(spark, sf_dir, "conversations"))
+    ids = turns.select("conv_id").distinct()
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    openings = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("source_id"), h.alias("h"))
+    nodes = prefix_trie.prefix_trie(*prefix_trie.with_shared_openings(turns, openings))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+# Nodes are grouped by their whole list of turns. The CRC-32 is spelled out bit by bit (its fixed polynomial).
+OP12_SQL = r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY p) AS ts FROM o GROUP BY conv_id),
+c AS (
+  SELECT conv_id, ts, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda x: CAST(ascii(x) AS BIGINT))), lambda s, b: list_reduce(list_prepend(xor(s, b), CAST(range(8) AS BIGINT[])),
+    lambda u, i: xor(u >> 1, 3988292384 * (u & 1))))) % 9 AS h FROM l),
+b AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(l.ts, []), 1, h), list_slice(c.ts, h + 1, len(c.ts))) AS ts
+  FROM c LEFT JOIN l ON l.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT conv_id, len(ts) AS n, d, list_slice(ts, 1, d) AS p FROM b, unnest(range(len(ts) + 1)) AS u(d)),
+g AS (
+  SELECT p, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM m GROUP BY p),
+k AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+v AS (
+  SELECT g.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(p[-1].t) ELSE 0 END AS saved FROM g LEFT JOIN k USING (p)),
+s AS (
+  SELECT list_slice(p, 1, d) AS p, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM v, unnest(range(depth + 1)) AS u(d) GROUP BY 1)
+SELECT v.conv_id, v.depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN s ON v.p = s.p LEFT JOIN v a ON v.depth > 0 AND a.p = list_slice(v.p, 1, v.depth - 1)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op3_license_scan, op4_tool_calls, op5_token_counts, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing, op11_histogram_sort, op12_prefix_trie)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_minhash_near_dedup": OP7_SQL, "op12_prefix_trie": OP12_SQL}
