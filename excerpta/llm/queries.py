@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from excerpta.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, pii, prefix_trie, sharding, token_counts, tool_calls, topk
+from excerpta.llm import alignment, bpe, exact_dedup, language, licenses, near_dedup, packing, pii, prefix_trie, sharding, token_counts, tool_calls, topk
 from excerpta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -201,5 +202,10 @@ FROM v JOIN s ON v.p = s.p LEFT JOIN v a ON v.depth > 0 AND a.p = list_slice(v.p
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op3_license_scan, op4_tool_calls, op5_token_counts, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing, op11_histogram_sort, op12_prefix_trie)}
+def op13_tokenizer_alignment(spark, sf_dir):
+    found = alignment.cross_tokenizer_alignment(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_exact_topk, op3_license_scan, op4_tool_calls, op5_token_counts, op6_pii, op7_minhash_near_dedup, op8_language_id, op9_bpe_coding, op10_best_fit_packing, op11_histogram_sort, op12_prefix_trie, op13_tokenizer_alignment)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_minhash_near_dedup": OP7_SQL, "op12_prefix_trie": OP12_SQL}
