@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -23,8 +24,13 @@ TURNS_A_PART = 64
 PLAIN = {"string": str, "boolean": bool, "array": list, "object": dict}
 
 
+def spelled(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 has no bytes for, as their JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return spelled(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def faults(value, schema: dict, path="") -> list[str]:
@@ -145,7 +151,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
                     value, found = checked(row["name"], row["arguments"], schemas)
                     message |= {"name": row["name"], "arguments": row["arguments"] if value is None else value}
                 valid.append(None if row["status"] == "orphan" else not found)
-                wrong.append("; ".join(found))
+                wrong.append(spelled("; ".join(found)))
                 messages.append(canonical(message))
             columns = [*batch.columns[:6], pa.array(valid, pa.bool_()), pa.array(wrong, pa.string()), pa.array(messages, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:6], "valid", "faults", "message"])

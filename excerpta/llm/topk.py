@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,32 +27,38 @@ BINS = 1024
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
 BLOCKS_A_CELL = 3
-BLOCK = "block long, rows long, peak double, reach double, ids binary, matrix binary"
+BLOCK = "block long, length long, rows long, peak double, reach double, ids binary, matrix binary"
 
 
 def whole_vectors(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, v) with v = floor(scale * x): rows with an id and a vector of finite numbers, of the most frequent length."""
+    """(id, v) with v = floor(scale * x): rows with an id and a vector of finite numbers."""
     x = F.col(vector)
     finite = F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < float("inf")), F.lit(False)))
     rows = vectors.where(x.isNotNull() & F.col(key).isNotNull() & finite & (F.size(x) > 0))
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (length["n"] if length else 0))
+    return rows.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
+
+
+def of_one_length(batch: pa.RecordBatch, size: int):
+    """(length, rows) of parts of at most ``size`` rows whose vectors are equally long."""
+    lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    for length in np.unique(lengths):
+        own = batch if (lengths == length).all() else batch.take(pa.array(np.flatnonzero(lengths == length)))
+        for start in range(0, own.num_rows, size):
+            yield int(length), own.slice(start, size)
 
 
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of at most ``size`` rows of one task: ids, matrix, its largest component and its largest norm."""
+    """Blocks of at most ``size`` rows of one task and one vector length: ids, matrix, its largest component and its
+    largest norm."""
 
     def run(it):
         number = TaskContext.get().partitionId() << 32
-        for batch in it:
-            for start in range(0, batch.num_rows, size):
-                part = batch.slice(start, size)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                values = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype("f8")
-                made = (number, len(ids), np.abs(values).max(), np.sqrt((values**2).sum(1)).max(), ids.tobytes(), values.tobytes())
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made], names=["block", "rows", "peak", "reach", "ids", "matrix"])
+        for length, part in (p for batch in it for p in of_one_length(batch, size)):
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            values = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype("f8")
+            made = (number, length, len(ids), np.abs(values).max(), np.sqrt((values**2).sum(1)).max(), ids.tobytes(), values.tobytes())
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made], names=[f.split()[0] for f in BLOCK.split(", ")])
 
     return settle(rows.mapInArrow(run, BLOCK), name)
 
@@ -89,7 +96,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key="vec_id", vector="
     """query_id, rank, vec_id, score: for each query row the ``k`` rows of highest score, ties to the smaller id.
 
     Score: inner product of floor(scale * x). A row without id, or whose vector is null, empty or holds a null or a
-    non-finite number, takes no part, nor does one of another length than most. A query is not its own candidate. Rows
+    non-finite number, takes no part; vectors meet those of their own length. A query is not its own candidate. Rows
     that repeat a query's id are one query (the least vector); repeated candidates each take a rank. A query with fewer
     than ``k`` candidates returns them all; an empty table gives no rows.
     """
@@ -105,7 +112,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key="vec_id", vector="
             other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         )
 
-    columns = dealt(candidates, "x", across, "y", down).groupBy("x", "y")
+    columns = dealt(candidates, "x", across, "y", down).groupBy("length", "x", "y")
 
     def count(key, left, right):
         tables = []
@@ -137,7 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key="vec_id", vector="
         """Query blocks with the state of their queries, on the grid."""
         parts = state.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "low", "high"))).alias("s"))  # a block's
         known = queries.join(parts.select("block", F.col("s.low").alias("low"), F.col("s.high").alias("high")), "block")
-        return dealt(known, "y", down, "x", across).groupBy("x", "y").cogroup(columns).applyInArrow(function, schema)
+        return dealt(known, "y", down, "x", across).groupBy("length", "x", "y").cogroup(columns).applyInArrow(function, schema)
 
     bound = int(reach) + 1
     state = queries.mapInArrow(_first_ranges(bound), "query_id long, block long, place int, low long, high long, above long")

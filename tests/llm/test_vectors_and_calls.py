@@ -37,6 +37,18 @@ def test_topk_with_ties_and_bad_vectors(spark, monkeypatch, bins):
     assert {(q, n, i, s) for q, n, i, s in got} == brute(rows, 7, 10)
 
 
+def test_topk_meets_vectors_of_the_same_length(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 4)
+    rows = [(n, [1.0 * (n % 7)] * (3 if n % 3 else 2)) for n in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = [tuple(r) for r in topk.nearest(df, F.col("vec_id") % 10 == 0, k=5).collect()]
+    want = set()
+    for q, v in rows[::10]:
+        scored = sorted((-sum(64 * a * 64 * b for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+        want |= {(q, n, i, -int(s)) for n, (s, i) in enumerate(scored, 1)}
+    assert len(got) == 20 and set(got) == want
+
+
 def test_topk_few_or_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.nearest(df, F.col("vec_id") == 0, k=20).collect()] == [(0, 1, 1, 64 * 128)]
@@ -77,6 +89,11 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert linked(spark, [], []) == {}
 
 
+def test_tool_calls_with_lone_surrogates(spark):
+    got = linked(spark, [(1, "s", 1, "add", '{"a": 1, "b": ["\\ud800"], "\\udfff": 2}', None)], [(1, "s", 2, "ok")])[1, "s"]
+    assert got.faults == "\\udfff is unknown" and json.loads(got.message)["arguments"] == {"a": 1, "b": ["\ud800"], "\udfff": 2}
+
+
 def test_pipeline_stages_on_edge_tables(spark):
     for docs in (helpers.edge_table(spark), helpers.empty_table(spark)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
