@@ -4,11 +4,12 @@ A text's features are the two- and three-character windows of its lower-cased le
 word's border; windows of borders alone are left out. Each window hashes to one of ``BUCKETS`` rows of an embedding table,
 a text is the average of its rows, and a linear softmax over that average gives the language.
 
-Training: a bounded sample of labelled rows (``sample`` per label, those of least id hash) is turned into bucket counts
-by the tasks, so whole texts are used and at most ``BUCKETS`` numbers per sampled row reach the driver, where numpy runs
-stochastic gradient descent. One sampled row in five is kept from it. On these, and on short draws of their windows, a temperature and a
-shrinkage of short texts are fitted; half the confidence that all but ``tolerance`` of the right answers reach is the
-rejection level.
+Training: a bounded sample of labelled rows (``sample`` per label, those of least hash of id and text) is turned into
+bucket counts by the tasks, so whole texts are used and at most ``BUCKETS`` numbers per sampled row reach the driver, where
+numpy runs stochastic gradient descent. One sampled row in five is kept from it. On these, and on short draws of their
+windows, a temperature and a shrinkage of short texts are fitted. Two levels reject a text: a confidence under half of what
+all but ``tolerance`` of the right answers reach, and a share of windows never met in training above what all but
+``tolerance`` of the kept rows and draws have, carried a third of the way to the share that chance windows would have.
 
 Prediction: the average and the softmax's matrix are linear, so the model is one table of class scores per bucket. All
 the windows of a run of texts are hashed, looked up and summed as arrays. Rows never leave their task.
@@ -22,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from excerpta.llm.common import batches, per_worker, text_runs
+from excerpta.llm.common import batches, per_worker, settle, text_runs
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 SAMPLE = 600
+LABELS = 1000
 TOLERANCE = 0.001
 RUN_CHARS = 1 << 19
 UNDETERMINED = "und"
@@ -65,20 +67,23 @@ def _mixed(h):
 
 
 class Model:
-    """Class scores per bucket, labels, temperature, shrinkage of short texts and rejection level."""
+    """Class scores per bucket, labels, temperature, shrinkage of short texts, rejection level, which buckets training met
+    and the share of others that rejects."""
 
-    def __init__(self, labels, table, temperature, shrinkage, level):
+    def __init__(self, labels, table, temperature, shrinkage, level, met, strange):
         self.labels, self.table, self.temperature, self.shrinkage, self.level = labels, table, temperature, shrinkage, level
+        self.met, self.strange = met, strange
 
-    def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(probabilities, whether the text has any letter) of each text."""
+    def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probabilities, whether the text has any letter, whether too many of its windows are new) of each text."""
         is_letter = per_worker("letters", letters)
         buckets, owners = windows(texts, is_letter)
         n = np.bincount(owners, minlength=len(texts))
         scores = np.empty((len(texts), len(self.labels)))
         for k in range(len(self.labels)):
             scores[:, k] = np.bincount(owners, self.table[k][buckets], len(texts))
-        return calibrated(scores / np.maximum(n, 1)[:, None], n, self.temperature, self.shrinkage), n > 0
+        new = np.bincount(owners, ~self.met[buckets], len(texts)) > self.strange * n
+        return calibrated(scores / np.maximum(n, 1)[:, None], n, self.temperature, self.shrinkage), n > 0, new
 
 
 def softmax(scores):
@@ -111,7 +116,7 @@ def bucket_counts(docs: DataFrame, label: str, text: str) -> DataFrame:
 
 def fit(rows: list[tuple], epochs=6, rate=0.5, seed=7, tolerance=TOLERANCE) -> Model | None:
     """A model of rows (label, buckets, counts); None without any. Ties and repeated rows count as they come."""
-    rows = [(label, np.asarray(b), np.asarray(c, "f8") / np.sum(c)) for label, b, c in rows if len(b)]
+    rows = [(label, np.asarray(b), np.asarray(c, "f8") / np.sum(c), int(np.sum(c))) for label, b, c in rows if len(b)]
     labels = sorted({r[0] for r in rows})
     if not labels:
         return None
@@ -124,7 +129,7 @@ def fit(rows: list[tuple], epochs=6, rate=0.5, seed=7, tolerance=TOLERANCE) -> M
     matrix = random.normal(0, 0.1, (DIMENSIONS, len(labels)))
     steps = epochs * len(seen)
     for step in range(steps):
-        label, buckets, weights = seen[random.integers(len(seen))]
+        label, buckets, weights, _ = seen[random.integers(len(seen))]
         slow = rate * (1 - step / steps)
         average = weights @ table[buckets]
         error = softmax(average @ matrix)
@@ -134,58 +139,77 @@ def fit(rows: list[tuple], epochs=6, rate=0.5, seed=7, tolerance=TOLERANCE) -> M
         # An average spreads its gradient thinly; rows are scaled back up, to the text's most frequent window.
         table[buckets] -= slow * np.outer(weights / weights.max(), back)
     classes = table @ matrix
-    scores, n, truth, whole = [], [], [], []
-    for label, buckets, weights in kept:
+    met = np.zeros(BUCKETS, bool)
+    for _, buckets, _, _ in seen:
+        met[buckets] = True
+    scores, n, truth, new = [], [], [], []
+    for label, buckets, weights, size_of_row in kept:
         for size in (3, 10, 30, 100, None):  # draws stand for short texts of the same language
             drawn = buckets if size is None else random.choice(buckets, size, p=weights / weights.sum())
             scores.append(weights @ classes[buckets] if size is None else classes[drawn].mean(0))
-            n.append(1e4 if size is None else size)
+            new.append(weights @ ~met[buckets] if size is None else (~met[drawn]).mean())
+            n.append(size_of_row if size is None else size)
             truth.append(number[label])
-            whole.append(size is None)
-    scores, n, truth, whole = map(np.array, (scores, n, truth, whole))
+    scores, n, truth, new = map(np.array, (scores, n, truth, new))
     loss = lambda t, s: -np.log(calibrated(scores, n, t, s)[np.arange(len(truth)), truth] + 1e-12).mean()
     grid = [(t, s) for t in np.geomspace(0.02, 5, 25) for s in (0, *np.geomspace(1, 300, 16))]
     temperature, shrinkage = min(grid, key=lambda p: loss(*p))
-    chances = calibrated(scores, n, temperature, shrinkage)[whole]
-    right = np.sort(chances.max(1)[chances.argmax(1) == truth[whole]])
-    level = 0.5 * min(right[int(tolerance * len(right))] if len(right) else 0.0, 1.0)
-    return Model(labels, np.ascontiguousarray(classes.T), float(temperature), float(shrinkage), float(level))
+    chances = calibrated(scores, n, temperature, shrinkage)
+    right = chances.max(1)[chances.argmax(1) == truth]
+    level = 0.5 * np.quantile(right, tolerance) if len(right) else 0.0
+    usual, chance = np.quantile(new, 1 - tolerance), 1 - met.mean()
+    strange = usual + max(0.0, chance - usual) / 3
+    return Model(labels, np.ascontiguousarray(classes.T), float(temperature), float(shrinkage), float(level), met, float(strange))
 
 
-def train(docs: DataFrame, label="lang", text="text", key="doc_id", sample=SAMPLE, **options) -> Model | None:
-    """Fit on at most ``sample`` rows per label: those of least id hash among rows with label and text.
+def train(docs: DataFrame, label="lang", text="text", key="doc_id", sample=SAMPLE, labels=LABELS, **options) -> Model | None:
+    """Fit on at most ``sample`` rows per label: those of least hash of id and text among labelled rows.
 
-    Labels are a closed set of moderate size: its counts are broadcast. Rows are chosen without their text, which is then read for
-    the chosen ids alone.
+    The sample is drawn by row: rows of one id and different texts are different rows, a null id is an id, and rows that
+    repeat each other (label, id and text) count once. A null text is empty and teaches nothing. Without labelled rows
+    there is no model. More than ``labels`` labels are refused: sample and labels bound what reaches the driver.
     """
-    labelled = docs.select(F.col(key).alias("_id"), F.col(label).alias("_label")).where("_id is not null and _label is not null")
+    rows = docs.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("string").alias("_label"),
+        F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
+        F.coalesce(F.col(text), F.lit("")).alias("_text"),
+    )
+    hashes = settle(rows.select("_label", "_hash"), "language-rows")
+    many = hashes.groupBy("_label").agg(F.approx_count_distinct("_hash", 0.02).alias("n")).limit(labels + 1)
+    shares = [(r["_label"], min(1.0, (2 * sample + 100) / max(1, r["n"]))) for r in many.collect()]
+    if len(shares) > labels:
+        raise ValueError(f"more than {labels} labels")
+    if not shares:
+        return None
     # About twice the sample of each label is ranked: the others' hashes are too large to be among the least.
-    counts = labelled.groupBy("_label").agg((F.lit(2 * sample + 100) / F.count("*")).alias("_share"))
-    small = labelled.join(F.broadcast(counts), "_label").where(F.expr("pmod(xxhash64(_id), 1000003) < 1000003 * _share"))
-    first = Window.partitionBy("_label").orderBy(F.expr("pmod(xxhash64(_id), 1000003)"), "_id")
-    chosen = small.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).select("_id").distinct()
-    texts = docs.select(F.col(key).alias("_id"), F.col(label).alias("_label"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = texts.where("_label is not null").join(F.broadcast(chosen), "_id", "left_semi")  # at most sample per label
-    return fit([tuple(r) for r in bucket_counts(rows, "_label", "_text").collect()], **options)
+    place = F.expr("pmod(_hash, 1000003)")
+    shares = docs.sparkSession.createDataFrame(shares, "_label string, _share double")
+    small = hashes.join(F.broadcast(shares), "_label").where(place < 1000003 * F.col("_share")).select("_label", "_hash").distinct()
+    first = Window.partitionBy("_label").orderBy(place, "_hash")
+    chosen = small.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).drop("_rank")
+    texts = rows.join(F.broadcast(chosen), ["_label", "_hash"], "left_semi")  # at most sample per label
+    texts = texts.groupBy("_label", "_hash").agg(F.min("_text").alias("_text"))
+    return fit([tuple(r) for r in bucket_counts(texts, "_label", "_text").collect()], **options)
 
 
 def predict(docs: DataFrame, model: Model | None, text="text", lang="lang_pred", score="score", rejected="rejected") -> DataFrame:
-    """``docs`` with the predicted language, its calibrated probability and whether that is under the rejection level.
+    """``docs`` with the predicted language, its calibrated probability and whether the text is rejected: its probability
+    is under the level, or too many of its windows were never met in training.
 
     A null text, a text without letters and any text under no model give ``und``, 0.0 and true.
     """
     if model is None:
         return docs.withColumns({lang: F.lit(UNDETERMINED), score: F.lit(0.0), rejected: F.lit(True)})
-    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.table, model.temperature, model.shrinkage, model.level))
+    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.table, model.temperature, model.shrinkage, model.level, model.met, model.strange))
 
     def run(it):
         own = Model(*shared.value)
 
         def rows(texts):
             for a, b in text_runs(texts, RUN_CHARS):
-                chances, any_letter = own.probabilities(texts[a:b])
-                for best, chance, some in zip(chances.argmax(1), chances.max(1), any_letter):
-                    yield (own.labels[best], float(chance), bool(chance < own.level)) if some else (UNDETERMINED, 0.0, True)
+                chances, any_letter, new = own.probabilities(texts[a:b])
+                for best, chance, some, strange in zip(chances.argmax(1), chances.max(1), any_letter, new):
+                    yield (own.labels[best], float(chance), bool(strange or chance < own.level)) if some else (UNDETERMINED, 0.0, True)
 
         for batch in it:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]

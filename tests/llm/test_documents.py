@@ -416,3 +416,37 @@ def test_plan_meets_every_capacity(rule):
     assert len(used) == plan.sequences
     with pytest.raises(ValueError):
         packing.Plan({101: 1}, limits)
+
+
+def test_language_sample_is_drawn_by_row(spark, docs):
+    some = docs.where("lang is not null").select("doc_id", "text", "lang").limit(120)
+    texts = [r.text for r in some.collect()]
+    one_id = some.withColumn("doc_id", F.lit(7).cast("long"))
+    no_id = some.withColumn("doc_id", F.lit(None).cast("long"))
+    labels = set(language.train(some).labels)
+    assert set(language.train(one_id).labels) == set(language.train(no_id).labels) == labels
+    # One row repeated very often is one row of the sample, and the others are still learned.
+    hot = spark.createDataFrame([(1, texts[0], "aa")] * 3000 + [(1, t, "aa") for t in texts[1:40]] + [(2, t, "bb") for t in texts[40:80]], "doc_id long, text string, lang string")
+    taken = []
+    fit = language.fit
+    try:
+        language.fit = lambda rows, **options: taken.extend(rows) or fit(rows, **options)
+        language.train(hot, sample=30)
+    finally:
+        language.fit = fit
+    assert {label: sum(r[0] == label for r in taken) for label in ("aa", "bb")} == {"aa": 30, "bb": 30}
+    with pytest.raises(ValueError):
+        language.train(hot, labels=1)
+
+
+def test_language_rejects_what_was_never_learned(spark, docs):
+    labelled = docs.where("lang is not null")
+    strange = [("ru", "это русский текст, которого модель никогда не видела"), ("ja", "これは日本語の文章です。学習されていません"), ("none", "xqzv kjwq pfxz wqkj zzqx vbnq kqxj qqzx")]
+    asked = spark.createDataFrame(strange, "name string, text string")
+    short = labelled.select("lang", F.regexp_extract("text", r"^(\S+ ){4}\S+", 0).alias("text")).where("length(text) > 20")
+    two = labelled.groupBy("lang").count().orderBy(F.desc("count")).limit(2).select("lang")
+    for rows in (labelled, labelled.join(two, "lang", "left_semi")):
+        model = language.train(rows)
+        assert all(r.rejected for r in language.predict(asked, model).collect())
+        stays = language.predict(short.where(F.col("lang").isin(model.labels)), model)
+        assert stays.agg(F.avg((~F.col("rejected")).cast("double"))).first()[0] >= 0.99
