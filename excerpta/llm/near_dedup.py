@@ -303,8 +303,28 @@ def near_dedup(docs: DataFrame, width=5, percent=80, key="doc_id", text="text")
     Two documents are linked if their sets of ``width``-word shingles reach ``percent`` / 100 Jaccard similarity; a
     component's id is its least doc_id, and the document with that id is the one kept. A null or wordless text has the
     empty set and is linked with nothing; so is a row without id, whose component_id is null and which is kept. Rows with
-    equal sets are always linked. Rows that repeat an id are one document.
+    equal sets are always linked. Rows that repeat an id and have different texts are different documents of one label:
+    each is linked by its own text, and each whose id is the component's is kept. An empty table gives no rows; other
+    columns are ignored.
     """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _near_dedup(rows, width, percent)
+    # Rows get numbers that follow their ids, so that a component's least row has its least id.
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions("doc_id").withColumn("_row", F.monotonically_increasing_id())
+    placed = settle(placed, "near-rows").withColumn("_node", F.when(F.col("doc_id").isNotNull(), F.col("_row")))
+    found = _near_dedup(placed.select(F.col("_node").alias("doc_id"), "text"), width, percent)
+    numbered = found.where("doc_id is not null").select(F.col("doc_id").alias("_node"), "n_shingles", F.col("component_id").alias("_root"))
+    labels = placed.where("doc_id is not null").select("doc_id", "_node")
+    roots = numbered.select(F.col("_root")).distinct().join(labels.select(F.col("_node").alias("_root"), F.col("doc_id").alias("component_id")), "_root")
+    with_id = labels.join(numbered, "_node").join(roots, "_root")
+    with_id = with_id.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return with_id.union(found.where("doc_id is null"))
+
+
+def _near_dedup(docs: DataFrame, width: int, percent: int, key="doc_id", text="text") -> DataFrame:
+    """:func:`near_dedup` of rows whose ids are different or null."""
     found = settle(sketches(docs, width, key, text), "near-sketches")
     least = F.min(F.struct("doc_id", "n_shingles", "signature", "parity")).alias("r")
     some = found.where("doc_id is not null and n_shingles > 0").groupBy("set_id").agg(least)

@@ -450,3 +450,11 @@ def test_language_rejects_what_was_never_learned(spark, docs):
         assert all(r.rejected for r in language.predict(asked, model).collect())
         stays = language.predict(short.where(F.col("lang").isin(model.labels)), model)
         assert stays.agg(F.avg((~F.col("rejected")).cast("double"))).first()[0] >= 0.99
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{name}{n}" for n in range(60)) for name in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, c), (8, c + " z"), (9, c), (None, a), (5, None), (5, "")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=2, percent=80).collect()
+    want = [(1, 59, 1, True)] * 2 + [(2, 60, 1, False), (3, 60, 1, False)] + [(9, 59, 8, False)] * 2 + [(8, 60, 8, True), (None, 59, None, True)] + [(5, 0, 5, True)] * 2
+    assert helpers.copies(tuple(r) for r in got) == helpers.copies(want)
