@@ -22,7 +22,7 @@ from excerpta import __version__, schemas
 from excerpta.errors import ImportPolicyError, SnapshotError
 from excerpta.functions import identity
 from excerpta.functions.identity import ID_PATTERNS, canonical_json
-from excerpta.operators import audit, bm25, members, objects
+from excerpta.operators import audit, bm25, layers, members, objects
 from excerpta.sources import files as source_files, uploads
 from excerpta.session import spread_files, together
 from excerpta.storage import Folder
@@ -33,7 +33,6 @@ MEMBER = (
     "document_id string, segment string, asset_id string, source_name string, source_sha256 string, title string, "
     "media_type string, byte_size bigint, chunk_count bigint"
 )
-PIPELINE = hashlib.sha256(canonical_json(objects.STEPS).encode()).hexdigest()
 TARGET_ROWS = 2_000_000
 LEAST_ROWS = 100_000
 
@@ -63,8 +62,10 @@ def checked_catalog(catalog):
 
 
 class Library:
-    def __init__(self, spark: SparkSession, root: str, *, library_id: str | None = None, enhanced=None, verify_once=True):
+    def __init__(self, spark: SparkSession, root: str, *, library_id: str | None = None, enhanced=None, verify_once=True, steps=objects.STEPS):
         self.spark = spark
+        self.steps = steps
+        self.pipeline = hashlib.sha256(canonical_json(steps).encode()).hexdigest()
         self.folder = Folder(spark, root)
         self.library_id = library_id or "lib_" + "0" * 32
         self.enhanced = enhanced
@@ -174,7 +175,7 @@ class Library:
         work = f"_work-{uuid.uuid4().hex}"
         published = None
         try:
-            incoming = self._prepare(work, sources, replacements, base_snapshot_id, base)
+            incoming = self._prepare(work, sources, replacements, removed, base_snapshot_id, base)
             member_rows, fresh = self._member_rows(incoming, base_snapshot_id, base, removed, replacements)
             digest = identity.corpus_digest(member_rows).first()
             if digest is None:
@@ -231,7 +232,7 @@ class Library:
         if base_snapshot_id is None and not sources:
             raise ImportPolicyError("no source file was given")
 
-    def _prepare(self, work, sources, replacements, base_snapshot_id, base):
+    def _prepare(self, work, sources, replacements, removed, base_snapshot_id, base):
         """Parse and chunk every new file once, into the working folder."""
         path = self.folder.path(work, "prepared")
         jobs = [(list(sources), None)] if sources else []
@@ -243,10 +244,8 @@ class Library:
             if fault:
                 raise ImportPolicyError(f"{fault['source_name']}: {fault['reason']}")
             frames.append(source_files.prepare(raw).withColumn("replaced_document_id", F.lit(old).cast("string")))
-        if base and base["pipeline_sha256"] != PIPELINE:
-            # Another parser or chunker built the base: derive its documents again from their bytes.
-            raw = self._stored_sources(base_snapshot_id)
-            frames.append(source_files.prepare(raw).withColumn("replaced_document_id", F.lit("")))
+        if base and base["pipeline_sha256"] != self.pipeline:
+            frames += self._rederived(work, base_snapshot_id, [*removed, *replacements])
         if not frames:
             return None
         whole = frames[0]
@@ -259,14 +258,29 @@ class Library:
             raise ImportPolicyError(f"{bad['source_name']}: {bad['import_status']}")
         return stored
 
-    def _stored_sources(self, snapshot_id):
-        """Source files of a snapshot, rebuilt from its content-addressed source objects."""
-        payloads = self.spark.read.schema(schemas.OBJECT).parquet(self.folder.path("objects", "kind=source"))
-        named = self.members(snapshot_id).select("source_name", "source_sha256", "byte_size")
-        held = payloads.select(F.col("sha256").alias("source_sha256"), F.col("payload").alias("content")).dropDuplicates(
-            ["source_sha256"]
-        )
-        return named.join(held, "source_sha256").withColumn("suffix", uploads.suffix("source_name"))
+    def _rederived(self, work, snapshot_id, gone):
+        """Documents of a base built by other steps whose chunks are not those that the memo has for the present steps: cut
+        again from their parsed units where these are kept (no ``content`` then), parsed again from their bytes where they
+        are not. The others stay as they are."""
+        named = self.members(snapshot_id).select("document_id", "source_name", "source_sha256", "byte_size", "title", "media_type")
+        asked = self.spark.createDataFrame([(i,) for i in gone], "document_id string")
+        known = self.spark.createDataFrame([], layers.MEMO)
+        if self.folder.exists("layers"):
+            known = self.spark.read.schema(layers.MEMO).parquet(self.folder.path("layers"))
+        stored = self.spark.read.schema(schemas.OBJECT + ", kind string").parquet(self.folder.path("objects"))
+        planned = layers.plan(named.join(asked, "document_id", "left_anti"), known, self.steps)
+        refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(self.folder.path("snapshots", snapshot_id, "object_ref"))
+        same = refs.filter("kind = 'chunks'").select("document_id", F.col("sha256").alias("chunks_sha256"))
+        planned.join(same, ["document_id", "chunks_sha256"], "left_anti").select(planned.columns).write.parquet(self.folder.path(work, "layer-plan"))
+        planned = self.spark.read.schema(planned.schema).parquet(self.folder.path(work, "layer-plan"))
+        cut, parse = planned.filter("parsed_sha256 is not null"), planned.filter("parsed_sha256 is null")
+        frames = []
+        if not cut.isEmpty():
+            frames.append(layers.cut_again(cut, stored).withColumn("content", F.lit(None).cast("binary")))
+        if not parse.isEmpty():
+            raw = layers.parse_again(parse.select("source_name", "source_sha256", "byte_size"), stored)
+            frames.append(source_files.prepare(raw.withColumn("suffix", uploads.suffix("source_name"))))
+        return [f.select(*source_files.PREPARED).withColumn("replaced_document_id", F.lit("")) for f in frames]
 
     def _member_rows(self, incoming, base_snapshot_id, base, removed, replacements):
         """Member rows of the new snapshot (segment still null for new ones) and the new documents."""
@@ -285,23 +299,16 @@ class Library:
             asked = gone.union(swapped)
             if asked.join(held, "document_id", "left_anti").limit(1).count():
                 raise ImportPolicyError("a document to remove or replace is not in the base snapshot")
-            if base["pipeline_sha256"] != PIPELINE:
-                kept = new.filter("replaced_document_id = ''").drop("replaced_document_id")
-                new = new.filter("replaced_document_id is null or replaced_document_id <> ''")
-            else:
-                kept = held
-            result = members.apply_changes(kept, removals=asked)
+            kept = members.apply_changes(held, removals=asked)
+            if new is not None:  # documents made again take the place of their old rows
+                again = new.filter("replaced_document_id = ''").select("document_id")
+                kept = kept.join(again, "document_id", "left_anti")
+            result = kept
             if new is not None:
                 result = result.unionByName(new.drop("replaced_document_id"))
         if result.groupBy("document_id").count().filter("count > 1").limit(1).count():
             raise ImportPolicyError("a new file repeats a member of the snapshot")
-        fresh = incoming
-        if base is not None and incoming is not None and base["pipeline_sha256"] != PIPELINE:
-            # Derived again from the base, unless removed or replaced.
-            again = F.col("replaced_document_id") == ""
-            kept_again = incoming.filter(again).join(asked, "document_id", "left_anti")
-            fresh = kept_again.unionByName(incoming.filter(~F.coalesce(again, F.lit(False))))
-        return result, fresh
+        return result, incoming
 
     def _publish(self, work, snapshot_id, fresh, member_rows, digest, base, now):
         """Write the segment, the object references and the member list; returns the manifest."""
@@ -318,10 +325,11 @@ class Library:
             )
         kept_refs = None
         if base is not None:
+            before = self.spark.read.schema(schemas.OBJECT_REF).parquet(self.folder.path("snapshots", base["snapshot_id"], "object_ref"))
+            # Layers of kept documents, and those below the ones that were made again.
+            made = self.spark.createDataFrame([], "document_id string, kind string") if refs is None else refs.select("document_id", "kind")
             kept_refs = (
-                self.spark.read.schema(schemas.OBJECT_REF)
-                .parquet(self.folder.path("snapshots", base["snapshot_id"], "object_ref"))
-                .join(stored_members.filter(F.col("segment") != snapshot_id), "document_id", "left_semi")
+                before.join(stored_members, "document_id", "left_semi").join(made, ["document_id", "kind"], "left_anti")
                 .withColumn("created_in_snapshot", F.lit(False))
             )
         both = [part for part in (refs, kept_refs) if part is not None]
@@ -342,7 +350,7 @@ class Library:
             "format": "excerpta-snapshot",
             "schema_version": schemas.SCHEMA_VERSION,
             "schema_sha256": schemas.schema_sha256(),
-            "pipeline_sha256": PIPELINE,
+            "pipeline_sha256": self.pipeline,
             "snapshot_id": snapshot_id,
             "created_at": now.isoformat(timespec="microseconds"),
             "software_version": __version__,
@@ -402,13 +410,15 @@ class Library:
 
     def _store_objects(self, work, segment, fresh):
         """Append objects that are not stored yet; returns the references with their flags."""
-        made = objects.object_payloads(fresh.withColumn("content_text", F.lit("")), units=F.col("units"))
+        made = objects.object_payloads(fresh.withColumn("content_text", F.lit("")), "media_type", steps=self.steps, units=F.col("units"))
+        made = made.filter("payload is not null")  # documents cut again come without their bytes
         encoded = self.folder.path(work, "encoded")
         made.write.parquet(encoded)  # each layer is encoded once; digests and payloads are read from here
         payloads = self.spark.read.schema(made.schema).parquet(encoded)
         existing = None
         if self.folder.exists("objects"):
             existing = self.spark.read.schema("sha256 string, kind string").parquet(self.folder.path("objects"))
+        layers.memo(payloads, self.steps).write.parquet(self.folder.path("layers", f"segment={segment}"))
         flagged = objects.mark_created(payloads.drop("payload"), existing)
         created = flagged.filter("created_in_snapshot").select("document_id", "kind")
         payloads.join(created, ["document_id", "kind"], "left_semi").withColumn("segment", F.lit(segment)).select(
@@ -422,6 +432,7 @@ class Library:
             self.folder.remove("tables", name, f"segment={snapshot_id}")
         for kind in objects.KINDS:
             self.folder.remove("objects", f"kind={kind}", f"segment={snapshot_id}")
+        self.folder.remove("layers", f"segment={snapshot_id}")
         self.folder.remove("snapshots", snapshot_id)
 
     # --- verification ------------------------------------------------------------------------

@@ -53,11 +53,11 @@ def _envelope(kind, identity, payload) -> Column:
     )
 
 
-def parsed_payload(steps=STEPS, units=None) -> Column:
+def parsed_payload(steps=STEPS, units=None, step=None) -> Column:
     units = F.array(tx.normalize_newlines("content_text")) if units is None else units
     return _envelope(
         "parsed",
-        _object({"source_sha256": json_string("source_sha256"), "parser": _step(steps, "parser")}),
+        _object({"source_sha256": json_string("source_sha256"), "parser": _step(steps, "parser") if step is None else step}),
         _object(
             {
                 "media_type": json_string("media_type"),
@@ -71,7 +71,7 @@ def parsed_payload(steps=STEPS, units=None) -> Column:
     )
 
 
-def chunks_payload(parsed_sha256, steps=STEPS) -> Column:
+def chunks_payload(parsed_sha256, steps=STEPS, step=None) -> Column:
     record = F.transform(
         "chunks",
         lambda c: _object(
@@ -89,7 +89,7 @@ def chunks_payload(parsed_sha256, steps=STEPS) -> Column:
     )
     return _envelope(
         "chunks",
-        _object({"parsed_sha256": json_string(parsed_sha256), "chunker": _step(steps, "chunker")}),
+        _object({"parsed_sha256": json_string(parsed_sha256), "chunker": _step(steps, "chunker") if step is None else step}),
         _object(
             {
                 "title_hint": json_string("title_hint"),
@@ -101,22 +101,26 @@ def chunks_payload(parsed_sha256, steps=STEPS) -> Column:
 
 
 def object_payloads(documents: DataFrame, *keep: str, steps=STEPS, units=None) -> DataFrame:
-    """Three rows per document: ``keep + (document_id, kind, sha256, byte_size, path, payload)``."""
+    """Three rows per document: ``keep + (document_id, kind, upstream, sha256, byte_size, path, payload)``.
+
+    ``upstream`` is the digest of the object that the layer was made from, null for the source.
+    """
     source = F.col("content") if "content" in documents.columns else F.encode("content_text", "UTF-8")
     with_parsed = documents.withColumn("_parsed", parsed_payload(steps, units)).withColumn(
         "_parsed_sha", F.sha2("_parsed", 256)
     )
     layers = F.array(
-        F.struct(F.lit("source").alias("kind"), source.alias("payload")),
-        F.struct(F.lit("parsed").alias("kind"), F.encode("_parsed", "UTF-8").alias("payload")),
+        F.struct(F.lit("source").alias("kind"), F.lit(None).cast("string").alias("upstream"), source.alias("payload")),
+        F.struct(F.lit("parsed").alias("kind"), F.col("source_sha256").alias("upstream"), F.encode("_parsed", "UTF-8").alias("payload")),
         F.struct(
             F.lit("chunks").alias("kind"),
+            F.col("_parsed_sha").alias("upstream"),
             F.encode(chunks_payload(F.col("_parsed_sha"), steps), "UTF-8").alias("payload"),
         ),
     )
     return (
         with_parsed.select(*keep, "document_id", F.explode(layers).alias("_o"))
-        .select(*keep, "document_id", "_o.kind", "_o.payload")
+        .select(*keep, "document_id", "_o.kind", "_o.upstream", "_o.payload")
         .withColumn("sha256", F.sha2("payload", 256))
         .withColumn("byte_size", F.octet_length("payload").cast("long"))
         .withColumn("path", object_path(F.col("kind"), F.col("sha256")))
@@ -156,10 +160,13 @@ def storage_stats(refs: DataFrame, *keys: str) -> DataFrame:
 
 
 def missing_objects(refs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Referenced objects that are absent, or stored under a digest or size that does not match."""
+    """Referenced objects that are absent, or stored under a digest or size that does not match.
+
+    Only payloads that are referred to are hashed, however large the store is.
+    """
     digest = ["kind", "sha256"]
     wanted = refs.select(*digest, "byte_size").distinct()
-    sound = stored.filter(
+    sound = stored.join(wanted.select(*digest), digest, "left_semi").filter(
         (F.sha2("payload", 256) == F.col("sha256")) & (F.octet_length("payload") == F.col("byte_size"))
     ).select(*digest, "byte_size")
     return wanted.join(sound, [*digest, "byte_size"], "left_anti")
@@ -169,21 +176,60 @@ RECORD = (
     "ordinal int, text string, heading_path array<string>, pdf_page_start int, pdf_page_end int, "
     "source_line_start int, source_line_end int, anchor_label string"
 )
+LAYOUT = {
+    "parsed": (
+        "identity struct<source_sha256:string,parser:string>, payload struct<media_type:string,extraction_method:string,"
+        "extraction_status:string,title_hint:string,units:array<string>,page_count:int>"
+    ),
+    "chunks": (
+        "identity struct<parsed_sha256:string,chunker:string>, payload struct<title_hint:string,extracted_char_count:bigint,"
+        "chunks:array<struct<{}>>>"
+    ),
+}
+
+
+def decoded(stored: DataFrame, kind: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``sha256, o, fault`` of the objects of one kind, each digest once: ``o`` has identity and payload.
+
+    Decoding is strict: written again from the decoded columns, an object must give its very bytes. So an unknown, missing
+    or repeated key, another order of keys, white space between tokens and a number in another form are all found.
+    ``fault`` is null for a sound object, else what is wrong first. ``wanted(sha256)`` limits what is decoded.
+    """
+    rows = stored.filter(F.col("kind") == kind)
+    if wanted is not None:
+        rows = rows.join(wanted.select("sha256"), "sha256", "left_semi")
+    text = F.col("payload").cast("string")
+    layout = "format string, version int, kind string, " + LAYOUT[kind].format(_ddl(RECORD))
+    # The better of two payloads under one digest: one of them has been changed.
+    sound = F.sha2("payload", 256) == F.col("sha256")
+    rows = rows.groupBy("sha256").agg(F.max_by("payload", sound.cast("int")).alias("payload"))
+    rows = rows.withColumn("_text", text).withColumn("o", F.from_json("_text", layout)).select("*", "o.payload.*", "o.identity.*", F.col("payload").alias("_bytes"))
+    if kind == "parsed":
+        again = parsed_payload(units=F.col("units"), step=json_string("parser"))
+    else:
+        named = lambda c: F.struct(*[c[f.split()[0]].alias({"text": "chunk_text"}.get(f.split()[0], f.split()[0])) for f in RECORD.split(", ")])
+        rows = rows.withColumn("chunks", F.transform("chunks", named))
+        again = chunks_payload(F.col("parsed_sha256"), step=json_string("chunker"))
+    fault = (
+        F.when(F.sha2("_bytes", 256) != F.col("sha256"), "digest_differs")
+        .when(~F.is_valid_utf8(F.col("_text")), "not_utf8")
+        .when(F.col("o.kind").isNull(), "not_an_object")
+        .when((F.col("o.format") != FORMAT) | (F.col("o.version") != VERSION) | (F.col("o.kind") != kind), "another_format")
+        .when(~again.eqNullSafe(F.col("_text")), "not_canonical")
+    )
+    return rows.select("sha256", "o", fault.alias("fault"))
 
 
 def decoded_chunks(refs: DataFrame, stored: DataFrame) -> DataFrame:
     """Chunk rows of documents, rebuilt from the chunk objects they refer to.
 
-    ``refs(document_id, asset_id, kind, sha256)``; ``stored(kind, sha256, payload)``. Identities are derived again, and a
-    payload of another format, version or kind gives no rows. An object that many documents share is decoded once.
+    ``refs(document_id, asset_id, kind, sha256)``; ``stored(kind, sha256, payload)``. Identities are derived again, and an
+    object that does not decode strictly gives no rows. An object that many documents share is decoded once.
     """
-    envelope = F.from_json(
-        F.col("payload").cast("string"), f"format string, version int, kind string, payload struct<chunks:array<struct<{_ddl(RECORD)}>>>"
-    )
-    objects = stored.filter("kind = 'chunks'").select("sha256", envelope.alias("o")).dropDuplicates(["sha256"])
-    sound = objects.filter((F.col("o.format") == FORMAT) & (F.col("o.version") == VERSION) & (F.col("o.kind") == "chunks"))
+    chunk_refs = refs.filter("kind = 'chunks'").select("document_id", "asset_id", "sha256")
+    sound = decoded(stored, "chunks", chunk_refs.select("sha256").distinct()).filter("fault is null")
     records = sound.select("sha256", F.explode_outer("o.payload.chunks").alias("c")).filter(F.col("c").isNotNull())
-    rows = refs.filter("kind = 'chunks'").select("document_id", "asset_id", "sha256").join(records, "sha256")
+    rows = chunk_refs.join(records, "sha256")
     return rows.select(
         "document_id", "asset_id", "c.ordinal", F.col("c.text").alias("chunk_text"), "c.heading_path", "c.pdf_page_start",
         "c.pdf_page_end", "c.source_line_start", "c.source_line_end", "c.anchor_label",

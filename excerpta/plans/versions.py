@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from excerpta.functions import identity
-from excerpta.operators import audit, chunking, members, objects
+from excerpta.operators import audit, chunking, layers, members, objects
 from excerpta.plans import inputs as io
 from excerpta.schemas import asset_rows, document_rows
 from excerpta.session import settle
@@ -225,7 +225,73 @@ def audit_manifest(spark, sf):
     return audit.manifest_rules(documents, assets, chunks, listed)[0]
 
 
+CHANGED = {
+    "none": objects.STEPS,
+    "chunker": {k: {**v, "chunker": v["chunker"] + ", revised"} for k, v in objects.STEPS.items()},
+    "parser": {k: {**v, "parser": v["parser"] + ", revised"} for k, v in objects.STEPS.items()},
+}
+
+
+def pipeline_change(spark, sf):
+    """Which layers of every document three pipelines reuse or make again, and the chunks that come of it.
+
+    The store holds all layers of today's steps, and those of an earlier run of the revised chunker over toxic documents.
+    """
+    made = settle(io.prepared(spark, sf), "prepared")
+    before = made.join(io.table(spark, sf, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    payloads = [
+        objects.object_payloads(rows, "media_type", steps=CHANGED[name]).withColumn("steps", F.lit(name))
+        for name, rows in (("none", made), ("chunker", before))
+    ]
+    stored = settle(payloads[0].unionByName(payloads[1]), "layer-objects")
+    known = [layers.memo(stored.filter(F.col("steps") == name), CHANGED[name]) for name in ("none", "chunker")]
+    known = settle(known[0].unionByName(known[1]), "layer-memo")
+    documents = made.select("doc_id", "document_id", "asset_id", "source_name", "source_sha256", "byte_size", "title", "media_type")
+    out = None
+    for name, steps in CHANGED.items():
+        planned = settle(layers.states(layers.plan(documents, known, steps)), "layer-plan")
+        kept = layers.kept_chunks(planned.filter("chunks_layer = 'reused'"), stored)
+        cut = layers.cut_again(planned.filter("parsed = 'reused' and chunks_layer = 'rebuilt'"), stored)
+        parsed = layers.parse_again(planned.filter("parsed = 'rebuilt'"), stored).drop("title")
+        parsed = chunking.markdown_documents(parsed.withColumn("content_text", F.col("content").cast("string")))
+        for rows in (kept, cut, parsed):
+            rows = rows.select(F.lit(name).alias("change"), "doc_id", "parsed", "chunks_layer", F.size("chunks").cast("long").alias("n_chunks"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def object_codec(spark, sf):
+    """Faults that strict decoding finds, by layer, in objects whose documents' numbers choose what was done to them.
+
+    Every changed object is stored under the digest of its changed bytes, so that only its form is wrong.
+    """
+    made = io.prepared(spark, sf)
+    rows = objects.object_payloads(made, "doc_id", "lang").filter("kind <> 'source'")
+    text = F.col("payload").cast("string")
+    changed = (
+        F.when(F.col("doc_id") % 10 == 1, F.concat(F.lit('{"extra":null,'), F.substr(text, F.lit(2))))
+        .when(F.col("doc_id") % 10 == 2, F.regexp_replace(text, r'^\{(.*),("version":1)\}$', r"{$2,$1}"))
+        .when(F.col("doc_id") % 10 == 3, F.regexp_replace(text, r'"version":1\}$', '"version":1.0}'))
+        .when(F.col("doc_id") % 10 == 4, F.concat(text, F.lit(" ")))
+        .when(F.col("doc_id") % 10 == 5, F.regexp_replace(text, r'"version":1\}$', '"version":2}'))
+        .when(F.col("doc_id") % 10 == 6, F.substr(text, F.lit(3)))
+        .otherwise(text)
+    )
+    payload = F.when(F.col("doc_id") % 10 == 7, F.concat(F.col("payload"), F.lit(b"!"))).otherwise(F.encode(changed, "UTF-8"))
+    digest = F.when(F.col("doc_id") % 10 == 7, F.col("sha256")).otherwise(F.sha2("_new", 256))
+    stored = rows.withColumn("_new", payload).select("kind", digest.alias("sha256"), F.col("_new").alias("payload"))
+    stored = settle(stored, "codec-objects")
+    found = None
+    for kind in ("parsed", "chunks"):
+        one = objects.decoded(stored, kind).groupBy(F.coalesce("fault", F.lit("sound")).alias("fault"))
+        one = one.agg(F.count("*").alias("objects")).select(F.lit(kind).alias("kind"), "fault", "objects")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 QUERIES = {
+    "object_codec": object_codec,
+    "pipeline_change": pipeline_change,
     "audit_objects": audit_objects,
     "audit_manifest": audit_manifest,
     "snapshot_build": snapshot_build,
@@ -293,6 +359,20 @@ FROM (SELECT strlen(content_text) AS size,
 
 CHUNKS = io.sql_chunks()
 ORACLES = {
+    "pipeline_change": f"""WITH {CHUNKS},
+cut AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
+known AS (SELECT DISTINCT source_sha256 FROM ids JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT change, doc_id, CASE WHEN change = 'parser' THEN 'rebuilt' ELSE 'reused' END AS parsed,
+  CASE WHEN change = 'none' OR change = 'chunker' AND source_sha256 IN (SELECT source_sha256 FROM known) THEN 'reused' ELSE 'rebuilt' END AS chunks_layer,
+  coalesce(n, 0) AS n_chunks
+FROM ids LEFT JOIN cut USING (doc_id), (VALUES ('none'), ('chunker'), ('parser')) v(change)""",
+    # Copies share an object, and so do copies that are changed in the same way; one that is changed under its old digest counts
+    # once with those that are not, and the sound bytes win.
+    "object_codec": """WITH d AS (SELECT doc_id % 10 AS m, text FROM documents),
+f AS (SELECT DISTINCT text, CASE m WHEN 1 THEN 'not_canonical' WHEN 2 THEN 'not_canonical' WHEN 3 THEN 'not_canonical' WHEN 4 THEN 'not_canonical'
+  WHEN 5 THEN 'another_format' WHEN 6 THEN 'not_an_object' WHEN 7 THEN 'digest_differs' ELSE 'sound' END AS fault, CASE WHEN m BETWEEN 1 AND 7 THEN m ELSE 0 END AS m FROM d)
+SELECT kind, fault, count(*) AS objects FROM (
+  SELECT text, fault, m FROM f WHERE m <> 7 OR text NOT IN (SELECT text FROM f WHERE m = 0)), (VALUES ('parsed'), ('chunks')) k(kind) GROUP BY ALL""",
     "audit_objects": f"""WITH {CHUNKS}
 SELECT 'chunk_differs_from_object' AS "check", count(*) AS violations FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "audit_manifest": """SELECT 'manifest_source_differs' AS "check", count(*) AS violations FROM documents WHERE lang IN ('en', 'es')""",

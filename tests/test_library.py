@@ -8,6 +8,7 @@ from tests import offline
 from excerpta.enhanced import EnhancedSearch, SearchPlan
 from excerpta.errors import EnhancedSearchError, ImportPolicyError, LibraryRegistryError, SearchInputError, SnapshotError, VectorError
 from excerpta.functions import vectors as vec
+from excerpta.library import Library
 from excerpta.registry import LibraryRegistry
 from excerpta.tools import EvidenceTools, call_tool
 from excerpta.vector_store import VectorStore
@@ -376,3 +377,46 @@ def test_changed_chunks_differ_from_their_objects(spark, tmp_path):
     shorter = tables[2].withColumn("chunk_text", F.expr("substring(chunk_text, 2)"))
     rules = {r["check"]: r["violations"] for f in library._binding_rules(manifest, held, *tables[:2], shorter) for r in f.collect()}
     assert rules["chunk_differs_from_object"] == 2
+
+
+def test_another_chunker_reuses_parsed_layers_and_other_media_types(spark, tmp_path, monkeypatch):
+    from excerpta.operators import layers, objects
+    from excerpta.sources import files
+
+    paths = []
+    for name in ("entropy.md", "grid.md", "tie-a.md", "tie-b.md"):
+        (tmp_path / name).write_text(FILES[name], encoding="utf-8")
+        paths.append(str(tmp_path / name))
+    first_library = Library(spark, str(tmp_path / "library"))
+    first = first_library.build(paths)
+    own = objects.STEPS["text/markdown"]
+    cut = {**objects.STEPS, "text/markdown": {**own, "chunker": "revised"}}
+    other = {**objects.STEPS, "application/pdf": {"parser": "revised", "chunker": "revised"}}
+
+    def refs(library, snapshot):
+        rows = spark.read.parquet(library.folder.path("snapshots", snapshot, "object_ref")).collect()
+        return {(r["document_id"], r["kind"]): (r["sha256"], r["created_in_snapshot"]) for r in rows}
+
+    before = refs(first_library, first["snapshot_id"])
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "prepare", None)  # no source is parsed again
+        library = Library(spark, str(tmp_path / "library"), steps=cut)
+        gone = next(d for d, _ in before)
+        second = library.build(base_snapshot_id=first["snapshot_id"], remove_document_ids=[gone])
+        after = refs(library, second["snapshot_id"])
+        assert set(after) == {k for k in before if k[0] != gone} and second["counts"]["documents"] == 3
+        for (document, kind), (digest, created) in after.items():
+            assert (digest != before[document, kind][0]) == (kind == "chunks") and not (created and kind != "chunks")
+        assert library.manifest(second["snapshot_id"])["segments"] == [second["snapshot_id"]]
+        # Steps of a media type that no document has change nothing: rows stay in their segments.
+        third = Library(spark, str(tmp_path / "library"), steps={**cut, **{"application/pdf": other["application/pdf"]}})
+        kept = third.build(base_snapshot_id=second["snapshot_id"])
+        assert third.manifest(kept["snapshot_id"])["segments"] == [second["snapshot_id"]]
+        # And the first chunker's layers are still known.
+        back = first_library.build(base_snapshot_id=second["snapshot_id"])
+        assert {k: v[0] for k, v in refs(first_library, back["snapshot_id"]).items()} == {k: before[k][0] for k in after}
+    assert spark.read.schema(layers.MEMO).parquet(str(tmp_path / "library" / "layers")).filter("kind = 'parsed'").count() > 0
+    parser = Library(spark, str(tmp_path / "library"), steps={**objects.STEPS, "text/markdown": {**own, "parser": "revised"}})
+    fourth = parser.build(base_snapshot_id=first["snapshot_id"])
+    changed = refs(parser, fourth["snapshot_id"])
+    assert all((changed[k][0] == before[k][0]) == (k[1] == "source") for k in before)
