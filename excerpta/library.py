@@ -33,6 +33,7 @@ MEMBER = (
     "document_id string, segment string, asset_id string, source_name string, source_sha256 string, title string, "
     "media_type string, byte_size bigint, chunk_count bigint"
 )
+DERIVED = ("posting", "length")
 TARGET_ROWS = 2_000_000
 LEAST_ROWS = 100_000
 
@@ -73,6 +74,7 @@ class Library:
         # added, removed or rewritten since; pass False to audit on every call.
         self.verify_once = verify_once
         self._verified = {}
+        self._segments = {}  # segments that passed in this session, with the listing of their files then
 
     # --- catalog -----------------------------------------------------------------------------
 
@@ -169,7 +171,7 @@ class Library:
         removed = list(remove_document_ids)
         self._check_request(sources, base_snapshot_id, replacements, removed)
         base = self.manifest(base_snapshot_id) if base_snapshot_id else None
-        if base:
+        if base and not self._untouched(base):
             self.verify(base_snapshot_id)
 
         work = f"_work-{uuid.uuid4().hex}"
@@ -185,7 +187,8 @@ class Library:
             published = snapshot_id
             manifest = self._publish(work, snapshot_id, fresh, member_rows, digest, base, now)
             self.folder.publish((work, "snapshot"), ("snapshots", snapshot_id))
-            manifest["fingerprints"] = self._audit(snapshot_id, manifest)
+            self._audit(snapshot_id, manifest, base)
+            manifest["files"] = self._sizes(manifest)
             text = canonical_json(manifest)
             self.folder.write_text(text, "snapshots", snapshot_id, MANIFEST)
             record = {
@@ -207,7 +210,10 @@ class Library:
             raise
         finally:
             self.folder.remove(work)
-        self._verified[snapshot_id] = (record["manifest_sha256"], self._files(manifest))
+        if snapshot_id in manifest["segments"]:
+            self._segments[snapshot_id] = self._segment_files(snapshot_id)
+        if base is None:
+            self._verified[snapshot_id] = (record["manifest_sha256"], self._files(manifest))
         return {
             "snapshot_id": snapshot_id,
             "manifest_sha256": record["manifest_sha256"],
@@ -364,6 +370,7 @@ class Library:
         lens = self.table_from(manifest, stored_members, "length")
         manifest["stats"] = bm25.corpus_stats(lens).first().asDict()
         manifest["counts"]["index_rows"] = manifest["stats"]["rows"]
+        manifest["fingerprints"] = self._fingerprints(manifest, stored_members, refs_path, base)
         return manifest
 
     def table_from(self, manifest, member_frame, name):
@@ -377,18 +384,40 @@ class Library:
             return rows.drop("segment")
         return rows.join(member_frame.select("document_id", "segment"), ["document_id", "segment"], "left_semi").drop("segment")
 
-    def _fingerprints(self, manifest, member_frame):
-        names = ("document", "asset", "chunk")
-        tables = {"member": member_frame, **{n: self.table_from(manifest, member_frame, n) for n in names}}
-        # What is derived from them is wide and often long: a checksum per table.
-        derived = {n: self.table_from(manifest, member_frame, n) for n in ("posting", "length")}
-        refs = self.folder.path("snapshots", manifest["snapshot_id"], "object_ref")
-        derived["object_ref"] = self.spark.read.schema(schemas.OBJECT_REF).parquet(refs)
-        prints = together(
-            *(lambda t=t: audit.content_fingerprint(t).first().asDict() for t in tables.values()),
-            *(lambda t=t: audit.row_checksum(t).first().asDict() for t in derived.values()),
+    def _prints(self, segments) -> DataFrame:
+        return (
+            self.spark.read.option("basePath", self.folder.path("prints")).schema(audit.PRINT + ", segment string")
+            .parquet(*(self.folder.path("prints", f"segment={s}") for s in segments))
+        )
+
+    def _fingerprints(self, manifest, member_frame, refs_path, base=None):
+        """Prints of the snapshot's tables, composed of its documents' prints; none of the tables is read.
+
+        With a base, of the base's prints, less those of the documents that are gone, plus those of the new segment.
+        """
+        if base is None:
+            prints = self._prints(manifest["segments"])
+            if not manifest["whole_segments"]:
+                prints = prints.join(member_frame.select("document_id", "segment"), ["document_id", "segment"], "left_semi")
+            composed = audit.composed_prints((1, prints))
+        else:
+            rows = [(name, p["rows"], p["sum_a"], p["sum_b"]) for name, p in base["fingerprints"].items() if name in schemas.TABLES]
+            before = self.spark.createDataFrame(rows, "name string, rows long, sum_a string, sum_b string")
+            gone = self.members(base["snapshot_id"]).select("document_id", "segment").join(
+                member_frame.select("document_id", "segment"), ["document_id", "segment"], "left_anti"
+            )
+            parts = [(1, before), (-1, self._prints(base["segments"]).join(gone, ["document_id", "segment"], "left_semi"))]
+            if manifest["snapshot_id"] in manifest["segments"]:
+                parts.append((1, self._prints([manifest["snapshot_id"]])))
+            composed = audit.composed_prints(*parts)
+        refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(refs_path)
+        tables, members_, refs_ = together(
+            lambda: composed.collect(),
+            lambda: audit.content_fingerprint(member_frame).first().asDict(),
+            lambda: audit.row_checksum(refs).first().asDict(),
         )
-        return dict(zip([*tables, *derived], prints))
+        found = {r["name"]: {"rows": r["rows"], "sum_a": str(r["sum_a"]), "sum_b": str(r["sum_b"])} for r in tables}
+        return {**{n: found.get(n, {"rows": 0, "sum_a": "0", "sum_b": "0"}) for n in schemas.TABLES}, "member": members_, "object_ref": refs_}
 
     def _write_segment(self, segment, fresh):
         count = fresh.agg(F.count("*").alias("d"), F.sum(F.size("chunks")).alias("c"), F.sum("extracted_char_count").alias("n")).first()
@@ -407,6 +436,18 @@ class Library:
             lambda: self._write("posting", posts, segment, count["n"] // 6, "term", "chunk_id", "position"),
             lambda: self._write("length", lens, segment, count["c"], "chunk_id"),
         )
+        self._write_prints(segment, count["d"])
+
+    def _write_prints(self, segment, documents):
+        prints = audit.document_prints(self._segment_tables([segment]), derived=DERIVED)
+        parts = max(1, -(-documents * len(schemas.TABLES) // TARGET_ROWS))
+        prints.repartitionByRange(parts, "document_id").sortWithinPartitions("document_id").write.parquet(
+            self.folder.path("prints", f"segment={segment}")
+        )
+
+    def _segment_tables(self, segments):
+        whole = {"segments": segments, "whole_segments": True}
+        return {name: self.table_from(whole, None, name) for name in schemas.TABLES}
 
     def _store_objects(self, work, segment, fresh):
         """Append objects that are not stored yet; returns the references with their flags."""
@@ -432,53 +473,101 @@ class Library:
             self.folder.remove("tables", name, f"segment={snapshot_id}")
         for kind in objects.KINDS:
             self.folder.remove("objects", f"kind={kind}", f"segment={snapshot_id}")
-        self.folder.remove("layers", f"segment={snapshot_id}")
+        for name in ("layers", "prints"):
+            self.folder.remove(name, f"segment={snapshot_id}")
         self.folder.remove("snapshots", snapshot_id)
 
     # --- verification ------------------------------------------------------------------------
 
-    def _audit(self, snapshot_id, manifest):
-        """Full audit of one snapshot; raises with the names of the violated rules, returns the fingerprints."""
+    def _audit(self, snapshot_id, manifest, base=None):
+        """Audit of one snapshot; raises with the names of the violated rules.
+
+        Rows are audited by segment, once in a session as long as its files stay as they are; snapshots that share segments
+        share that work. What binds a snapshot to its segments (members, references, composed prints, corpus digest) is
+        checked each time and reads members and prints only. ``base`` is given by the build that made the snapshot: its
+        segments have been audited by the builds that wrote them, and its own prints have just been composed.
+        """
         try:
+            if base is not None:
+                todo = [s for s in manifest["segments"] if s == snapshot_id]
+            else:
+                seen = {s: self._segment_files(s) for s in manifest["segments"]}
+                todo = [s for s in manifest["segments"] if not self.verify_once or seen[s] is None or self._segments.get(s) != seen[s]]
             held = self.members(snapshot_id)
-            documents, assets, chunks = (self.table_from(manifest, held, n) for n in ("document", "asset", "chunk"))
-            rules = [
-                *audit.rules(documents, assets, chunks), *self._binding_rules(manifest, held, documents, assets, chunks)
-            ]
+            jobs = [lambda rule=rule: rule.filter("violations > 0").collect() for rule in self._membership_rules(manifest, held)]
+            if todo:
+                jobs += [lambda rule=rule: rule.filter("violations > 0").collect() for rule in self._segment_rules(todo, base is None)]
+            refs_path = self.folder.path("snapshots", snapshot_id, "object_ref")
             prints, digest, *findings = together(
-                lambda: self._fingerprints(manifest, held),
-                lambda: identity.corpus_digest(held).first(),
-                *(lambda rule=rule: rule.filter("violations > 0").collect() for rule in rules),
+                lambda: self._fingerprints(manifest, held, refs_path) if base is None else manifest["fingerprints"],
+                lambda: identity.corpus_digest(held).first() if base is None else {"corpus_sha256": manifest["corpus_sha256"]},
+                *jobs,
             )
-            broken = sorted(row["check"] for found in findings for row in found)
+            broken = sorted({row["check"] for found in findings for row in found})
         except SnapshotError:
             raise
         except Exception as error:
             raise SnapshotError("the snapshot could not be read") from error
-        if "fingerprints" in manifest and prints != manifest["fingerprints"]:
+        if prints != manifest["fingerprints"] and "content_fingerprint" not in broken:
             broken.append("content_fingerprint")
+        if prints["length"]["rows"] != manifest["counts"]["index_rows"]:
+            broken.append("index_rows")
         if digest is None or digest["corpus_sha256"] != manifest["corpus_sha256"]:
             broken.append("corpus_sha256")
         if broken:
             raise SnapshotError("audit failed: " + ", ".join(broken))
-        return prints
+        if base is None:
+            self._segments.update(seen)
+
+    def _segment_members(self, segments) -> DataFrame:
+        """Members of whole segments, as the snapshots that wrote them list them."""
+        paths = [self.folder.path("snapshots", s, "member") for s in segments]
+        own = self.spark.read.schema(MEMBER).parquet(*paths)
+        # A file is the list of the snapshot in its path; it counts for that segment alone.
+        return own.filter(F.col("segment") == F.element_at(F.split("_metadata.file_path", "/"), -3))
+
+    def _segment_refs(self, segments) -> DataFrame:
+        paths = [self.folder.path("snapshots", s, "object_ref") for s in segments]
+        refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(*paths)
+        return refs.withColumn("segment", F.element_at(F.split("_metadata.file_path", "/"), -3))
+
+    def _membership_rules(self, manifest, held):
+        """Members and references of a snapshot are among those of its segments."""
+        columns = [c.split()[0] for c in MEMBER.split(", ")]
+        refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(self.folder.path("snapshots", manifest["snapshot_id"], "object_ref"))
+        reference = ["document_id", "kind", "sha256", "byte_size", "path"]
+        bound = refs.join(held.select("document_id", "segment"), "document_id", "left").select(*reference, "segment")
+        known = self._segment_refs(manifest["segments"]).select(*reference, "segment")
+        return [
+            audit.count_rows("member_differs", held.select(*columns).exceptAll(self._segment_members(manifest["segments"]).select(*columns))),
+            audit.count_rows("object_reference_differs", bound.exceptAll(known)),
+            audit.count_rows("object_reference_gap", held.join(refs, "document_id", "left_anti")),
+        ]
 
-    def _binding_rules(self, manifest, held, documents, assets, chunks):
-        refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(
-            self.folder.path("snapshots", manifest["snapshot_id"], "object_ref")
-        )
+    def _segment_rules(self, segments, prints=True):
+        """Rules of the rows of whole segments; ``prints`` also computes their documents' prints again."""
+        tables = self._segment_tables(segments)
+        held = self._segment_members(segments)
+        three = [tables[n] for n in ("document", "asset", "chunk")]
+        refs = self._segment_refs(segments).join(held.select("document_id", "segment"), ["document_id", "segment"], "left_semi").drop("segment")
+        found = [*audit.rules(*three), *self._binding_rules({}, held, *three, refs=refs)]
+        if prints:
+            found.append(audit.print_rules(self._prints(segments), audit.document_prints(tables, derived=DERIVED)))
+        return found
+
+    def _binding_rules(self, manifest, held, documents, assets, chunks, refs=None):
+        """Members, tables and objects of the same documents against each other."""
+        if refs is None:
+            refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(
+                self.folder.path("snapshots", manifest["snapshot_id"], "object_ref")
+            )
         store = self.spark.read.schema(schemas.OBJECT + ", kind string").parquet(self.folder.path("objects"))
-        counts = manifest["counts"]
-        actual = self.table_from(manifest, held, "length").agg(
-            F.abs(F.count("*") - counts["index_rows"]).alias("violations")
-        )
         sources = held.select(
             "document_id", "asset_id", "title", "source_name", "media_type", "source_sha256", "byte_size", "chunk_count"
         )
         counted = chunks.groupBy("asset_id").agg(F.count("*").alias("chunk_count"))
         seen = documents.join(assets, "document_id").join(counted, "asset_id", "left").select(*sources.columns)
         return [
-            actual.select(F.lit("index_rows").alias("check"), F.col("violations").cast("long").alias("violations")),
             audit.count_rows("member_differs", sources.exceptAll(seen).unionByName(seen.exceptAll(sources))),
             audit.count_rows("object_missing_or_changed", objects.missing_objects(refs, store)),
             audit.count_rows("object_reference_gap", held.join(refs, "document_id", "left_anti")),
@@ -487,15 +576,37 @@ class Library:
             ),
         ]
 
+    def _segment_folders(self, segment):
+        return [("snapshots", segment), ("prints", f"segment={segment}"), *(("tables", name, f"segment={segment}") for name in schemas.TABLES)]
+
+    def _segment_files(self, segment):
+        """Digest of the listing of a segment's files, or None where a folder is gone: never equal to what was seen."""
+        try:
+            listed = [self.folder.listing(*parts) for parts in self._segment_folders(segment)]
+        except Py4JJavaError:
+            return None
+        return hashlib.sha256(repr(listed).encode()).hexdigest()
+
     def _files(self, manifest):
         """Digest of the listing of every file the snapshot is read from, objects left out."""
-        folders = [("snapshots", manifest["snapshot_id"])]
-        folders += [("tables", name, f"segment={s}") for name in schemas.TABLES for s in manifest["segments"]]
+        listed = [self._segment_files(s) for s in sorted({*manifest["segments"], manifest["snapshot_id"]})]
+        own = self.folder.listing("snapshots", manifest["snapshot_id"])
+        return None if None in listed[:-1] else hashlib.sha256(repr([listed, own]).encode()).hexdigest()
+
+    def _sizes(self, manifest):
+        """Digest of names and sizes of the same files, which a copy of the library keeps; manifests are left out."""
+        found = []
         try:
-            listed = [self.folder.listing(*parts) for parts in folders]
+            for parts in [f for s in manifest["segments"] for f in self._segment_folders(s)] + [("snapshots", manifest["snapshot_id"])]:
+                names = ((path.rsplit("/".join(parts), 1)[-1], size) for path, size, _ in self.folder.listing(*parts))
+                found.append(sorted(n for n in names if MANIFEST not in n[0]))
         except Py4JJavaError:
-            return None  # a folder is gone: never equal to what was seen
-        return hashlib.sha256(repr(listed).encode()).hexdigest()
+            return None
+        return hashlib.sha256(repr(found).encode()).hexdigest()
+
+    def _untouched(self, manifest):
+        """Whether a published snapshot's files still have the names and sizes of its build; its rows are then not read."""
+        return self.verify_once and manifest.get("files") is not None and manifest["files"] == self._sizes(manifest)
 
     def verify(self, snapshot_id):
         record = self._record(snapshot_id)

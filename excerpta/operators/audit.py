@@ -230,6 +230,53 @@ def row_checksum(table: DataFrame) -> DataFrame:
     )
 
 
+PRINT = "document_id string, name string, rows bigint, sum_a decimal(38,0), sum_b decimal(38,0)"
+
+
+def document_prints(tables: dict[str, DataFrame], derived=()) -> DataFrame:
+    """Rows and two sums over the rows of each document in each table: ``document_id, name, rows, sum_a, sum_b``.
+
+    Sums of SHA-256 prefixes as in :func:`content_fingerprint`; for ``derived`` tables, which are wide and often long, a sum
+    of 64-bit hashes and 0. They combine map-side, and they add up: the print of any set of documents is the sum of theirs,
+    so a change of a few documents changes the print of a table without reading the rest of it.
+    """
+
+    def one(name, table):
+        columns = sorted(c for c in table.columns if c != "document_id")
+        if name in derived:
+            parts = [F.xxhash64("document_id", *columns).cast("decimal(28,0)"), F.lit(0).cast("decimal(28,0)")]
+        else:
+            row = F.sha2(F.to_json(F.struct("document_id", *columns), {"ignoreNullFields": "false"}), 256)
+            parts = [F.conv(F.substring(row, start, 15), 16, 10).cast("decimal(28,0)") for start in (1, 16)]
+        sums = [F.sum(part).cast("decimal(38,0)").alias(f"sum_{c}") for part, c in zip(parts, "ab")]
+        return table.groupBy("document_id").agg(F.count("*").alias("rows"), *sums).select(
+            "document_id", F.lit(name).alias("name"), "rows", "sum_a", "sum_b"
+        )
+
+    return _union([one(name, table) for name, table in tables.items()])
+
+
+def composed_prints(*signed: tuple[int, DataFrame]) -> DataFrame:
+    """``name, rows, sum_a, sum_b``: prints of documents or of tables, each added (1) or taken away (-1)."""
+    parts = [
+        prints.select("name", *[(F.col(c) * F.lit(sign)).cast("decimal(38,0)").alias(c) for c in ("rows", "sum_a", "sum_b")])
+        for sign, prints in signed
+    ]
+    sums = [F.sum(c).cast("decimal(38,0)").alias(c) for c in ("rows", "sum_a", "sum_b")]
+    return _union(parts).groupBy("name").agg(*sums).withColumn("rows", F.col("rows").cast("long"))
+
+
+def print_rules(prints: DataFrame, again: DataFrame) -> DataFrame:
+    """Documents whose stored prints are not those of their rows, compared by adding up what differs."""
+    both = composed_by_document((1, prints), (-1, again))
+    return count_rows("content_fingerprint", both.filter("rows <> 0 or sum_a <> 0 or sum_b <> 0"))
+
+
+def composed_by_document(*signed) -> DataFrame:
+    named = [(sign, p.withColumn("name", F.concat_ws("/", "document_id", "name"))) for sign, p in signed]
+    return composed_prints(*named)
+
+
 def catalog_rules(catalog: DataFrame, pointers: DataFrame) -> DataFrame:
     """Structure of a snapshot catalog: id format, uniqueness, digest, earlier base, both pointers."""
     last = catalog.agg(F.max_by("snapshot_id", "position")).scalar()

@@ -84,6 +84,27 @@ def corpus_versions(spark, sf):
     return identity.corpus_digest(both, "version")
 
 
+def version_prints(spark, sf):
+    """Prints of the member tables: the next version's composed of the base's and the change, and computed from its rows."""
+    base, removals, replacements, additions = _change_set(spark, sf)
+    prints = lambda rows: audit.document_prints({"member": rows.select(*MEMBER)})
+    before = settle(prints(base), "prints")
+    removed = removals.unionByName(replacements.select(F.col("replaced_document_id").alias("document_id")))
+    gone = before.join(removed, "document_id", "left_semi")
+    came = prints(replacements.select(*MEMBER).unionByName(additions.select(*MEMBER)))
+    versions = {
+        "base": ((1, before),),
+        "next, composed": ((1, before), (-1, gone), (1, came)),
+        "next, computed": ((1, prints(_versions(spark, sf)[1])),),
+    }
+    out = None
+    for version, parts in versions.items():
+        sums = [F.col(c).cast("string").alias(c) for c in ("sum_a", "sum_b")]
+        rows = audit.composed_prints(*parts).select(F.lit(version).alias("version"), "rows", *sums)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _turn_catalog(spark, sf):
     """Conversation turns as versions: assistants build on the turn before, users on a later one."""
     turns = io.table(spark, sf, "conversations")
@@ -290,6 +311,7 @@ def object_codec(spark, sf):
 
 
 QUERIES = {
+    "version_prints": version_prints,
     "object_codec": object_codec,
     "pipeline_change": pipeline_change,
     "audit_objects": audit_objects,
@@ -359,6 +381,13 @@ FROM (SELECT strlen(content_text) AS size,
 
 CHUNKS = io.sql_chunks()
 ORACLES = {
+    "version_prints": f"""WITH {CHANGES},
+hashed AS (
+  SELECT version, sha256('{{"document_id":"' || document_id || '","source_name":"' || source_name || '","source_sha256":"' || source_sha256 || '"}}') AS h
+  FROM (SELECT 'base' AS version, document_id, source_name, source_sha256 FROM base
+    UNION ALL SELECT v, document_id, source_name, source_sha256 FROM next, (VALUES ('next, composed'), ('next, computed')) t(v)))
+SELECT version, count(*) AS rows, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR AS sum_a, sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS sum_b
+FROM hashed GROUP BY version""",
     "pipeline_change": f"""WITH {CHUNKS},
 cut AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
 known AS (SELECT DISTINCT source_sha256 FROM ids JOIN labels USING (doc_id) WHERE toxic = 1)

@@ -420,3 +420,30 @@ def test_another_chunker_reuses_parsed_layers_and_other_media_types(spark, tmp_p
     fourth = parser.build(base_snapshot_id=first["snapshot_id"])
     changed = refs(parser, fourth["snapshot_id"])
     assert all((changed[k][0] == before[k][0]) == (k[1] == "source") for k in before)
+
+
+def test_small_change_audits_the_new_segment_only(spark, tmp_path, monkeypatch):
+    paths = [_write(tmp_path, f"{n}.md", w) for n, w in (("A", "alphaunique"), ("B", "bravounique"), ("C", "charlieunique"))]
+    root = str(tmp_path / "library")
+    one = Library(spark, root).build(paths[:2])
+    audited = []
+    rules = Library._segment_rules
+    monkeypatch.setattr(Library, "_segment_rules", lambda self, todo, *rest: audited.append(sorted(todo)) or rules(self, todo, *rest))
+    library = Library(spark, root)  # another session: nothing of the base has been seen
+    gone = library.members(one["snapshot_id"]).filter("source_name = 'A.md'").first()["document_id"]
+    two = library.build(paths[2:], base_snapshot_id=one["snapshot_id"], remove_document_ids=[gone])
+    assert audited == [[two["snapshot_id"]]]
+    manifest = library.manifest(two["snapshot_id"])
+    refs = library.folder.path("snapshots", two["snapshot_id"], "object_ref")
+    assert manifest["fingerprints"] == library._fingerprints(manifest, library.members(two["snapshot_id"]), refs)
+    assert manifest["fingerprints"]["document"]["rows"] == 2 and not manifest["whole_segments"]
+    # Opening both audits the base's segment once; the new one has been audited by its build.
+    assert all(s["verified"] for s in library.list_snapshots())
+    assert audited[1:] == [[one["snapshot_id"]]]
+    # A base whose files have other sizes is audited before it is built on, and refused.
+    path = library.folder.path("tables", "chunk", f"segment={one['snapshot_id']}")
+    held = spark.read.parquet(path)
+    rows = held.withColumn("chunk_text", F.concat("chunk_text", F.lit("!" * 99))).collect()
+    spark.createDataFrame(rows, held.schema).write.mode("overwrite").parquet(path)
+    with pytest.raises(SnapshotError, match="chunk_id_forged"):
+        library.build(paths[2:], base_snapshot_id=one["snapshot_id"])
