@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import time
 import uuid
 from datetime import datetime, timezone
 
@@ -25,9 +24,9 @@ from excerpta.functions.identity import ID_PATTERNS, canonical_json
 from excerpta.operators import audit, bm25, layers, members, objects
 from excerpta.sources import files as source_files, uploads
 from excerpta.session import spread_files, together
-from excerpta.storage import Folder
+from excerpta.storage import Folder, Revisions
 
-CATALOG = "snapshot-catalog.json"
+CATALOG = "snapshot-catalog"
 MANIFEST = "manifest.json"
 MEMBER = (
     "document_id string, segment string, asset_id string, source_name string, source_sha256 string, title string, "
@@ -68,6 +67,7 @@ class Library:
         self.steps = steps
         self.pipeline = hashlib.sha256(canonical_json(steps).encode()).hexdigest()
         self.folder = Folder(spark, root)
+        self._revisions = Revisions(self.folder, CATALOG, empty_catalog)
         self.library_id = library_id or "lib_" + "0" * 32
         self.enhanced = enhanced
         # A snapshot that passed its audit in this session is audited again only if a file of it has been
@@ -79,33 +79,15 @@ class Library:
     # --- catalog -----------------------------------------------------------------------------
 
     def catalog(self):
-        """The catalog as last written. A local file and its checksum are replaced one after the other, so a read
-        between the two is repeated."""
-        for attempt in range(8):
-            try:
-                if not self.folder.exists(CATALOG):
-                    return empty_catalog()
-                return checked_catalog(self.folder.read_json(CATALOG))
-            except (Py4JJavaError, ValueError) as error:
-                failed = error
-                time.sleep(0.02 * 2**attempt)
-        raise SnapshotError("the catalog could not be read") from failed
+        """The catalog as last written."""
+        try:
+            return checked_catalog(self._revisions.read())
+        except (Py4JJavaError, ValueError, OSError) as error:
+            raise SnapshotError("the catalog could not be read") from error
 
     def _change_catalog(self, change):
-        """Replace the catalog by ``change`` of it, as the next revision.
-
-        A revision is claimed by creating its file, which only one of several writers can; the others read the
-        catalog again and apply their change to what the first has written.
-        """
-        for attempt in range(100):
-            catalog = self.catalog()
-            revision = catalog.get("revision", 0) + 1
-            updated = checked_catalog({**change(catalog), "revision": revision})
-            if self.folder.claim("_revisions", str(revision)):
-                self.folder.write_json(updated, CATALOG)
-                return updated
-            time.sleep(0.05 * (1 + attempt % 10))
-        raise SnapshotError(f"revision {revision} of the catalog was claimed but never written")
+        """Replace the catalog by ``change`` of it, as the next revision."""
+        return self._revisions.change(lambda catalog: checked_catalog(change(checked_catalog(catalog))))
 
     def catalog_status(self):
         catalog = self.catalog()

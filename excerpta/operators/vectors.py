@@ -191,29 +191,80 @@ def snapshot_readiness(snapshots: DataFrame, artifacts: DataFrame, profile_id: s
     )
 
 
+def set_differences(left: DataFrame, right: DataFrame, *keys: str, buckets=4096) -> DataFrame:
+    """``keys, n_left, n_right`` of the keys that do not occur equally often on both sides.
+
+    Keys are dealt to buckets by hash, and each bucket is reconciled by the difference of its counts and of two sums of
+    hashes, one small row per bucket and task. Only keys of buckets that differ, few where the sides nearly agree, are
+    shuffled and compared one by one.
+    """
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("_side"))
+    both = side(left, 1).unionByName(side(right, -1)).withColumn("_bucket", F.expr(f"pmod(hash({', '.join(keys)}), {buckets})"))
+    hashed = lambda seed: F.sum(F.col("_side") * F.xxhash64(F.lit(seed), *keys).cast("decimal(28,0)"))
+    sums = both.groupBy("_bucket").agg(F.sum("_side").alias("_n"), hashed(1).alias("_a"), hashed(2).alias("_b"))
+    unequal = sums.filter("_n <> 0 or _a <> 0 or _b <> 0").select("_bucket")
+    near = both.join(F.broadcast(unequal), "_bucket", "left_semi")  # at most ``buckets`` rows
+    counted = near.groupBy(*keys).agg(F.count_if(F.col("_side") > 0).alias("n_left"), F.count_if(F.col("_side") < 0).alias("n_right"))
+    return counted.filter("n_left <> n_right")
+
+
 def mapping_faults(chunks: DataFrame, mapping: DataFrame, stored: DataFrame) -> DataFrame:
-    """``(check, violations)``: the mapping must cover exactly the snapshot's chunks."""
+    """``(check, violations)``: the mapping must cover exactly the snapshot's chunks, and its objects must be sound.
+
+    Chunks and mapping are reconciled as sets; ids and objects meet in one aggregation with map-side combining.
+    """
 
-    def count(name, frame):
-        return frame.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+    def tally(frame, **counts):
+        totals = frame.agg(*(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name) for name, value in counts.items()))
+        return totals.unpivot([], list(counts), "check", "violations")
 
-    return (
-        count("chunk_without_vector", chunks.join(mapping, "chunk_id", "left_anti"))
-        .unionByName(count("vector_without_chunk", mapping.join(chunks, "chunk_id", "left_anti")))
-        .unionByName(count("chunk_mapped_twice", mapping.groupBy("chunk_id").count().filter("count > 1")))
-        .unionByName(count("mapping_without_object", mapping.join(stored, "vector_object_id", "left_anti")))
-        .unionByName(
-            count(
-                "object_payload_changed",
-                stored.filter(
-                    (F.sha2("payload", 256) != F.col("payload_sha256"))
-                    | (F.octet_length("payload") != F.col("payload_byte_size"))
-                ),
-            )
-        )
+    left, right = F.col("n_left"), F.col("n_right")
+    sets = tally(
+        set_differences(chunks, mapping, "chunk_id"),
+        chunk_without_vector=F.when(right == 0, 1),
+        vector_without_chunk=F.when(left == 0, right),
+        chunk_mapped_twice=F.when(right > 1, 1),
+    )
+    changed = (F.sha2("payload", 256) != F.col("payload_sha256")) | (F.octet_length("payload") != F.col("payload_byte_size"))
+    none = F.lit(0).cast("long")
+    used = mapping.select("vector_object_id", F.lit(1).cast("long").alias("used"), none.alias("held"), none.alias("changed"))
+    held = stored.select("vector_object_id", none.alias("used"), F.lit(1).cast("long").alias("held"), changed.cast("long").alias("changed"))
+    met = used.unionByName(held).groupBy("vector_object_id").agg(*[F.sum(c).alias(c) for c in ("used", "held", "changed")])
+    return sets.unionByName(
+        tally(met, mapping_without_object=F.when(F.col("held") == 0, F.col("used")), object_payload_changed=F.col("changed"))
     )
 
 
+ARTIFACT = "artifact_id string, part string, files long, bytes long"
+
+
+def artifact_files(spark, folders) -> DataFrame | None:
+    """``path, length`` of the Parquet files below ``folders``: a listing, no file is opened."""
+    if not folders:
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return files.load(folders).select("path", "length")
+
+
+def stored_artifacts(files: DataFrame) -> DataFrame:
+    """Files and bytes of each part of each artifact, by the path ``.../<part>/artifact=<id>/...``."""
+    part, artifact = (F.regexp_extract("path", r"([^/]+)/artifact=([^/]+)/", n) for n in (1, 2))
+    return files.groupBy(artifact.alias("artifact_id"), part.alias("part")).agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes")
+    )
+
+
+def artifact_states(cataloged: DataFrame, stored: DataFrame) -> DataFrame:
+    """``artifact_id, part, state`` from both sides: what the catalog says and what lies in the folders."""
+    said = cataloged.select("artifact_id", "part", F.struct("files", "bytes").alias("_said"))
+    found = stored.select("artifact_id", "part", F.struct("files", "bytes").alias("_found"))
+    state = (
+        F.when(F.col("_found").isNull(), "missing").when(F.col("_said").isNull(), "unlisted")
+        .when(F.col("_said") == F.col("_found"), "present").otherwise("altered")
+    )
+    return said.join(found, ["artifact_id", "part"], "full_outer").select("artifact_id", "part", state.alias("state"))
+
+
 def nearest(vectors: DataFrame, query: DataFrame, k: int, *, key: str, vector: str, query_vector: str, groups=()) -> DataFrame:
     """Exact cosine top ``k`` by (-score, key) for the one vector in ``query``.
 

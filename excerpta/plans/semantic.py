@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from excerpta.functions import query as q, text as tx, vectors as vec
@@ -9,6 +11,7 @@ from excerpta.functions.identity import canonical_json
 from excerpta.operators import bm25, chunking, evaluate, rerank, vectors
 from excerpta.plans import inputs as io
 from excerpta.plans.search import BATCH_SQL
+from excerpta.session import settle, shared_folder
 
 PROFILE = vec.checked_profile(
     {
@@ -115,14 +118,38 @@ def embed_plan(spark, sf):
 
 
 def mapping_audit(spark, sf):
-    chunks = io.chunks(spark, sf)
-    mapping = _stored(spark, sf).select("chunk_id", "vector_object_id")
-    stored = vectors.missing_inputs(_stored(spark, sf), None).select(
-        "vector_object_id", F.encode("chunk_text", "UTF-8").alias("payload")
-    ).withColumn("payload_sha256", F.sha2("payload", 256)).withColumn(
-        "payload_byte_size", F.octet_length("payload").cast("long")
+    """The mapping of all chunks, with faults: toxic documents have lost their vectors, first chunks of clean ones are mapped
+    twice, benchmark items are mapped without a chunk or an object, and objects of texts of even length have lost a byte."""
+    labels = io.table(spark, sf, "labels")
+    mapped = vectors.inputs(io.chunks(spark, sf, "doc_id"), PROFILE, "doc_id", "ordinal")
+    mapped = settle(mapped.join(labels, "doc_id", "left"), "mapped")
+    stray = io.table(spark, sf, "benchmark").select(F.concat(F.lit("item-"), "item_id").alias("chunk_id"), F.lit("vec_none").alias("vector_object_id"))
+    clean = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0) & (F.col("ordinal") == 1), F.lit(False))
+    times = F.when(F.col("toxic") == 1, 0).when(clean, 2).otherwise(1)
+    mapping = mapped.select("chunk_id", "vector_object_id", F.explode(F.array_repeat(F.lit(0), times))).drop("col").unionByName(stray)
+    payload = F.encode("chunk_text", "UTF-8")
+    stored = vectors.missing_inputs(mapped, None).select(
+        "vector_object_id", F.sha2(payload, 256).alias("payload_sha256"), F.octet_length(payload).cast("long").alias("payload_byte_size"),
+        F.when(F.octet_length(payload) % 2 == 0, F.substring(payload, 2, 10_000)).otherwise(payload).alias("payload"),
+    )
+    return vectors.mapping_faults(mapped.select("chunk_id"), mapping, stored)
+
+
+def vector_state(spark, sf):
+    """Artifacts in the catalog against those in the folders. Each source of documents is written as an artifact; the catalog
+    does not know those with an even greatest id, remembers another size of those with an odd number of characters, and
+    has one for each benchmark item that was never written."""
+    docs = io.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    path = f"{shared_folder(spark)}/vector-state-{uuid.uuid4().hex}/objects"
+    docs.withColumn("artifact", F.col("source")).write.partitionBy("artifact").parquet(path)
+    stored = settle(vectors.stored_artifacts(vectors.artifact_files(spark, [path])), "stored-artifacts")
+    of_source = docs.groupBy(F.col("source").alias("artifact_id")).agg(F.max("doc_id").alias("last"), F.sum("n_chars").alias("chars"))
+    known = stored.join(of_source.filter("last % 2 = 1"), "artifact_id")
+    known = known.select("artifact_id", "part", "files", (F.col("bytes") + F.col("chars") % 2).alias("bytes"))
+    lost = io.table(spark, sf, "benchmark").select(
+        F.concat(F.lit("item-"), "item_id").alias("artifact_id"), F.lit("objects").alias("part"), F.lit(1).cast("long").alias("files"), F.lit(1).cast("long").alias("bytes")
     )
-    return vectors.mapping_faults(chunks.select("chunk_id"), mapping, stored)
+    return vectors.artifact_states(known.unionByName(lost), stored)
 
 
 def _recalled(spark, sf):
@@ -256,6 +283,7 @@ QUERIES = {
     "vector_coverage": vector_coverage,
     "vector_readiness": vector_readiness,
     "vector_mapping_audit": mapping_audit,
+    "vector_state": vector_state,
     "embed_plan": embed_plan,
     "rerank_budget": rerank_budget,
     "enhanced_search": enhanced_search,
@@ -370,9 +398,17 @@ SELECT document_id, CASE WHEN vector_covered_chunks = vector_total_chunks THEN '
   CASE WHEN length(text) < 150 AND (turn = 0 OR role <> 'assistant') THEN CASE WHEN turn = 0 THEN 'preparing' ELSE 'failed' END
     WHEN role = 'assistant' THEN 'ready' WHEN length(text) > 300 THEN 'mismatch' ELSE 'missing' END AS vector_status
 FROM conversations""",
-    "vector_mapping_audit": f"""{INPUTS}
-SELECT 'chunk_without_vector' AS "check", (SELECT count(*) FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM stored)) AS violations
-UNION ALL SELECT * FROM (VALUES ('vector_without_chunk', 0), ('chunk_mapped_twice', 0), ('mapping_without_object', 0), ('object_payload_changed', 0))""",
+    "vector_mapping_audit": f"""{INPUTS},
+marked AS (SELECT i.*, c.ordinal, quality, toxic FROM inputs i JOIN chunks c USING (chunk_id) LEFT JOIN labels l ON l.doc_id = i.doc_id)
+SELECT 'chunk_without_vector' AS "check", (SELECT count(*) FROM marked WHERE toxic = 1) AS violations
+UNION ALL SELECT 'vector_without_chunk', (SELECT count(*) FROM benchmark)
+UNION ALL SELECT 'chunk_mapped_twice', (SELECT count(*) FROM marked WHERE quality = 1 AND toxic = 0 AND ordinal = 1)
+UNION ALL SELECT 'mapping_without_object', (SELECT count(*) FROM benchmark)
+UNION ALL SELECT 'object_payload_changed', (SELECT count(DISTINCT vector_object_id) FROM inputs WHERE strlen(chunk_text) % 2 = 0)""",
+    "vector_state": """SELECT source AS artifact_id, 'objects' AS part,
+  CASE WHEN max(doc_id) % 2 = 0 THEN 'unlisted' WHEN sum(n_chars) % 2 = 1 THEN 'altered' ELSE 'present' END AS state
+FROM documents GROUP BY source
+UNION ALL SELECT 'item-' || item_id, 'objects', 'missing' FROM benchmark""",
     "rerank_budget": f"""{RECALL}
 SELECT lang, rank, vec_id AS doc_id, candidate_chars, sha256(candidate_text) AS text_sha256 FROM kept""",
     "enhanced_search": f"""{RECALL},

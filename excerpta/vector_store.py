@@ -12,8 +12,10 @@ from excerpta.errors import VectorError
 from excerpta.functions import vectors as vec
 from excerpta.functions.identity import canonical_json
 from excerpta.operators import vectors
+from excerpta.storage import Revisions
 
-CATALOG = "vector-catalog.json"
+CATALOG = "vector-catalog"
+PARTS = ("objects", "mappings")
 
 
 class VectorStore:
@@ -21,9 +23,33 @@ class VectorStore:
         self.library = library
         self.spark = library.spark
         self.folder = library.folder
+        self._revisions = Revisions(self.folder, CATALOG, lambda: {"version": 1, "artifacts": []})
 
     def catalog(self):
-        return self.folder.read_json(CATALOG) if self.folder.exists(CATALOG) else {"version": 1, "artifacts": []}
+        return self._revisions.read()
+
+    def states(self, artifact_id=None):
+        """``artifact_id, part, state`` of every stored or cataloged artifact, or of one: present, missing, altered (other
+        files or bytes than at its build) or unlisted (stored, but in no catalog entry)."""
+        listed = [a for a in self.catalog()["artifacts"] if artifact_id in (None, a["artifact_id"])]
+        rows = [(a["artifact_id"], part, *a["files"][part]) for a in listed for part in PARTS]
+        cataloged = self.spark.createDataFrame(rows, vectors.ARTIFACT)
+        stored = self.spark.createDataFrame([], vectors.ARTIFACT)
+        name = "artifact=*" if artifact_id is None else f"artifact={artifact_id}"
+        if self.folder.exists("vectors"):
+            files = vectors.artifact_files(self.spark, [self.folder.path("vectors", part, name) for part in PARTS if self._holds(part, artifact_id)])
+            stored = stored if files is None else vectors.stored_artifacts(files)
+        return vectors.artifact_states(cataloged, stored)
+
+    def _holds(self, part, artifact_id):
+        if artifact_id is not None:
+            return self.folder.exists("vectors", part, f"artifact={artifact_id}")
+        return any(n.startswith("artifact=") for n in self.folder.names("vectors", part))
+
+    def _file_sizes(self, artifact_id):
+        listed = {part: self.folder.listing("vectors", part, f"artifact={artifact_id}") for part in PARTS}
+        sizes = {part: [size for path, size, _ in found if path.endswith(".parquet")] for part, found in listed.items()}
+        return {part: [len(found), sum(found)] for part, found in sizes.items()}
 
     def _objects(self, profile_id):
         """Vectors of one profile from every published artifact, or None."""
@@ -81,10 +107,10 @@ class VectorStore:
                 "mode": "offline_simulated" if embedder.simulated else "real_provider",
                 "new_objects": statistics["new_objects"],
                 "statistics": statistics,
+                "files": self._file_sizes(artifact),
             }
             self._check(record)
-            rows = sorted([*self.catalog()["artifacts"], record], key=lambda r: (r["snapshot_id"], r["profile_id"]))
-            self.folder.write_json({"version": 1, "artifacts": rows}, CATALOG)
+            self._revisions.change(lambda catalog: self._with_record(catalog, record))
         except BaseException as error:
             self.folder.remove("vectors", "objects", f"artifact={artifact}")
             self.folder.remove("vectors", "mappings", f"artifact={artifact}")
@@ -93,6 +119,15 @@ class VectorStore:
             raise VectorError("the embedder failed; nothing was retried or published") from error
         return {**record, "already_exists": False, "submitted_unique_inputs": statistics["new_objects"]}
 
+    @staticmethod
+    def _with_record(catalog, record):
+        """The catalog and one more artifact; another build may have published the same snapshot and profile meanwhile."""
+        own = (record["snapshot_id"], record["profile_id"])
+        if any((r["snapshot_id"], r["profile_id"]) == own for r in catalog["artifacts"]):
+            raise VectorError("vectors of this profile were built for the snapshot meanwhile")
+        rows = sorted([*catalog["artifacts"], record], key=lambda r: (r["snapshot_id"], r["profile_id"]))
+        return {**catalog, "artifacts": rows}
+
     def _check(self, record):
         """Mapping, objects and statistics of one artifact against its snapshot."""
         snapshot_id, profile = record["snapshot_id"], vec.checked_profile(record["profile"])
@@ -132,6 +167,9 @@ class VectorStore:
         record = self._record(snapshot_id, profile_id)
         if record is None:
             raise VectorError("no vectors of this profile were built for the snapshot")
+        wrong = self.states(record["artifact_id"]).filter("state <> 'present'").collect()
+        if wrong:
+            raise VectorError("stored vectors: " + ", ".join(sorted(f"{r['part']} {r['state']}" for r in wrong)))
         self._check(record)
         digest = hashlib.sha256(canonical_json(record).encode()).hexdigest()
         return {"verified": True, "simulated": record["mode"] == "offline_simulated", "artifact_sha256": digest, **record}

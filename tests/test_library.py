@@ -447,3 +447,55 @@ def test_small_change_audits_the_new_segment_only(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, held.schema).write.mode("overwrite").parquet(path)
     with pytest.raises(SnapshotError, match="chunk_id_forged"):
         library.build(paths[2:], base_snapshot_id=one["snapshot_id"])
+
+
+def test_a_dead_writer_leaves_the_catalog_usable(spark, tmp_path, monkeypatch):
+    from excerpta.storage import Folder, Revisions
+
+    folder = Folder(spark, str(tmp_path))
+    value = Revisions(folder, "value", lambda: {"items": []})
+    add = lambda n: lambda v: {**v, "items": [*v["items"], n]}
+    assert value.read() == {"items": [], "revision": 0}
+    value.change(add(1))
+    # A writer dies before its file has its name: its text lies beside, and the next writer takes the revision.
+    (tmp_path / "value" / ".2.json-dead").write_text("{")
+    assert value.change(add(2)) == {"items": [1, 2], "revision": 2} == value.read()
+    assert folder.write_new("x", "value", "2.json") is False and value.read()["items"] == [1, 2]
+    # Another writer makes revision 3 while this one is at it: both changes stay.
+    def slow(v):
+        if v["items"] == [1, 2]:
+            Revisions(folder, "value", dict).change(add(3))
+        return add(4)(v)
+
+    assert value.change(slow)["items"] == [1, 2, 3, 4]
+    monkeypatch.setattr("excerpta.storage.KEPT_REVISIONS", 3)
+    for n in range(5, 9):
+        value.change(add(n))
+    assert value.read()["items"] == list(range(1, 9)) and not (tmp_path / "value" / "2.json").exists()
+
+
+def test_vector_artifacts_are_reconciled_with_their_catalog(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "library"))
+    one = library.build([_write(tmp_path, "A.md", "alphaunique")])["snapshot_id"]
+    store, profile = VectorStore(library), offline.profile()
+    late = VectorStore(library)  # two builds at once: the second one publishes nothing
+    assert store.states().collect() == []
+    assert store.build(one, profile, offline.Embedder())["new_objects"] == 1
+    record = store.catalog()["artifacts"][0]
+    with pytest.raises(VectorError):
+        late._with_record(late.catalog(), record)
+    other = store.build(one, offline.profile(dimensions=4), offline.Embedder())
+    assert {r["profile_id"] for r in store.catalog()["artifacts"]} == {record["profile_id"], other["profile_id"]}
+    assert {r["state"] for r in store.states().collect()} == {"present"} and store.states().count() == 4
+    stray = library.folder.path("vectors", "objects", "artifact=stray")
+    spark.range(3).write.parquet(stray)
+    spark.range(9).write.mode("append").parquet(library.folder.path("vectors", "mappings", f"artifact={record['artifact_id']}"))
+    library.folder.remove("vectors", "objects", f"artifact={other['artifact_id']}")
+    states = {(r["artifact_id"], r["part"]): r["state"] for r in store.states().collect()}
+    assert states == {
+        (record["artifact_id"], "objects"): "present", (record["artifact_id"], "mappings"): "altered",
+        (other["artifact_id"], "objects"): "missing", (other["artifact_id"], "mappings"): "present", ("stray", "objects"): "unlisted",
+    }
+    for artifact, problem in ((record, "mappings altered"), (other, "objects missing")):
+        with pytest.raises(VectorError, match=problem):
+            store.verify(one, artifact["profile_id"])
