@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from excerpta.functions import text as tx
-from excerpta.session import small_side
+from excerpta.session import settle, small_side
+
+WORDLESS_BLOCK = 1000
 
 LIMITED = "observational_known_limitation"
 
@@ -110,13 +112,14 @@ def scoped_targets(cases: DataFrame, chunks: DataFrame, *keys: str) -> DataFrame
     return hits.groupBy("case_id").agg(F.min("chunk_id").alias("target_chunk_id"))
 
 
-def find_markers(items: DataFrame, docs: DataFrame, *, item: str, marker: str, key: str, text: str) -> DataFrame:
+def find_markers(items: DataFrame, docs: DataFrame, *, item: str, marker: str, key: str, text: str, postings=None) -> DataFrame:
     """``(item, key)``: the smallest ``key`` whose text contains the item's marker.
 
     A text that contains the marker also contains each inner word of it, so candidates come from an equi-join on the
     marker's rarest inner word, and only they are compared. A marker of one or two words may begin and end inside words of
-    the text: its longest word is looked for among the parts of that length of every distinct word. A marker without a
-    word names nothing and is in no text's index: it has no row.
+    the text: its longest word is looked for among the parts of that length of every distinct word. The few markers
+    without a word are compared with each text as it is read; an empty or null marker names nothing. ``postings`` (key, term), if given, hold all rows of the
+    markers' words; else the texts are tokenised.
     """
     words = items.select(item, tx.index_tokens(marker).alias("_w"))
     inner = words.filter(F.size("_w") > 2).select(
@@ -136,15 +139,20 @@ def find_markers(items: DataFrame, docs: DataFrame, *, item: str, marker: str, k
         several = short.join(terms, "part").select(item, "term")
     else:
         several = inner.limit(0)
-    wanted = inner.unionByName(several).select("term").distinct()
-    postings = vocabulary.join(small_side(wanted), "term")
+    wanted = settle(inner.unionByName(several).select("term").distinct(), "marker-terms")
+    source = vocabulary if postings is None or sizes else postings.select(key, "term").distinct()
+    postings = settle(source.join(small_side(wanted), "term", "left_semi"), "marker-postings")
     frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
     rarest = inner.join(frequency, "term").groupBy(item).agg(F.min_by("term", F.struct("_df", "term")).alias("term"))
-    candidates = rarest.unionByName(several).join(postings, "term").select(item, key).distinct()
-    return (
-        candidates.join(items.select(item, marker), item)
-        .join(docs.select(key, text), key)
-        .filter(F.col(text).contains(F.col(marker)))
-        .groupBy(item)
-        .agg(F.min(key).alias(key))
-    )
+    candidates = settle(rarest.unionByName(several).join(postings, "term").select(item, key).distinct(), "marker-candidates")
+    met = docs.select(key, text).join(small_side(candidates), key).join(items.select(item, marker), item)
+    met = met.filter(F.col(text).contains(F.col(marker))).select(item, key)
+    wordless = words.filter(F.size("_w") == 0).select(item).join(items.select(item, marker), item).filter(F.col(marker) != "")
+    wordless = settle(wordless.groupBy(marker).agg(F.collect_set(item).alias("_items")), "wordless")
+    blocks = -(-wordless.count() // WORDLESS_BLOCK)
+    for block in range(blocks):
+        own = wordless.filter(F.expr(f"pmod(hash({marker}), {blocks}) = {block}")).agg(F.collect_list(F.struct(marker, "_items"))).scalar()
+        named = docs.select(key, text).withColumn("_m", own)
+        found = named.select(key, F.explode(F.filter("_m", lambda m: F.col(text).contains(m[marker]))).alias("_m"))
+        met = met.unionByName(found.select(F.explode("_m._items").alias(item), key))
+    return met.groupBy(item).agg(F.min(key).alias(key))

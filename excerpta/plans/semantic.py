@@ -11,7 +11,7 @@ from excerpta.functions.identity import canonical_json
 from excerpta.operators import bm25, chunking, evaluate, rerank, vectors
 from excerpta.plans import inputs as io
 from excerpta.plans.search import BATCH_SQL
-from excerpta.session import settle, shared_folder
+from excerpta.session import settle, shared_folder, small_side
 
 PROFILE = vec.checked_profile(
     {
@@ -160,9 +160,12 @@ def _recalled(spark, sf):
         labelled, _query_vector(spark, sf), rerank.MAX_CANDIDATES, key="vec_id", vector="embedding",
         query_vector="embedding", groups=["lang"],
     )
-    return best.join(texts.drop("lang"), "vec_id").select(
+    # A few rows a language: texts are fetched by their ids, not shuffled to meet them, and kept for all that follows.
+    best = settle(best, "recalled-ids")
+    rows = texts.drop("lang").join(small_side(best), "vec_id").select(
         "lang", "rank", F.col("vec_id").alias("chunk_id"), F.round("score", 9).alias("score"), F.col("text").alias("chunk_text")
     )
+    return settle(rows, "recalled")
 
 
 def rerank_budget(spark, sf):
@@ -233,13 +236,15 @@ def _judged(spark, sf):
     items = io.table(spark, sf, "benchmark").select("item_id", "text")
     words = q.query_words(items, "item_id", "text")
     docs = io.texts(spark, sf)
-    lens = bm25.lengths(docs, key="doc_id", text="text")
-    scored = bm25.score_postings(
-        bm25.postings(docs, key="doc_id", text="text"), bm25.corpus_stats(lens), words,
-        key="doc_id", query_id="item_id",
-    ).withColumn("score", F.round("score", 9))
-    top = bm25.top_k(scored, 5, key="doc_id", groups=["item_id"])
-    targets = _markers(spark, sf)
+    # One frame of postings, of the words that queries and markers have, serves the scores and the markers' candidates.
+    terms = words.select("term").union(items.select(F.explode(tx.index_tokens("text"))).toDF("term")).distinct()
+    posts = settle(bm25.postings(docs, key="doc_id", text="text").join(small_side(settle(terms, "terms")), "term", "left_semi"), "postings")
+    stats = bm25.corpus_stats(bm25.lengths(docs, key="doc_id", text="text"))
+    scored = bm25.score_postings(posts, stats, words, key="doc_id", query_id="item_id").withColumn("score", F.round("score", 9))
+    top = settle(bm25.top_k(scored, 5, key="doc_id", groups=["item_id"]), "top")
+    markers = items.select("item_id", F.col("text").alias("marker"))
+    targets = evaluate.find_markers(markers, docs, item="item_id", marker="marker", key="doc_id", text="text", postings=posts)
+    targets = settle(targets, "targets")
     cases = items.select("item_id", F.explode(F.array(F.lit("bm25"), F.lit("enhanced"))).alias("mode")).join(
         targets, "item_id", "left"
     )

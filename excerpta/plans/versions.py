@@ -26,20 +26,27 @@ MEMBER = ("document_id", "source_name", "source_sha256")
 
 
 def _change_set(spark, sf):
-    base = _identified(io.files(spark, sf, headings=False))
-    labels = io.table(spark, sf, "labels")
-    marked = base.join(labels, "doc_id")
-    removals = marked.filter("quality = 0 and toxic = 1").select("document_id")
-    old = marked.filter("quality = 1 and toxic = 1").select(
-        "source_name",
-        F.concat("content_text", F.lit(REVISION)).alias("content_text"),
-        F.col("document_id").alias("replaced_document_id"),
-    )
-    replacements = _identified(old)
+    """Base, removals, replacements and additions, from one pass over the documents: their identities, and those of the texts
+    that replace them, are computed once and kept without the texts."""
+    base = _identified(io.files(spark, sf, headings=False)).join(io.table(spark, sf, "labels"), "doc_id", "left")
+    revised = F.concat("content_text", F.lit(REVISION))
+    digest = F.sha2(F.encode(revised, "UTF-8"), 256)
+    size = lambda text: F.octet_length(text).cast("long")
+    change = F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "remove").when((F.col("toxic") == 1) & (F.col("quality") == 1), "replace")
+    tagged = base.withColumn("change", F.coalesce(change, F.lit("keep"))).select(
+        "doc_id", "lang", *MEMBER, size(F.col("content_text")).alias("byte_size"), "change",
+        F.when(F.col("change") == "replace", F.struct(
+            identity.document_id("source_name", digest).alias("document_id"), digest.alias("source_sha256"), size(revised).alias("byte_size")
+        )).alias("new"),
+    )
+    base = settle(tagged, "change-set")
+    removals = base.filter("change = 'remove'").select("document_id")
+    replacements = base.filter("change = 'replace'").select("new.document_id", "source_name", "new.source_sha256", "new.byte_size", F.col("document_id").alias("replaced_document_id"))
     added = io.table(spark, sf, "benchmark").select(
         F.concat(F.lit("item-"), "item_id", F.lit(".md")).alias("source_name"), F.col("text").alias("content_text")
     )
-    return base, removals, replacements, _identified(added)
+    additions = _identified(added).select(*MEMBER, size(F.col("content_text")).alias("byte_size"))
+    return base.drop("change", "new"), removals, replacements, additions
 
 
 def _versions(spark, sf):
@@ -146,29 +153,18 @@ def snapshot_labels(spark, sf):
     return members.snapshot_labels(events)
 
 
-def _objects(spark, sf):
+def _source_refs(spark, sf):
     """References of both versions: source objects are the texts, so copies and survivors are shared."""
     base, removals, replacements, additions = _change_set(spark, sf)
-    kept = base.join(removals, "document_id", "left_anti").join(
-        replacements.select(F.col("replaced_document_id").alias("document_id")), "document_id", "left_anti"
-    )
-    columns = ("document_id", "source_name", "content_text")
-    new = kept.select(*columns).unionByName(replacements.select(*columns)).unionByName(additions.select(*columns))
-    return base.select(*columns), new
-
-
-def _source_refs(rows):
-    return rows.select(
-        "document_id",
-        F.lit("source").alias("kind"),
-        F.sha2(F.encode("content_text", "UTF-8"), 256).alias("sha256"),
-        F.octet_length("content_text").cast("long").alias("byte_size"),
-    )
+    gone = removals.union(replacements.select("replaced_document_id"))
+    refs = lambda rows: rows.select("document_id", F.lit("source").alias("kind"), F.col("source_sha256").alias("sha256"), "byte_size")
+    new = base.join(gone, "document_id", "left_anti")
+    return refs(base), refs(new).unionByName(refs(replacements)).unionByName(refs(additions))
 
 
 def object_dedup_stats(spark, sf):
     """Storage statistics of the next version against the objects the base already holds."""
-    old, new = (_source_refs(rows) for rows in _objects(spark, sf))
+    old, new = _source_refs(spark, sf)
     first = objects.storage_stats(objects.mark_created(old)).withColumn("version", F.lit("base"))
     second = objects.storage_stats(objects.mark_created(new, old)).withColumn("version", F.lit("next"))
     return first.unionByName(second)
@@ -185,9 +181,12 @@ def object_layers(spark, sf):
 
 def object_missing(spark, sf):
     """Objects the next version refers to that the base store lacks."""
-    old, new = _objects(spark, sf)
-    stored = _source_refs(old).join(old.select("document_id", F.encode("content_text", "UTF-8").alias("payload")), "document_id")
-    return objects.missing_objects(_source_refs(new), stored.select("kind", "sha256", "byte_size", "payload"))
+    new = _source_refs(spark, sf)[1]
+    payload = F.encode("content_text", "UTF-8")
+    stored = io.files(spark, sf, headings=False).select(
+        F.lit("source").alias("kind"), F.sha2(payload, 256).alias("sha256"), F.octet_length(payload).cast("long").alias("byte_size"), payload.alias("payload")
+    )
+    return objects.missing_objects(new, stored)
 
 
 def _tables(spark, sf):
