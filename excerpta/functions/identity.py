@@ -98,29 +98,65 @@ def object_path(kind, digest) -> Column:
     return F.concat(F.lit("objects/"), kind, F.lit("/"), digest, F.lit("/payload"))
 
 
-def corpus_digest(members: DataFrame, *keys: str) -> DataFrame:
-    """One SHA-256 per ``keys`` group over its members ``(document_id, source_name, source_sha256)``.
+def _leaf() -> Column:
+    return F.substring("document_id", ID_PREFIX + 1, LEAF_DIGITS)
+
+
+def corpus_leaves(members: DataFrame, *keys: str) -> DataFrame:
+    """``keys, leaf, members, digest``: the leaves of the hash tree over ``(document_id, source_name, source_sha256)``.
 
-    A hash tree of three levels, the same for every size. Members are dealt to leaves by the first ``LEAF_DIGITS`` hex
-    digits of the document id, which is a hash itself, so leaves are even; a leaf is the SHA-256 of the canonical JSON list
-    of its members in order of their ids. An inner node is the SHA-256 of its leaves' digests in order, the root that of
-    the inner nodes' digests. No task lists more than one leaf, or the digests of one node.
+    Members are dealt to leaves by the first ``LEAF_DIGITS`` hex digits of the document id, which is a hash itself, so
+    leaves are even. A leaf is the SHA-256 of the canonical JSON list of its members in order of their ids.
     """
-    keys = list(keys)
     entry = F.concat(
         F.lit('{"document_id":'), json_string("document_id"),
         F.lit(',"source_name":'), json_string("source_name"),
         F.lit(',"source_sha256":'), json_string("source_sha256"),
         F.lit("}"),
     )
-    leaf = F.substring("document_id", ID_PREFIX + 1, LEAF_DIGITS)
     listing = F.array_sort(F.collect_list(F.struct("document_id", entry.alias("e"))))
     content = F.concat(F.lit("["), F.array_join(F.transform(listing, lambda m: m["e"]), ","), F.lit("]"))
-    nodes = members.groupBy(*keys, leaf.alias("_node")).agg(sha256(content).alias("_digest"), F.count("*").alias("members"))
-    for digits in (NODE_DIGITS, 0):
-        below = F.array_sort(F.collect_list(F.struct("_node", "_digest")))
-        nodes = nodes.groupBy(*keys, F.substring("_node", 1, digits).alias("_up")).agg(
-            sha256(F.array_join(F.transform(below, lambda n: n["_digest"]), "")).alias("_digest"),
-            F.sum("members").alias("members"),
-        ).withColumnRenamed("_up", "_node")
-    return nodes.select(*keys, "members", F.col("_digest").alias("corpus_sha256"))
+    return members.groupBy(*keys, _leaf().alias("leaf")).agg(F.count("*").alias("members"), sha256(content).alias("digest"))
+
+
+def _above(nodes: DataFrame, digits: int, *keys: str) -> DataFrame:
+    below = F.array_sort(F.collect_list(F.struct("leaf", "digest")))
+    return nodes.groupBy(*keys, F.substring("leaf", 1, digits).alias("_up")).agg(
+        F.sum("members").alias("members"), sha256(F.array_join(F.transform(below, lambda n: n["digest"]), "")).alias("digest")
+    ).withColumnRenamed("_up", "leaf")
+
+
+def corpus_root(leaves: DataFrame, *keys: str) -> DataFrame:
+    """``keys, members, corpus_sha256`` of a tree's leaves: an inner node is the SHA-256 of its leaves' digests in order, the
+    root that of the inner nodes' digests. No task lists more than the digests of one node."""
+    nodes = _above(_above(leaves, NODE_DIGITS, *keys), 0, *keys)
+    return nodes.select(*keys, "members", F.col("digest").alias("corpus_sha256"))
+
+
+def corpus_digest(members: DataFrame, *keys: str) -> DataFrame:
+    """One SHA-256 per ``keys`` group over its members: the root of a hash tree of three levels, the same for every size."""
+    return corpus_root(corpus_leaves(members, *keys), *keys)
+
+
+def updated_leaves(leaves: DataFrame, members: DataFrame, touched: DataFrame) -> DataFrame:
+    """The leaves of ``members``, given those of an earlier version and every document id that came or went since
+    (``touched(document_id)``). Only leaves of touched ids are listed and hashed again."""
+    changed = touched.select(_leaf().alias("leaf")).distinct()
+    again = corpus_leaves(members.withColumn("_leaf", _leaf()).join(changed.withColumnRenamed("leaf", "_leaf"), "_leaf", "left_semi").drop("_leaf"))
+    return leaves.join(changed, "leaf", "left_anti").select("leaf", "members", "digest").unionByName(again)
+
+
+def differing_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``leaf, left_digest, right_digest`` of the leaves in which two trees differ, found by descending: leaves are compared
+    below unequal inner nodes only. A leaf that a tree lacks has no digest there."""
+    def side(nodes, name):
+        return nodes.select("leaf", F.col("digest").alias(name))
+
+    unequal = ~F.col("left_digest").eqNullSafe(F.col("right_digest"))
+    nodes = side(_above(left, NODE_DIGITS), "left_digest").join(side(_above(right, NODE_DIGITS), "right_digest"), "leaf", "full")
+    open_nodes = F.broadcast(nodes.filter(unequal).select(F.col("leaf").alias("_node")))  # at most 16 ** NODE_DIGITS rows
+    below = [
+        side(leaves, name).withColumn("_node", F.substring("leaf", 1, NODE_DIGITS)).join(open_nodes, "_node", "left_semi").drop("_node")
+        for leaves, name in ((left, "left_digest"), (right, "right_digest"))
+    ]
+    return below[0].join(below[1], "leaf", "full").filter(unequal)

@@ -32,6 +32,7 @@ MEMBER = (
     "document_id string, segment string, asset_id string, source_name string, source_sha256 string, title string, "
     "media_type string, byte_size bigint, chunk_count bigint"
 )
+LEAF = "leaf string, members bigint, digest string"
 DERIVED = ("posting", "length")
 TARGET_ROWS = 2_000_000
 LEAST_ROWS = 100_000
@@ -160,8 +161,8 @@ class Library:
         published = None
         try:
             incoming = self._prepare(work, sources, replacements, removed, base_snapshot_id, base)
-            member_rows, fresh = self._member_rows(incoming, base_snapshot_id, base, removed, replacements)
-            digest = identity.corpus_digest(member_rows).first()
+            member_rows, fresh, touched = self._member_rows(incoming, base_snapshot_id, base, removed, replacements)
+            digest = identity.corpus_root(self._write_leaves(work, member_rows, touched, base_snapshot_id)).first()
             if digest is None:
                 raise ImportPolicyError("a snapshot needs at least one document")
             now = datetime.now(timezone.utc)
@@ -296,7 +297,20 @@ class Library:
                 result = result.unionByName(new.drop("replaced_document_id"))
         if result.groupBy("document_id").count().filter("count > 1").limit(1).count():
             raise ImportPolicyError("a new file repeats a member of the snapshot")
-        return result, incoming
+        if base is None:
+            return result, incoming, None
+        return result, incoming, asked if new is None else asked.union(new.select("document_id"))
+
+    def _write_leaves(self, work, member_rows, touched, base_snapshot_id) -> DataFrame:
+        """The leaves of the corpus digest; those of untouched documents are taken from the base."""
+        held = ("snapshots", base_snapshot_id or "", "leaf")
+        if touched is not None and self.folder.exists(*held):
+            leaves = identity.updated_leaves(self.spark.read.schema(LEAF).parquet(self.folder.path(*held)), member_rows, touched)
+        else:
+            leaves = identity.corpus_leaves(member_rows)
+        path = self.folder.path(work, "snapshot", "leaf")
+        leaves.write.parquet(path)
+        return self.spark.read.schema(LEAF).parquet(path)
 
     def _publish(self, work, snapshot_id, fresh, member_rows, digest, base, now):
         """Write the segment, the object references and the member list; returns the manifest."""

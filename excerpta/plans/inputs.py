@@ -171,11 +171,16 @@ stats AS (SELECT {g}sum(dl) / count(*) AS avgdl, {idfs} FROM freq {grouped}),
 scored AS (SELECT {g}{key}, -({score}) AS score FROM freq JOIN stats {on} WHERE {hit})"""
 
 
-def sql_digest(rows, key):
-    """The corpus digest of ``rows`` (document_id, source_name, source_sha256) per ``key``; two more steps of a WITH."""
+def sql_leaves(rows, key):
+    """The corpus digest's leaves and nodes of ``rows`` (document_id, source_name, source_sha256) per ``key``; two steps of a WITH."""
     return f"""leaves AS (SELECT {key}, substr(document_id, 5, 6) AS leaf, count(*) AS members,
   sha256('[' || string_agg('{{"document_id":"' || document_id || '","source_name":"' || source_name || '","source_sha256":"'
     || source_sha256 || '"}}', ',' ORDER BY document_id) || ']') AS digest FROM {rows} GROUP BY ALL),
 nodes AS (SELECT {key}, substr(leaf, 1, 3) AS node, sum(members) AS members, sha256(string_agg(digest, '' ORDER BY leaf)) AS digest
-  FROM leaves GROUP BY ALL)
+  FROM leaves GROUP BY ALL)"""
+
+
+def sql_digest(rows, key):
+    """The corpus digest per ``key``; the last steps of a WITH and its query."""
+    return f"""{sql_leaves(rows, key)}
 SELECT {key}, sum(members)::BIGINT AS members, sha256(string_agg(digest, '' ORDER BY node)) AS corpus_sha256 FROM nodes GROUP BY {key}"""

@@ -91,6 +91,24 @@ def corpus_versions(spark, sf):
     return identity.corpus_digest(both, "version")
 
 
+def corpus_tree(spark, sf):
+    """The leaves in which the hash trees of both versions differ, and both roots. The next tree is the base's with the
+    leaves of touched documents hashed again."""
+    base, removals, replacements, additions = _change_set(spark, sf)
+    leaves = settle(identity.corpus_leaves(base), "leaves")
+    touched = removals.union(replacements.select("replaced_document_id")).union(replacements.select("document_id")).union(additions.select("document_id"))
+    new = members.apply_changes(
+        base.select(*MEMBER), removals=removals, replacements=replacements.select(*MEMBER, "replaced_document_id"), additions=additions.select(*MEMBER)
+    )
+    again = settle(identity.updated_leaves(leaves, new, touched), "leaves")
+    changed = identity.differing_leaves(leaves, again)
+    roots = identity.corpus_root(leaves).select(F.lit("").alias("leaf"), F.col("corpus_sha256").alias("left_digest"), F.lit(None).cast("string").alias("right_digest"))
+    roots = roots.unionByName(
+        identity.corpus_root(again).select(F.lit("").alias("leaf"), F.lit(None).cast("string").alias("left_digest"), F.col("corpus_sha256").alias("right_digest"))
+    )
+    return changed.unionByName(roots)
+
+
 def version_prints(spark, sf):
     """Prints of the member tables: the next version's composed of the base's and the change, and computed from its rows."""
     base, removals, replacements, additions = _change_set(spark, sf)
@@ -311,6 +329,7 @@ def object_codec(spark, sf):
 
 QUERIES = {
     "version_prints": version_prints,
+    "corpus_tree": corpus_tree,
     "object_codec": object_codec,
     "pipeline_change": pipeline_change,
     "audit_objects": audit_objects,
@@ -380,6 +399,15 @@ FROM (SELECT strlen(content_text) AS size,
 
 CHUNKS = io.sql_chunks()
 ORACLES = {
+    "corpus_tree": f"""WITH {CHANGES},
+all_rows AS (SELECT 'base' AS version, document_id, source_name, source_sha256 FROM base
+  UNION ALL SELECT 'next', document_id, source_name, source_sha256 FROM next),
+{io.sql_leaves("all_rows", "version")},
+roots AS (SELECT version, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM nodes GROUP BY version)
+SELECT coalesce(a.leaf, b.leaf) AS leaf, a.digest AS left_digest, b.digest AS right_digest
+FROM (SELECT * FROM leaves WHERE version = 'base') a FULL JOIN (SELECT * FROM leaves WHERE version = 'next') b ON a.leaf = b.leaf
+WHERE a.digest IS DISTINCT FROM b.digest
+UNION ALL SELECT '', CASE WHEN version = 'base' THEN digest END, CASE WHEN version = 'next' THEN digest END FROM roots""",
     "version_prints": f"""WITH {CHANGES},
 hashed AS (
   SELECT version, sha256('{{"document_id":"' || document_id || '","source_name":"' || source_name || '","source_sha256":"' || source_sha256 || '"}}') AS h
