@@ -7,7 +7,8 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
@@ -94,15 +95,28 @@ def vector_object_id(profile, text) -> Column:
     return F.concat(F.lit("vec_"), F.sha2(input_json(profile, text), 256))
 
 
-@F.pandas_udf(BinaryType())
-def encode_vector(vectors: pd.Series) -> pd.Series:
-    """Big-endian IEEE-754 doubles."""
-    return vectors.map(lambda v: np.asarray(v, dtype=">f8").tobytes())
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def decode_vector(payloads: pd.Series) -> pd.Series:
-    return payloads.map(lambda b: np.frombuffer(b, dtype=">f8").astype("f8"))
+@F.arrow_udf(BinaryType())
+def encode_vector(vectors: pa.Array) -> pa.Array:
+    """Big-endian IEEE-754 doubles; a whole Arrow batch is one buffer. A null vector is null."""
+    content = vectors.flatten().to_numpy(zero_copy_only=False).astype(">f8").tobytes()
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(8 * sizes.astype("i8"))])
+    made = pa.Array.from_buffers(pa.large_binary(), len(vectors), [None, pa.py_buffer(offsets), pa.py_buffer(content)])
+    return pc.if_else(vectors.is_valid(), made, None).cast(pa.binary())
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def decode_vector(payloads: pa.Array) -> pa.Array:
+    """The doubles of :func:`encode_vector`, by one view of the batch's buffer; a payload of other than whole doubles is an
+    error."""
+    held = pc.fill_null(payloads, b"").cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], "i8")[held.offset : held.offset + len(held) + 1]
+    if (offsets % 8 != offsets[0] % 8).any():
+        raise ValueError("a vector payload is not a whole number of doubles")
+    content = held.buffers()[2]
+    values = np.frombuffer(content, ">f8", (offsets[-1] - offsets[0]) // 8, offsets[0]) if content is not None else np.empty(0)
+    starts = pa.array(((offsets - offsets[0]) // 8).astype("i4"))
+    return pa.ListArray.from_arrays(starts, pa.array(values.astype("f8")), mask=payloads.is_null())
 
 
 def is_valid_vector(vector, dimensions) -> Column:

@@ -1,6 +1,7 @@
 """Operators on small fixtures, against plain Python or stated results."""
 
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -289,6 +290,15 @@ def test_sets_are_reconciled_in_buckets(spark):
         assert found == {**{k: (2, 1) for k in range(100) if k != 5}, 700: (1, 0), 5000: (0, 1), None: (0, 1)}
 
 
+def test_vector_codec_by_batch(spark):
+    rows = [(1, [1.5, -2.25]), (2, None), (3, []), (4, [float("inf"), 1e-310, -0.0]), (5, [1.0])]
+    df = spark.createDataFrame(rows, "k int, v array<double>").repartition(2)
+    got = {r["k"]: (r["p"], r["w"]) for r in df.withColumn("p", vec.encode_vector("v")).withColumn("w", vec.decode_vector("p")).collect()}
+    assert got == {k: (None if v is None else struct.pack(f">{len(v)}d", *v), v) for k, v in rows}
+    with pytest.raises(Exception, match="whole number of doubles"):
+        spark.createDataFrame([(b"1234567",)], "p binary").select(vec.decode_vector("p")).collect()
+
+
 def test_uploads(spark):
     rows = [("A.md", 5), ("a.MD", 5), ("bad/name.md", 5), ("x.txt", 5), ("big.pdf", 11 * 2**20), ("é.md", 1), ("é.md", 1)]
     row = uploads.batch_faults(spark.createDataFrame(rows, "name string, byte_size long")).first().asDict()
