@@ -224,15 +224,22 @@ class Library:
     def _prepare(self, work, sources, replacements, removed, base_snapshot_id, base):
         """Parse and chunk every new file once, into the working folder."""
         path = self.folder.path(work, "prepared")
-        jobs = [(list(sources), None)] if sources else []
-        jobs += [([path_], old) for old, path_ in replacements.items()]
-        frames = []
-        for paths, old in jobs:
-            raw = source_files.read_files(self.spark, paths)
+        frames, before = [], {}
+        asked = [*((str(p), None) for p in sources), *((str(p), old) for old, p in replacements.items())]
+        if asked:
+            # All files are listed, then read in one scan; which of them replaces what is joined by path.
+            named = {asked_: source_files.listed_files(self.spark, [asked_]) for asked_, _ in asked}
+            before = {path: status for found in named.values() for path, status in found.items()}
+            roles = [(path, old) for asked_, old in asked for path in named[asked_]]
+            if len({old for _, old in roles if old}) != sum(old is not None for _, old in roles):
+                raise ImportPolicyError("a replacement must be one file")
+            raw = source_files.read_files(self.spark, list(before))
             fault = source_files.source_faults(raw).first()
             if fault:
                 raise ImportPolicyError(f"{fault['source_name']}: {fault['reason']}")
-            frames.append(source_files.prepare(raw).withColumn("replaced_document_id", F.lit(old).cast("string")))
+            roles = self.spark.createDataFrame(roles, "path string, replaced_document_id string")
+            kinds = raw.select("path", "source_name", "byte_size", "source_sha256", "content", "suffix").join(roles, "path")
+            frames.append(source_files.prepare(kinds, "replaced_document_id"))
         if base and base["pipeline_sha256"] != self.pipeline:
             frames += self._rederived(work, base_snapshot_id, [*removed, *replacements])
         if not frames:
@@ -242,11 +249,22 @@ class Library:
             whole = whole.unionByName(frame)
         whole.write.parquet(path)
         stored = self.spark.read.schema(whole.schema).parquet(path)
+        self._check_unchanged(before, stored)
         bad = stored.filter("import_status <> 'ok'").select("source_name", "import_status").first()
         if bad:
             raise ImportPolicyError(f"{bad['source_name']}: {bad['import_status']}")
         return stored
 
+    def _check_unchanged(self, before, stored):
+        """What was read must be what was listed, and what still lies there."""
+        if not before:
+            return
+        now = source_files.listed_files(self.spark, list(before))
+        changed = sorted(path for path in before if now.get(path) != before[path])
+        read = stored.filter("replaced_document_id is null or replaced_document_id <> ''").count()
+        if changed or read < len(before):
+            raise ImportPolicyError(f"{', '.join(p.rsplit('/', 1)[-1] for p in changed) or 'a source'} changed while it was read")
+
     def _rederived(self, work, snapshot_id, gone):
         """Documents of a base built by other steps whose chunks are not those that the memo has for the present steps: cut
         again from their parsed units where these are kept (no ``content`` then), parsed again from their bytes where they

@@ -12,19 +12,39 @@ from excerpta.functions import text as tx
 from excerpta.operators import chunking
 from excerpta.sources import uploads
 
-MIN_PDF_CHARS = 10
+
+def listed_files(spark: SparkSession, paths) -> dict[str, tuple[int, int]]:
+    """Size and modification time by path of the files that ``paths`` (files or globs) name.
+
+    Every path must name at least one file; folders, other special files and symbolic links are refused.
+    """
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), {}
+    for asked in map(str, paths):
+        pattern = jvm.org.apache.hadoop.fs.Path(asked)
+        statuses = pattern.getFileSystem(conf).globStatus(pattern)
+        if not statuses:
+            raise ImportPolicyError(f"{asked}: no such file")
+        for status in statuses:
+            path = status.getPath()
+            name, uri = path.getName(), path.toUri()
+            if uri.getScheme() == "file" and jvm.java.nio.file.Files.isSymbolicLink(jvm.java.io.File(uri.getPath()).toPath()) or status.isSymlink():
+                raise ImportPolicyError(f"{name}: a symbolic link is no source")
+            if not status.isFile() or uri.getScheme() == "file" and not jvm.java.io.File(uri.getPath()).isFile():
+                raise ImportPolicyError(f"{name}: not a regular file")
+            found[path.toString()] = (status.getLen(), status.getModificationTime())
+    return found
 
 
 def read_files(spark: SparkSession, paths) -> DataFrame:
-    """``source_name, content, byte_size, source_sha256, suffix`` for a list of files or globs."""
+    """``path, source_name, content, byte_size, source_sha256, suffix`` for a list of files or globs."""
     if not paths:
         raise ImportPolicyError("no source file was given")
     raw = spark.read.format("binaryFile").load([str(path) for path in paths])
-    # Paths come as URIs; names are restored from their percent encoding.
     named = raw.select(
-        F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("source_name"),
+        "path",
+        F.element_at(F.split("path", "/"), -1).alias("source_name"),
         "content",
-        F.col("length").cast("long").alias("byte_size"),
+        F.octet_length("content").cast("long").alias("byte_size"),
         F.sha2("content", 256).alias("source_sha256"),
     )
     return named.withColumn("suffix", uploads.suffix("source_name"))
@@ -39,7 +59,7 @@ def source_faults(files: DataFrame) -> DataFrame:
         .when(markdown & ~F.is_valid_utf8(text), "not_utf8")
         .when(markdown & text.contains("�"), "replacement_character")
     )
-    return files.select("source_name", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return files.select("source_name", "path", "byte_size", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def _pdf_pages(payload):
@@ -80,8 +100,9 @@ PREPARED = (
 )
 
 
-def prepare(files: DataFrame) -> DataFrame:
-    """Parsed and chunked documents, one row per file; refused files carry ``import_status``."""
+def prepare(files: DataFrame, *keep: str) -> DataFrame:
+    """Parsed and chunked documents, one row per file, with the columns ``keep`` of ``files``; refused files carry
+    ``import_status``."""
     markdown = files.filter(F.col("suffix").isin(".md", ".markdown")).withColumn(
         "content_text", F.col("content").cast("string")
     )
@@ -89,4 +110,4 @@ def prepare(files: DataFrame) -> DataFrame:
     pdf = chunking.pdf_documents(extract_pdf(files.filter(F.col("suffix") == ".pdf"))).withColumn(
         "import_status", F.when(F.col("pdf_status") != "ok", F.col("pdf_status")).otherwise(F.col("import_status"))
     )
-    return made.select(*PREPARED).unionByName(pdf.select(*PREPARED))
+    return made.select(*PREPARED, *keep).unionByName(pdf.select(*PREPARED, *keep))

@@ -499,3 +499,29 @@ def test_vector_artifacts_are_reconciled_with_their_catalog(spark, tmp_path):
     for artifact, problem in ((record, "mappings altered"), (other, "objects missing")):
         with pytest.raises(VectorError, match=problem):
             store.verify(one, artifact["profile_id"])
+
+
+def test_only_regular_files_that_stay_as_they_are(spark, tmp_path, monkeypatch):
+    from excerpta.sources import files
+
+    library = Library(spark, str(tmp_path / "library"))
+    plain = _write(tmp_path, "A%20 b+.md", "alphaunique")
+    (tmp_path / "link.md").symlink_to(plain)
+    (tmp_path / "folder.md").mkdir()
+    for path, reason in (("link.md", "symbolic link"), ("folder.md", "regular file"), ("absent.md", "no such file")):
+        with pytest.raises(ImportPolicyError, match=reason):
+            library.build([plain, str(tmp_path / path)])
+    built = library.build([plain])
+    assert library.snapshot_members(built["snapshot_id"]).first()["source_name"] == "A%20 b+.md"
+    read = files.read_files
+
+    def changing(*given):
+        frame = read(*given)
+        with open(plain, "a") as file:
+            file.write("one more line\n")
+        return frame
+
+    monkeypatch.setattr(files, "read_files", changing)
+    with pytest.raises(ImportPolicyError, match="changed while it was read"):
+        library.build([plain])
+    assert [s["snapshot_id"] for s in library.catalog()["snapshots"]] == [built["snapshot_id"]]
