@@ -57,30 +57,43 @@ ASK = {
 
 
 def op4_tool_calls(spark, sf_dir):
-    """Each user turn as a call that needs the call two turns before, each assistant turn as the result of the turn before."""
+    """Each user turn as a call, each assistant turn as the result of the turn before. A call needs the one two turns before,
+    or, where the number of its words is divisible by five, the one two turns after: some conversations are out of order,
+    and some have cycles."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     words = F.size(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0)))
     calls = turns.where("role = 'user'").select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("ask").alias("name"),
         F.to_json(F.struct("text", words.alias("words"))).alias("arguments"),
-        F.array(name(F.col("turn") - 2)).alias("needs"),
+        F.array(name(F.col("turn") + F.when(words % 5 == 0, 2).otherwise(-2))).alias("needs"),
     )
     results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     linked = tool_calls.link_tool_calls(calls, results, {"ask": ASK})
     return linked.fillna(-1, ["call_turn", "result_turn", "position"])  # integers without nulls compare everywhere
 
 
+# Each call has one need, so a call's level is the length of its chain of needs; a chain as long as the conversation is cyclic.
 OP4_SQL = r"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT conv_id, turn, text, len(regexp_extract_all(text, '[^ \n]+')) AS words FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
-p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM c),
+e AS (SELECT c.conv_id, c.turn, n.turn AS need FROM c JOIN c n ON n.conv_id = c.conv_id AND n.turn = c.turn + CASE WHEN c.words % 5 = 0 THEN 2 ELSE -2 END),
+s AS (SELECT conv_id, count(*) AS calls FROM c GROUP BY conv_id),
+w AS (
+  SELECT conv_id, turn, need AS at, 1 AS steps FROM e
+  UNION ALL SELECT w.conv_id, w.turn, e.need, steps + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.turn = w.at JOIN s ON s.conv_id = w.conv_id WHERE steps <= calls),
+l AS (SELECT c.conv_id, c.turn, coalesce(max(steps), 0) AS level FROM c LEFT JOIN w ON w.conv_id = c.conv_id AND w.turn = c.turn GROUP BY 1, 2),
+b AS (SELECT DISTINCT conv_id FROM e WHERE need > turn),
+p AS (
+  SELECT c.*, coalesce(b.conv_id IS NOT NULL AND level >= calls, false) AS cyclic, CASE WHEN b.conv_id IS NULL THEN 0 ELSE level END AS level
+  FROM c JOIN l USING (conv_id, turn) JOIN s USING (conv_id) LEFT JOIN b USING (conv_id)),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, cyclic ORDER BY level, turn) - 1 AS place FROM p),
 j AS (
-  SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, 'call-' || coalesce(p.turn, r.turn - 1) AS call_id, coalesce(p.turn, -1) AS call_turn,
-    coalesce(r.turn, -1) AS result_turn, p.text AS asked, r.text AS answered, words, coalesce(position, -1) AS position,
-    CASE WHEN p.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status
-  FROM p FULL JOIN r ON p.conv_id = r.conv_id AND p.turn = r.turn - 1)
+  SELECT coalesce(q.conv_id, r.conv_id) AS conv_id, 'call-' || coalesce(q.turn, r.turn - 1) AS call_id, coalesce(q.turn, -1) AS call_turn,
+    coalesce(r.turn, -1) AS result_turn, q.text AS asked, r.text AS answered, words, CASE WHEN q.turn IS NULL OR cyclic THEN -1 ELSE place END AS position,
+    CASE WHEN q.turn IS NULL THEN 'orphan' WHEN cyclic THEN 'cyclic' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM q FULL JOIN r ON q.conv_id = r.conv_id AND q.turn = r.turn - 1)
 SELECT conv_id, call_id, call_turn, result_turn, status, position,
   CASE WHEN status <> 'orphan' THEN asked <> '' AND words BETWEEN 1 AND 40 END AS valid,
   concat_ws('; ', CASE WHEN asked = '' THEN 'text has a wrong length' END, CASE WHEN words NOT BETWEEN 1 AND 40 THEN 'words is out of range' END) AS faults,

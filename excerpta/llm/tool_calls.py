@@ -2,8 +2,9 @@
 
 Calls and results meet in a hash join on (conversation, identifier). Calls are put in an order in which each stands after
 the calls whose results it needs. Where all needs point to earlier turns, as in a sound log, the order of turns is such an
-order; only conversations with another need are sorted by levels, in one round per level over the calls not yet placed, and
-calls on a cycle are reported as such. Arguments are checked against the schema of their tool, and call and result are
+order; only conversations with another need are sorted by levels. One of at most ``SORTED_ROWS`` calls and needs is sorted
+within a task, which holds one conversation at a time; a longer one in rounds over all tasks, a level a round. Calls on a
+cycle, or after one, are reported as such. Arguments are checked against the schema of their tool, and call and result are
 written as canonical JSON: keys sorted, no white space, characters as they are.
 
 Nothing is grouped by conversation as a whole: positions come from counts per part of a conversation.
@@ -17,10 +18,12 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from excerpta.llm.common import settle
 
 TURNS_A_PART = 64
+SORTED_ROWS = 100_000
 PLAIN = {"string": str, "boolean": bool, "array": list, "object": dict}
 
 
@@ -77,15 +80,71 @@ def checked(name, arguments, schemas: dict) -> tuple[object, list[str]]:
     return value, faults(value, schemas[name])
 
 
+def sorted_levels(pairs: list[tuple]) -> dict:
+    """Level by call of (call, need or None): 0 without needs, else one more than the highest of its needs; calls on a cycle
+    or after one have none."""
+    waits, after = {}, {}
+    for call, need in pairs:
+        waits.setdefault(call, 0)
+        if need is not None:
+            waits[call] += 1
+            after.setdefault(need, []).append(call)
+    level = {c: 0 for c, n in waits.items() if not n}
+    ready = list(level)
+    for call in ready:
+        for later in after.get(call, ()):
+            waits[later] -= 1
+            if not waits[later]:
+                level[later] = level[call] + 1
+                ready.append(later)
+    return level
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls of conversations in which a need does not point to an earlier turn; null
     for calls on a cycle or after one. Other conversations are not among the rows."""
     needs = calls.select("conv_id", "call_id", "turn", F.explode("needs").alias("need"))
     known = calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("before"))
     edges = needs.join(known, ["conv_id", "need"])
-    bent = edges.groupBy("conv_id").agg(F.bool_or(~F.coalesce(F.col("before") < F.col("turn"), F.lit(False))).alias("bent")).where("bent").select("conv_id")
-    edges = settle(edges.join(bent, "conv_id").select("conv_id", "call_id", "need"), "call-needs")
-    open_calls = settle(calls.join(bent, "conv_id").select("conv_id", "call_id"), "calls-open")
+    bent = edges.groupBy("conv_id").agg(
+        F.bool_or(~F.coalesce(F.col("before") < F.col("turn"), F.lit(False))).alias("bent"), F.count("*").alias("needs")
+    ).where("bent")
+    sizes = calls.groupBy("conv_id").agg(F.count("*").alias("calls")).join(bent, "conv_id")
+    sizes = settle(sizes.select("conv_id", (F.col("calls") + F.col("needs")).alias("size")), "calls-bent")
+    edges = settle(edges.join(sizes, "conv_id").select("conv_id", "call_id", "need", "size"), "call-needs")
+    nodes = calls.join(sizes, "conv_id").select("conv_id", "call_id", F.lit(None).cast("string").alias("need"), "size")
+    kind = dict(calls.dtypes)["conv_id"]
+
+    def sort(it):
+        held, name = [], None
+        for batch in it:
+            for conv, *pair in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if conv != name and held:
+                    yield placed_batch(name, held)
+                    held = []
+                name = conv
+                held.append(pair)
+        if held:
+            yield placed_batch(name, held)
+
+    def placed_batch(conv, pairs):
+        found = sorted_levels(pairs)
+        ids = list(dict.fromkeys(c for c, _ in pairs))
+        columns = [pa.array([conv] * len(ids), conv_type), pa.array(ids), pa.array([found.get(c) for c in ids], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["conv_id", "call_id", "level"])
+
+    conv_type = to_arrow_type(calls.schema["conv_id"].dataType)
+    short = nodes.union(edges).where(F.col("size") <= SORTED_ROWS).select("conv_id", "call_id", "need")
+    short = short.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(sort, f"conv_id {kind}, call_id string, level int")
+    if sizes.where(F.col("size") > SORTED_ROWS).isEmpty():
+        return short
+    long = F.col("size") > SORTED_ROWS
+    return short.union(_levels_in_rounds(nodes.where(long).select("conv_id", "call_id"), edges.where(long).drop("size")))
+
+
+def _levels_in_rounds(open_calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of whole conversations, the calls without an open need being placed in each round."""
+    edges, open_calls = settle(edges, "call-needs"), settle(open_calls, "calls-open")
     placed, level = [], 0
     while True:
         waiting = edges.select("conv_id", "call_id").distinct()

@@ -89,6 +89,29 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert linked(spark, [], []) == {}
 
 
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_tool_calls_in_any_order_of_turns(spark, monkeypatch, limit):
+    monkeypatch.setattr(tool_calls, "SORTED_ROWS", limit)
+    rng = random.Random(5)
+    calls = []
+    for conv in range(12):
+        names = [f"c{n}" for n in range(rng.randint(1, 7))]
+        for turn, name in enumerate(names):
+            calls.append((conv, name, turn, "add", '{"a": 1}', rng.sample(names, rng.randint(0, min(2, len(names) - 1))) + ["nowhere"]))
+    got = linked(spark, calls, [])
+    for conv in range(12):
+        own = {c[1]: (c[2], [n for n in c[5] if n != "nowhere"]) for c in calls if c[0] == conv}
+        placed, order = [], {}
+        bent = any(own[n][0] >= turn for turn, needs in own.values() for n in needs)
+        level = 0
+        while now := [c for c in own if c not in order and all(n in order for n in own[c][1])]:
+            order |= {c: level for c in now}
+            level += 1
+        placed = sorted(order, key=lambda c: (order[c] if bent else 0, own[c][0]))
+        assert {c: got[conv, c].position for c in own} == {c: placed.index(c) if c in placed else None for c in own}
+        assert all((got[conv, c].status == "cyclic") == (c not in placed) for c in own)
+
+
 def test_tool_calls_with_lone_surrogates(spark):
     got = linked(spark, [(1, "s", 1, "add", '{"a": 1, "b": ["\\ud800"], "\\udfff": 2}', None)], [(1, "s", 2, "ok")])[1, "s"]
     assert got.faults == "\\udfff is unknown" and json.loads(got.message)["arguments"] == {"a": 1, "b": ["\ud800"], "\udfff": 2}
