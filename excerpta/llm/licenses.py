@@ -27,7 +27,45 @@ PHRASES = {
     "cc-by": ["cc by"],
     "mit": ["mit license"],
 }
-# Public licence wordings, each with the identifier of its licence.
+# Whole wordings of short public licences. Names of holders are replaceable, numbers of clauses optional.
+MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+    "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+    "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do "
+    "so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] "
+    "shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any "
+    "kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+    "{{noninfringement|non infringement}} in no event shall {{12}} be liable for any claim damages or other liability whether in an "
+    "action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the "
+    "software"
+)
+ISC = (
+    "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and "
+    "{{12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in "
+    "no event shall {{12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting "
+    "from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+    "connection with the use or performance of this software"
+)
+BSD_2 = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+    "conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the "
+    "following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+    "the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_3 = (
+    "[[3]] neither the name of {{12}} nor the names of {{6}} contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission"
+)
+BSD_END = (
+    "this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute "
+    "goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in "
+    "contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if "
+    "advised of the possibility of such damage"
+)
+# Public licence statements and wordings, each with the identifier of its licence.
 TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license [[version]] 2 0",
@@ -41,18 +79,20 @@ TEMPLATES = {
     ],
     "gpl-2.0": [
         "{{licensed|released|distributed}} under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[0]]",
+        "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation {{1}} version 2",
         "spdx license identifier gpl 2 0 [[{{only|or later}}]]",
     ],
     "mit": [
         "{{licensed|released|distributed}} under the [[terms of the]] mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
         "spdx license identifier mit",
+        MIT,
     ],
     "cc-by": ["licensed under [[a]] {{cc by|creative commons attribution}} {{1 0|2 0|2 5|3 0|4 0}} [[international]] [[license]]"],
     "cc-by-nc": ["licensed under [[a]] {{cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial}} {{1 0|2 0|2 5|3 0|4 0}} [[international]] [[license]]"],
     "cc-by-sa": ["licensed under [[a]] {{cc by sa|creative commons attribution sharealike|creative commons attribution share alike}} {{1 0|2 0|2 5|3 0|4 0}} [[international]] [[license]]"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "bsd-2-clause": ["spdx license identifier bsd 2 clause", f"{BSD_2} {BSD_END}"],
+    "bsd-3-clause": ["spdx license identifier bsd 3 clause", f"{BSD_2} {BSD_3} {BSD_END}"],
+    "isc": ["spdx license identifier isc", ISC],
     "mpl-2.0": ["subject to the terms of the mozilla public license [[v]] [[version]] 2 0"],
     "all-rights-reserved": ["[[copyright {{8}}]] all rights reserved"],
 }
@@ -187,7 +227,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, key="doc
     greatest start of these, else null), base_labels, labels (also those of matched templates; distinct, sorted,
     comma-joined), score (share of the words inside a match) and matches (label, start, end in words).
 
-    A null or wordless text has no places, empty labels and score 0. Repeated rows give equal rows.
+    A licence is named by a statement that names it, or by its whole mandatory wording; an opening sentence followed by
+    other terms is not it. A null or wordless text has no places, empty labels and score 0. Where several matches of a label
+    begin at a word the longest counts. Repeated rows give equal rows, an empty table none; other columns, whatever their
+    names, are ignored.
     """
     name = ("licenses", repr(templates), repr(phrases))
 

@@ -458,3 +458,24 @@ def test_near_dedup_of_rows_that_share_an_id(spark):
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=2, percent=80).collect()
     want = [(1, 59, 1, True)] * 2 + [(2, 60, 1, False), (3, 60, 1, False)] + [(9, 59, 8, False)] * 2 + [(8, 60, 8, True), (None, 59, None, True)] + [(5, 0, 5, True)] * 2
     assert helpers.copies(tuple(r) for r in got) == helpers.copies(want)
+
+
+def test_licenses_are_named_by_their_whole_wording():
+    full = licenses.Automaton(licenses.TEMPLATES)
+    found = lambda t: {m[0] for m in full.matches(licenses.words_of(t.encode()))}
+    fill = lambda t, names: re.sub(r"\{\{(\d+|[^}]*)\}\}", lambda m: names if m[1].isdigit() else m[1].split("|")[-1], re.sub(r"\[\[|\]\]", "", t))
+    whole = {"mit": licenses.MIT, "isc": licenses.ISC, "bsd-2-clause": f"{licenses.BSD_2} {licenses.BSD_END}",
+             "bsd-3-clause": f"{licenses.BSD_2} {licenses.BSD_3} {licenses.BSD_END}"}
+    for label, wording in whole.items():
+        for names in ("the authors", "A. Holder, and the Contributors (2020)", ""):
+            text = fill(wording, names)
+            assert found(f"Copyright x. {text.upper()}! More.") == {label}
+            words = text.split()
+            assert found(" ".join(words[:40] + ["subject", "to", "other", "terms"])) == set()
+            assert found(" ".join(words[:-1])) == set()
+            changed = words[:]
+            changed[30] += "x"  # a mandatory word
+            assert found(" ".join(changed)) == set()
+    notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    assert found(notice.format(2)) == {"gpl-2.0"} and found(notice.format(3)) == {"gpl-3.0"}
+    assert found("SPDX-License-Identifier: BSD-3-Clause") == {"bsd-3-clause"}
