@@ -30,8 +30,12 @@ CATALOG = "snapshot-catalog"
 MANIFEST = "manifest.json"
 MEMBER = (
     "document_id string, segment string, asset_id string, source_name string, source_sha256 string, title string, "
-    "media_type string, byte_size bigint, chunk_count bigint"
+    "media_type string, byte_size bigint, chunk_count bigint, stored_path string, extraction_method string, "
+    "extraction_status string, page_count int, extracted_char_count bigint"
 )
+# What a snapshot's folder holds.
+ENTRIES = ("member", "object_ref", "leaf", MANIFEST)
+UNVERIFIED = "unverified"
 LEAF = "leaf string, members bigint, digest string"
 DERIVED = ("posting", "length")
 TARGET_ROWS = 2_000_000
@@ -295,7 +299,9 @@ class Library:
         if incoming is not None:
             new = incoming.select(
                 "document_id", F.lit(None).cast("string").alias("segment"), "asset_id", "source_name", "source_sha256",
-                "title", "media_type", "byte_size", F.size("chunks").cast("long").alias("chunk_count"), "replaced_document_id",
+                "title", "media_type", "byte_size", F.size("chunks").cast("long").alias("chunk_count"),
+                schemas.source_path().alias("stored_path"), "extraction_method", "extraction_status", "page_count", "extracted_char_count",
+                "replaced_document_id",
             )
         if base is None:
             result = new.drop("replaced_document_id")
@@ -512,9 +518,11 @@ class Library:
             if todo:
                 jobs += [lambda rule=rule: rule.filter("violations > 0").collect() for rule in self._segment_rules(todo, base is None)]
             refs_path = self.folder.path("snapshots", snapshot_id, "object_ref")
-            prints, digest, *findings = together(
+            refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(refs_path)
+            prints, digest, storage, *findings = together(
                 lambda: self._fingerprints(manifest, held, refs_path) if base is None else manifest["fingerprints"],
                 lambda: identity.corpus_digest(held).first() if base is None else {"corpus_sha256": manifest["corpus_sha256"]},
+                lambda: objects.storage_stats(refs).first().asDict() if base is None else manifest["storage"],
                 *jobs,
             )
             broken = sorted({row["check"] for found in findings for row in found})
@@ -524,8 +532,12 @@ class Library:
             raise SnapshotError("the snapshot could not be read") from error
         if prints != manifest["fingerprints"] and "content_fingerprint" not in broken:
             broken.append("content_fingerprint")
-        if prints["length"]["rows"] != manifest["counts"]["index_rows"]:
-            broken.append("index_rows")
+        counted = {"documents": "document", "assets": "asset", "chunks": "chunk", "index_rows": "length"}
+        broken += [name for name, table in counted.items() if prints[table]["rows"] != manifest["counts"][name]]
+        if storage != manifest["storage"]:
+            broken.append("storage_statistics")
+        if set(self.folder.names("snapshots", snapshot_id)) - {*ENTRIES, f".{MANIFEST}.crc"}:
+            broken.append("folder_entries")
         if digest is None or digest["corpus_sha256"] != manifest["corpus_sha256"]:
             broken.append("corpus_sha256")
         if broken:
@@ -576,13 +588,8 @@ class Library:
                 self.folder.path("snapshots", manifest["snapshot_id"], "object_ref")
             )
         store = self.spark.read.schema(schemas.OBJECT + ", kind string").parquet(self.folder.path("objects"))
-        sources = held.select(
-            "document_id", "asset_id", "title", "source_name", "media_type", "source_sha256", "byte_size", "chunk_count"
-        )
-        counted = chunks.groupBy("asset_id").agg(F.count("*").alias("chunk_count"))
-        seen = documents.join(assets, "document_id").join(counted, "asset_id", "left").select(*sources.columns)
         return [
-            audit.count_rows("member_differs", sources.exceptAll(seen).unionByName(seen.exceptAll(sources))),
+            *audit.manifest_rules(documents, assets, chunks, held),
             audit.count_rows("object_missing_or_changed", objects.missing_objects(refs, store)),
             audit.count_rows("object_reference_gap", held.join(refs, "document_id", "left_anti")),
             audit.object_chunk_rules(
@@ -677,6 +684,18 @@ class Library:
             "document_id", "source_name", "title", "media_type", "byte_size", "chunk_count"
         )
 
+    def sources(self, snapshot_id) -> DataFrame:
+        """Source rows of a snapshot: identity, extraction, counts, what has not been verified, and its objects by kind."""
+        self.opened(snapshot_id)
+        refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(self.folder.path("snapshots", snapshot_id, "object_ref"))
+        entry = F.struct("kind", F.struct("sha256", "byte_size", "path"))
+        held = refs.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("objects"))  # one a kind
+        return self.members(snapshot_id).join(held, "document_id").select(
+            "document_id", "asset_id", "source_name", "stored_path", "media_type", "title", "source_sha256", "byte_size", "extraction_method",
+            "extraction_status", "page_count", "extracted_char_count", "chunk_count", F.lit(UNVERIFIED).alias("fulltext_verification"),
+            F.lit(UNVERIFIED).alias("formula_verification"), "objects",
+        )
+
     def difference(self, snapshot_id) -> DataFrame:
         """Changes of a snapshot against its base."""
         base = self._record(snapshot_id)["base_snapshot_id"]

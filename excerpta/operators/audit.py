@@ -258,10 +258,11 @@ def document_prints(tables: dict[str, DataFrame], derived=()) -> DataFrame:
 
 def composed_prints(*signed: tuple[int, DataFrame]) -> DataFrame:
     """``name, rows, sum_a, sum_b``: prints of documents or of tables, each added (1) or taken away (-1)."""
-    parts = [
-        prints.select("name", *[(F.col(c) * F.lit(sign)).cast("decimal(38,0)").alias(c) for c in ("rows", "sum_a", "sum_b")])
-        for sign, prints in signed
-    ]
+    def part(sign, prints):
+        columns = {c: F.col(c).cast("decimal(38,0)") for c in ("rows", "sum_a", "sum_b")}
+        return prints.select("name", *[(value if sign > 0 else -value).alias(c) for c, value in columns.items()])
+
+    parts = [part(sign, prints) for sign, prints in signed]
     sums = [F.sum(c).cast("decimal(38,0)").alias(c) for c in ("rows", "sum_a", "sum_b")]
     return _union(parts).groupBy("name").agg(*sums).withColumn("rows", F.col("rows").cast("long"))
 

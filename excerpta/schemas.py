@@ -81,11 +81,15 @@ def document_rows(prepared):
     )
 
 
+def source_path():
+    return F.concat(F.lit("objects/source/"), "source_sha256", F.lit("/payload"))
+
+
 def asset_rows(prepared):
     return prepared.select(
         "asset_id",
         "document_id",
-        F.concat(F.lit("objects/source/"), "source_sha256", F.lit("/payload")).alias("stored_path"),
+        source_path().alias("stored_path"),
         "source_sha256",
         "byte_size",
         "extraction_method",

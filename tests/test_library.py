@@ -363,6 +363,24 @@ def test_tampered_index_is_refused(spark, tmp_path, table, change):
         library.verify(snap)  # the same session has verified it, but the files have changed
 
 
+def test_source_rows_and_what_the_audit_counts_again(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "library"))
+    snap = library.build([_write(tmp_path, "A.md", "alphaunique")])["snapshot_id"]
+    row = library.sources(snap).first().asDict(recursive=True)
+    assert row["source_name"] == "A.md" and row["fulltext_verification"] == row["formula_verification"] == "unverified"
+    assert set(row["objects"]) == {"source", "parsed", "chunks"} and row["objects"]["source"]["path"] == row["stored_path"]
+    manifest = library.manifest(snap)
+    for changed, name in (
+        ({"counts": {**manifest["counts"], "chunks": 9}}, "chunks"), ({"storage": {**manifest["storage"], "new_objects": 9}}, "storage_statistics"),
+        ({"corpus_sha256": "0" * 64}, "corpus_sha256"),
+    ):
+        with pytest.raises(SnapshotError, match=name):
+            library._audit(snap, {**manifest, **changed})
+    library.folder.write_text("x", "snapshots", snap, "stray.txt")
+    with pytest.raises(SnapshotError, match="folder_entries"):
+        library.verify(snap)
+
+
 def test_changed_chunks_differ_from_their_objects(spark, tmp_path):
     from excerpta.library import Library
 
