@@ -23,7 +23,7 @@ from excerpta.functions import identity
 from excerpta.functions.identity import ID_PATTERNS, canonical_json
 from excerpta.operators import audit, bm25, layers, members, objects
 from excerpta.sources import files as source_files, uploads
-from excerpta.session import spread_files, together
+from excerpta.session import BROADCAST_ROW_LIMIT, spread_files, together
 from excerpta.storage import Folder, Revisions
 
 CATALOG = "snapshot-catalog"
@@ -174,7 +174,7 @@ class Library:
             published = snapshot_id
             manifest = self._publish(work, snapshot_id, fresh, member_rows, digest, base, now)
             self.folder.publish((work, "snapshot"), ("snapshots", snapshot_id))
-            self._audit(snapshot_id, manifest, base)
+            self._audit(snapshot_id, manifest, built=True)
             manifest["files"] = self._sizes(manifest)
             text = canonical_json(manifest)
             self.folder.write_text(text, "snapshots", snapshot_id, MANIFEST)
@@ -241,8 +241,12 @@ class Library:
             fault = source_files.source_faults(raw).first()
             if fault:
                 raise ImportPolicyError(f"{fault['source_name']}: {fault['reason']}")
-            roles = self.spark.createDataFrame(roles, "path string, replaced_document_id string")
-            kinds = raw.select("path", "source_name", "byte_size", "source_sha256", "content", "suffix").join(roles, "path")
+            kinds = raw.select("path", "source_name", "byte_size", "source_sha256", "content", "suffix")
+            if replacements or len(roles) > len(before):
+                named_roles = self.spark.createDataFrame(roles, "path string, replaced_document_id string")
+                kinds = kinds.join(F.broadcast(named_roles) if len(roles) <= BROADCAST_ROW_LIMIT else named_roles, "path")
+            else:
+                kinds = kinds.withColumn("replaced_document_id", F.lit(None).cast("string"))
             frames.append(source_files.prepare(kinds, "replaced_document_id"))
         if base and base["pipeline_sha256"] != self.pipeline:
             frames += self._rederived(work, base_snapshot_id, [*removed, *replacements])
@@ -499,30 +503,31 @@ class Library:
 
     # --- verification ------------------------------------------------------------------------
 
-    def _audit(self, snapshot_id, manifest, base=None):
+    def _audit(self, snapshot_id, manifest, built=False):
         """Audit of one snapshot; raises with the names of the violated rules.
 
         Rows are audited by segment, once in a session as long as its files stay as they are; snapshots that share segments
         share that work. What binds a snapshot to its segments (members, references, composed prints, corpus digest) is
-        checked each time and reads members and prints only. ``base`` is given by the build that made the snapshot: its
-        segments have been audited by the builds that wrote them, and its own prints have just been composed.
+        checked each time and reads members and prints only. ``built`` is said by the build that made the snapshot: the base's
+        segments have been audited by the builds that wrote them, and prints, digest and statistics have just been computed.
         """
         try:
-            if base is not None:
+            if built:
                 todo = [s for s in manifest["segments"] if s == snapshot_id]
             else:
                 seen = {s: self._segment_files(s) for s in manifest["segments"]}
                 todo = [s for s in manifest["segments"] if not self.verify_once or seen[s] is None or self._segments.get(s) != seen[s]]
             held = self.members(snapshot_id)
-            jobs = [lambda rule=rule: rule.filter("violations > 0").collect() for rule in self._membership_rules(manifest, held)]
+            bound = [] if built and manifest["segments"] == [snapshot_id] else self._membership_rules(manifest, held)
+            jobs = [lambda rule=rule: rule.filter("violations > 0").collect() for rule in bound]
             if todo:
-                jobs += [lambda rule=rule: rule.filter("violations > 0").collect() for rule in self._segment_rules(todo, base is None)]
+                jobs += [lambda rule=rule: rule.filter("violations > 0").collect() for rule in self._segment_rules(todo, not built)]
             refs_path = self.folder.path("snapshots", snapshot_id, "object_ref")
             refs = self.spark.read.schema(schemas.OBJECT_REF).parquet(refs_path)
             prints, digest, storage, *findings = together(
-                lambda: self._fingerprints(manifest, held, refs_path) if base is None else manifest["fingerprints"],
-                lambda: identity.corpus_digest(held).first() if base is None else {"corpus_sha256": manifest["corpus_sha256"]},
-                lambda: objects.storage_stats(refs).first().asDict() if base is None else manifest["storage"],
+                lambda: self._fingerprints(manifest, held, refs_path) if not built else manifest["fingerprints"],
+                lambda: identity.corpus_digest(held).first() if not built else {"corpus_sha256": manifest["corpus_sha256"]},
+                lambda: objects.storage_stats(refs).first().asDict() if not built else manifest["storage"],
                 *jobs,
             )
             broken = sorted({row["check"] for found in findings for row in found})
@@ -542,7 +547,7 @@ class Library:
             broken.append("corpus_sha256")
         if broken:
             raise SnapshotError("audit failed: " + ", ".join(broken))
-        if base is None:
+        if not built:
             self._segments.update(seen)
 
     def _segment_members(self, segments) -> DataFrame:
