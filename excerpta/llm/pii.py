@@ -5,12 +5,16 @@
    sums of both lengths. A cheap test of the whole text keeps the patterns away from texts without a candidate.
 2. Each candidate has format features (length, digits, letters, separators) and context features (key words before it, what
    touches it), all of them small integers. A format check per kind (octets, Luhn, digit counts, area numbers, mod 97)
-   labels it.
+   labels it, but for kinds whose check proves little (``EVIDENCE``: most random numbers are possible ssn). Their labels come
+   from evidence the trees do not see: a key word of the kind before a passing span says yes; a failed check, or a word for
+   other numbers (part, order, ...) nearer to the span, says no; a passing span with neither has no label.
 3. Training counts labels by distinct feature vector over ALL candidates. There are at most a few thousand such vectors
    whatever the corpus, so the driver boosts shallow trees on the counts, and finds for each kind the least score above
-   which ``precision`` of the candidates passed their check; a kind that never reaches it adds nothing that fails it.
+   which ``precision`` of the labelled candidates are positive, half-way to the next lower one; a kind that never reaches
+   it adds nothing by score.
 4. Scores are nested CASE expressions. Spans that pass their check stay in any case for the four base kinds. Unless they
-   overlap one of those, spans of the added kinds that pass theirs stay too, and other candidates are selected by score.
+   overlap one of those, spans of the added kinds whose check proves stay too, and other candidates are selected by score:
+   an ssn always, unless no ssn of the corpus has a key word, when nothing could be learned and its check decides.
 
 Candidates are computed once, per row, and written; nothing is shuffled but the counts.
 """
@@ -40,7 +44,10 @@ WORDS = {
     "email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|payment", "phone": "tel|phone|call|fax|mobile",
     "ssn": "ssn|social", "iban": "iban|account|bank", "secret": "login|user|auth|key",
 }
-FEATURES = ("kind", "length", "digits", "letters", "others", "context", "touched")
+# Kinds labelled by evidence, and words before a span that say it is another kind of number.
+EVIDENCE = ("ssn",)
+OTHER_NUMBERS = r"\b(?:parts?|order|item|serial|model|invoice|ref|sku|lot|batch|version|ticket|tracking)\b"
+FEATURES = ("kind", "length", "digits", "letters", "others", "context", "touched", "checked", "adverse")
 PRECISION = 0.98
 RUN = 256
 
@@ -137,17 +144,27 @@ def _candidate(name: str, value: Column, end: Column, before: Column, after: Col
     digits, letters = F.length(_only(value, "0-9")), F.length(_only(value, "A-Za-z"))
     own = before.rlike(f"(?i)(?:{WORDS[name]})")
     some = before.rlike("(?i)(?:" + "|".join(WORDS.values()) + ")")
+    valid = F.coalesce(_check(name, value), F.lit(False))
+    if name in EVIDENCE:  # key words are evidence here, so they are no features
+        adverse = before.rlike(rf"(?is){OTHER_NUMBERS}(?!.*(?:{WORDS[name]}))")
+        context, checked = F.lit(0), valid.cast("int")
+        label = F.when(~valid | adverse, False).when(own, True)
+    else:
+        adverse, context, checked, label = F.lit(False), own.cast("int") + some.cast("int"), F.lit(0), valid
     return F.struct(
         F.lit(NAMES.index(name)).alias("kind"),
         (end - length).alias("start"),
         end.alias("end"),
-        F.coalesce(_check(name, value), F.lit(False)).alias("valid"),
+        valid.alias("valid"),
+        label.alias("label"),
         _bucket(length, 8, 12, 16, 20, 32).alias("length"),
         _bucket(digits, 1, 4, 9, 13, 20).alias("digits"),
         _bucket(letters, 1, 6, 12).alias("letters"),
         _bucket(length - digits - letters, 1, 2, 4).alias("others"),
-        (own.cast("int") + some.cast("int")).alias("context"),
+        context.alias("context"),
         (before.rlike("[A-Za-z0-9]$").cast("int") + after.rlike("^[A-Za-z0-9]").cast("int")).alias("touched"),
+        checked.alias("checked"),
+        adverse.cast("int").alias("adverse"),
     )
 
 
@@ -186,10 +203,11 @@ class Trees:
     """Boosted trees of two levels over integer features, and a threshold per kind."""
 
     def __init__(self, counts: list[tuple], rounds=24, rate=0.4, precision=PRECISION):
-        """``counts``: (feature vector, candidates, candidates that pass their check)."""
+        """``counts``: (feature vector, labelled candidates, positive ones). Vectors without a label are left out."""
         self.trees: list[tuple] = []
         self.thresholds = {}
-        rows = sorted(counts)
+        rows = sorted(row for row in counts if row[1])
+        self.learned = {f[0] for f, _, g in rows if g}
         if not rows:
             return
         total, good = sum(n for _, n, _ in rows), sum(g for _, _, g in rows)
@@ -207,14 +225,14 @@ class Trees:
             seen = passed = 0
             for at, (s, n, g) in enumerate(ranked):
                 seen, passed = seen + n, passed + g
-                last = at + 1 == len(ranked) or ranked[at + 1][0] < s
-                if last and passed >= precision * seen:
-                    self.thresholds[kind] = s
+                below = ranked[at + 1][0] if at + 1 < len(ranked) else s
+                if (below < s or at + 1 == len(ranked)) and passed >= precision * seen:
+                    self.thresholds[kind] = (s + below) / 2
 
     def _grow(self, rows, gradient, weight, own, depth, rate):
         g, w = sum(gradient[i] for i in own), sum(weight[i] for i in own)
         best = (1e-9, None)
-        for feature in range(len(FEATURES)) if depth else ():
+        for feature in range(len(rows[0][0])) if depth else ():
             for bound in sorted({rows[i][0][feature] for i in own})[:-1]:
                 left = [i for i in own if rows[i][0][feature] <= bound]
                 gl, wl = sum(gradient[i] for i in left), sum(weight[i] for i in left)
@@ -250,21 +268,23 @@ class Trees:
 def train(found: DataFrame, **options) -> Trees:
     """Trees from the counts of every distinct feature vector of all candidates (column ``found``)."""
     vectors = found.select(F.explode("found").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    counts = vectors.agg(F.count("*").alias("n"), F.count_if("c.valid").alias("g"))
+    counts = vectors.agg(F.count("c.label").alias("n"), F.count_if("c.label").alias("g"))
     return Trees([(tuple(r[f] for f in FEATURES), r["n"], r["g"]) for r in counts.collect()], **options)
 
 
 def select(found: Column, trees: Trees) -> Column:
     """The base spans and the selected others of an array of candidates, by kind, then start.
 
-    A candidate of an added kind that passes its own check is selected whatever the score: the thresholds are of the whole
-    corpus, and one source of look-alikes must not hide what the other documents hold.
+    A candidate of an added kind whose check proves is selected whatever the score if it passes: the thresholds are of the
+    whole corpus, and one source of look-alikes must not hide what the other documents hold. Kinds labelled by evidence are
+    selected by score alone once there is evidence to learn from.
     """
     base = F.filter(found, lambda c: (c["kind"] < BASE) & c["valid"])
+    scored = [NAMES.index(name) for name in EVIDENCE if NAMES.index(name) in trees.learned]
 
     def with_base(held):
         free = lambda c: ~F.exists(held, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        passing = lambda c: (c["kind"] >= BASE) & c["valid"]
+        passing = lambda c: (c["kind"] >= BASE) & c["valid"] & ~c["kind"].isin(scored)
         added = F.filter(found, lambda c: ~((c["kind"] < BASE) & c["valid"]) & (passing(c) | trees.selects(c)) & free(c))
         plain = lambda kept, is_base: F.transform(
             kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(is_base).alias("base"))
