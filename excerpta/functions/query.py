@@ -43,8 +43,12 @@ def checked_query(query):
 
 def _fold_word(word):
     """Index words inside one query word; an underscore separates, so this may be several."""
-    table = str.maketrans(tx.ACCENTED + tx.FOLD_FROM, tx.PLAIN + tx.FOLD_TO, tx.SKIPPED_MARKS)
-    folded = word.lower().translate(table)
+    table = str.maketrans(tx.ACCENTED + tx.FOLD_FROM + tx.SEPARATORS, tx.PLAIN + tx.FOLD_TO + " " * len(tx.SEPARATORS), tx.SKIPPED_MARKS)
+    lowered = word.lower()
+    if any(char.isupper() and ord(char) > 0x24F for char in word):  # capitals that the index does not know keep their case
+        later = tx.code_ranges(tx.LATER_CAPITALS)
+        lowered = "".join(c if any(a <= ord(c) <= b for a, b in later) else c.lower() for c in word)
+    folded = lowered.translate(table)
     kept = (c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Co", "Cn") else " " for c in folded)
     return "".join(kept).split()
 

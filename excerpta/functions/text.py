@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 from operator import and_, or_
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -20,8 +21,15 @@ SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 LINE_BREAK = r"[\x{0a}-\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 RARE_BREAKS = "\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 HEADING = rf"^(#{{1,6}})[{SPACE}]+(.+?)[{SPACE}]*$"
-# Token characters of the full-text index: letters, numbers, private use, unassigned.
+# The full-text index knows the characters of this Unicode version; its token characters are letters, numbers, private use
+# and whatever was not assigned then.
+INDEX_UNICODE = "6.1"
 TOKEN = r"\p{L}\p{N}\p{Co}\p{Cn}"
+# As Unicode sets: later symbols and marks, and letters that became marks (token characters); capitals without lower case then.
+LATER_SYMBOLS = f"[[[:^L:]&[:^N:]&[:^Cn:]&[:^age={INDEX_UNICODE}:]][\\u1885\\u1886]]"
+LATER_CAPITALS = f"[[[:Lu:]&[:^age={INDEX_UNICODE}:]][[:Lu:]&[:Cherokee:]]]"
+# Separators of the index that are letters or unassigned today: vowel signs that became letters, and noncharacters.
+SEPARATORS = "".join(map(chr, (*range(0x19B0, 0x19C1), 0x19C8, 0x19C9, 0x1CF2, 0x1CF3, 0xFFFE, 0xFFFF)))
 # Case folds beyond simple lower-casing.
 FOLD_FROM = "µſςϐϑϕϖϰϱϵẛι"
 FOLD_TO = "μsσβθφπκρεsι"
@@ -48,6 +56,25 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, PLAIN = _accent_table()
 
 
+@cache
+def code_ranges(unicode_set: str) -> tuple[tuple[int, int], ...]:
+    """Code point ranges of a Unicode set."""
+    found = SparkContext.getOrCreate()._jvm.com.ibm.icu.text.UnicodeSet(unicode_set)
+    return tuple((found.getRangeStart(i), found.getRangeEnd(i)) for i in range(found.getRangeCount()))
+
+
+def _class_of(unicode_set: str) -> str:
+    """The same as a regex class that ends at once for all characters below its first."""
+    ranges = code_ranges(unicode_set)
+    body = "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in ranges)
+    return rf"[[^\x{{0}}-\x{{{ranges[0][0] - 1:x}}}]&&[{body}]]"
+
+
+def token_class() -> str:
+    """Body of the regex class of token characters."""
+    return TOKEN + _class_of(LATER_SYMBOLS)
+
+
 def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -93,20 +120,26 @@ def visible_chars(text) -> Column:
 
 
 def fold(text) -> Column:
-    """Case-folded text without diacritics; the table lookup only runs on non-ASCII rows."""
+    """Case-folded text without diacritics; the table lookup only runs on non-ASCII rows.
+
+    Capitals that the index does not know keep their case.
+    """
     text = _col(text)
-    lowered = F.lower(text)
-    table = F.translate(lowered, ACCENTED + FOLD_FROM + SKIPPED_MARKS, PLAIN + FOLD_TO)
-    return F.when(text.rlike(r"[^\x00-\x7f]"), table).otherwise(lowered)
+    capital = _class_of(LATER_CAPITALS)
+    parts = F.split(text, rf"(?={capital})|(?<={capital})")
+    kept = F.array_join(F.transform(parts, lambda part: F.when(part.rlike(rf"^{capital}"), part).otherwise(F.lower(part))), "")
+    lowered = F.when(text.rlike(capital), kept).otherwise(F.lower(text))
+    table = F.translate(lowered, ACCENTED + FOLD_FROM + SEPARATORS + SKIPPED_MARKS, PLAIN + FOLD_TO + " " * len(SEPARATORS))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), table).otherwise(F.lower(text))
 
 
 def index_tokens(text) -> Column:
     """Words of the full-text index, in order."""
-    return F.regexp_extract_all(fold(text), F.lit(f"[{TOKEN}]+"), F.lit(0))
+    return F.regexp_extract_all(fold(text), F.lit(f"[{token_class()}]+"), F.lit(0))
 
 
 def count_tokens(folded: Column) -> Column:
-    return F.regexp_count(folded, F.lit(f"[{TOKEN}]+")).cast("long")
+    return F.regexp_count(folded, F.lit(f"[{token_class()}]+")).cast("long")
 
 
 def count_phrase(folded: Column, words) -> Column:
@@ -115,8 +148,9 @@ def count_phrase(folded: Column, words) -> Column:
     A plain substring test on every word comes first; only rows that pass it pay for the regex.
     """
     first, *rest = words
-    follow = "".join(rf"[^{TOKEN}]+{word}" for word in rest)
-    counted = F.regexp_count(folded, F.lit(rf"(?<![{TOKEN}]){first}(?={follow}(?![{TOKEN}]))"))
+    token = token_class()
+    follow = "".join(rf"(?:(?![{token}])(?s:.))+{word}" for word in rest)
+    counted = F.regexp_count(folded, F.lit(rf"(?<![{token}]){first}(?={follow}(?![{token}]))"))
     present = reduce(and_, (folded.contains(word) for word in words))
     return F.when(present, counted).otherwise(0).cast("long")
 

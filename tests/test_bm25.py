@@ -2,6 +2,7 @@
 
 import sqlite3
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,36 @@ def test_documents_of_the_driver_equal_fts5(spark, sf):
         assert all(got[k] == pytest.approx(want[k], abs=1e-10) for k in want)
 
 
+def test_every_code_point_is_split_and_folded_as_by_fts5(spark):
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{chr(c)}b" for c in codes]
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table f using fts5(t, tokenize='unicode61')")
+    con.execute("create virtual table v using fts5vocab(f, 'instance')")
+    con.executemany("insert into f(rowid, t) values (?, ?)", zip(codes, texts))
+    want = {}
+    for code, term in con.execute("select doc, term from v order by doc, offset"):
+        want.setdefault(code, []).append(term)
+    made = spark.createDataFrame(pd.DataFrame({"code": codes, "t": texts})).repartition(8)
+    got = made.select("code", F.array_join(tx.index_tokens("t"), "\0").alias("w"), tx.count_tokens(tx.fold("t")).alias("n")).toPandas()
+    wrong = [(hex(c), want[c], w, n) for c, w, n in zip(got["code"], got["w"], got["n"]) if w.split("\0") != want[c] or n != len(want[c])]
+    assert wrong == []
+
+
+# A vowel sign that became a letter, symbols and capitals of later Unicode versions, a byte order mark, a final sigma.
+SCRIPTS = ["tha \u19b3 i", "ab\U0001f9ea cd", "\u13a0\u13a1 \ua7aex", "one\ufefftwo", "ΟΔΟΣ ab", "\u13a1ΟΔΟΣ\u13a0 Ab"]
+
+
+@pytest.mark.parametrize("query", ["\u13a0\u13a1", "ab", "i", "two", "οδοσ", "\ua7aeX", "\u13a1οδος\u13a0", "one-two-1"])
+def test_scripts_of_later_unicode_versions_equal_fts5(spark, query):
+    rows = [*enumerate(SCRIPTS), (50, "one\u20bdtwo 1"), (51, "one\u20b9two 1")]
+    corpus = spark.createDataFrame(rows, "id long, t string")
+    got = {r["id"]: r["score"] for r in bm25.score_scan(corpus, query, key="id", text="t").collect()}
+    want = fts(rows, query)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
 def test_group_statistics_are_separate(spark):
     rows = [("x", *r) for r in ROWS] + [("y", i, t) for i, t in ROWS if i < 3]
     corpus = spark.createDataFrame(rows, "lib string, id long, t string")
