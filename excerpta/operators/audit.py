@@ -15,10 +15,10 @@ def count_rows(name, frame) -> DataFrame:
     return frame.agg(F.count("*").cast("long").alias("violations")).select(F.lit(name).alias("check"), "violations")
 
 
-def _sum_up(frame: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """All row rules of one table in a single pass, turned into one row per rule."""
-    counted = frame.agg(*(F.count_if(F.coalesce(bad, F.lit(True))).alias(name) for name, bad in rules.items()))
-    return counted.unpivot([], list(rules), "check", "violations")
+def _sum_up(frame: DataFrame, rules: dict[str, Column], *keys: str) -> DataFrame:
+    """All row rules of one table in a single pass, turned into one row per rule (and ``keys``)."""
+    counted = frame.groupBy(*keys).agg(*(F.count_if(F.coalesce(bad, F.lit(True))).alias(name) for name, bad in rules.items()))
+    return counted.unpivot(list(keys), list(rules), "check", "violations")
 
 
 def _union(frames) -> DataFrame:
@@ -29,7 +29,7 @@ def _has_id(column, pattern) -> Column:
     return F.coalesce(F.col(column), F.lit("")).rlike(identity.ID_PATTERNS[pattern])
 
 
-def chunk_rules(chunks: DataFrame, assets: DataFrame, documents: DataFrame) -> DataFrame:
+def chunk_rules(chunks: DataFrame, assets: DataFrame, documents: DataFrame, *keys: str) -> DataFrame:
     """Row rules of chunks: owner, ordinal, size, anchors, derived label and derived id.
 
     Everything that needs the text is decided where the row lies; only flags and anchors are
@@ -89,10 +89,11 @@ def chunk_rules(chunks: DataFrame, assets: DataFrame, documents: DataFrame) -> D
             "chunk_id_forged": ~F.col("_id_ok"),
             "chunk_promoted": F.col("_promoted"),
         },
+        *keys,
     )
 
 
-def document_rules(documents: DataFrame) -> DataFrame:
+def document_rules(documents: DataFrame, *keys: str) -> DataFrame:
     material = F.when(F.col("media_type") == "text/markdown", "markdown").when(
         F.col("media_type") == "application/pdf", "pdf"
     )
@@ -107,6 +108,7 @@ def document_rules(documents: DataFrame) -> DataFrame:
             "document_topics_invalid": F.col("topics").isNull() | F.exists("topics", lambda t: t.isNull()),
             "document_promoted": F.col("fulltext_verified") | F.col("formula_verified"),
         },
+        *keys,
     )
 
 
@@ -208,6 +210,40 @@ def audit(documents: DataFrame, assets: DataFrame, chunks: DataFrame, *more: Dat
     return _union([*rules(documents, assets, chunks), *more])
 
 
+def version_rules(catalog: DataFrame, members: DataFrame, documents: DataFrame, assets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Violations of every snapshot of a catalog, ``(snapshot_id, check, violations)``, whatever their number in one pass.
+
+    ``catalog`` has snapshot_id, documents, chunks (the counts it states), ``members`` snapshot_id, document_id. Rows are
+    audited once, by document; snapshots that share a document share its faults, so only the few faulty documents and three
+    numbers of each other one meet the member lists. A snapshot without a violation has the one row ``sound``, 0; members
+    of snapshots outside the catalog do not count. A repeated member counts each time.
+    """
+    faults = _union([chunk_rules(chunks, assets, documents, "document_id"), document_rules(documents, "document_id")])
+    by_rows = members.join(faults.filter("violations > 0"), "document_id").groupBy("snapshot_id", "check")
+    rows = documents.groupBy("document_id").agg(F.count("*").alias("_rows"))
+    sizes = chunks.groupBy("document_id").agg(F.count("*").alias("_chunks"))
+    held = members.join(rows, "document_id", "left").join(sizes, "document_id", "left")
+    bound = {
+        "member_without_document": F.col("_rows").isNull(),
+        "document_repeated": F.coalesce("_rows", F.lit(0)) > 1,
+        "document_without_chunk": F.col("_rows").isNotNull() & F.col("_chunks").isNull(),
+    }
+    totals = held.groupBy("snapshot_id").agg(F.count("*").alias("_documents"), F.sum(F.coalesce("_chunks", F.lit(0))).alias("_chunks"))
+    counted = catalog.join(totals, "snapshot_id", "left").fillna(0, ["_documents", "_chunks"])
+    stated = {
+        "documents": ~F.col("documents").eqNullSafe(F.col("_documents")),
+        "chunks": ~F.col("chunks").eqNullSafe(F.col("_chunks")),
+    }
+    found = _union([
+        by_rows.agg(F.sum("violations").alias("violations")),
+        _sum_up(held, bound, "snapshot_id"),
+        _sum_up(counted, stated, "snapshot_id"),
+    ]).filter("violations > 0")
+    return catalog.select("snapshot_id").join(found, "snapshot_id", "left").select(
+        "snapshot_id", F.coalesce("check", F.lit("sound")).alias("check"), F.coalesce("violations", F.lit(0)).cast("long").alias("violations")
+    )
+
+
 def content_fingerprint(table: DataFrame) -> DataFrame:
     """Order-independent identity of a table: row count and the sum of the rows' SHA-256 prefixes.
 

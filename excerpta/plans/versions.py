@@ -222,8 +222,8 @@ def audit_sound(spark, sf):
     return audit.audit(documents, assets, chunks.drop("doc_id"))
 
 
-def audit_violations(spark, sf):
-    """The audit over tables with faults injected into every labelled document."""
+def _faulty_tables(spark, sf):
+    """Tables with faults injected into every labelled document."""
     documents, assets, chunks = _tables(spark, sf)
     labels = io.table(spark, sf, "labels")
     joined = chunks.join(labels, "doc_id", "left")
@@ -239,7 +239,31 @@ def audit_violations(spark, sf):
         "pdf_page_end", "source_line_start", "source_line_end", "anchor_label", "fulltext_verified",
         F.when(toxic, True).otherwise(F.col("formula_verified")).alias("formula_verified"),
     )
-    return audit.audit(documents, assets, faulty)
+    return documents, assets, faulty
+
+
+def audit_violations(spark, sf):
+    """The audit over tables with faults injected into every labelled document."""
+    return audit.audit(*_faulty_tables(spark, sf))
+
+
+def audit_all_versions(spark, sf):
+    """The audit of several snapshots over the same faulty tables: one per language, one of the documents without a label
+    (sound), and one of everything, in whose members those of bad and toxic documents are repeated under unknown ids."""
+    documents, assets, faulty = _faulty_tables(spark, sf)
+    named = documents.select("document_id", F.regexp_extract("source_name", r"^doc-(.*)\.md$", 1).cast("long").alias("doc_id"))
+    known = named.join(io.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").join(io.table(spark, sf, "labels"), "doc_id", "left")
+    lost = (F.col("quality") == 0) & (F.col("toxic") == 1)
+    names = F.array_compact(F.array(
+        F.struct(F.concat(F.lit("language "), F.coalesce("lang", F.lit("none"))).alias("snapshot_id"), "document_id"),
+        F.when(F.col("quality").isNull(), F.struct(F.lit("unlabelled").alias("snapshot_id"), "document_id")),
+        F.struct(F.lit("whole").alias("snapshot_id"), "document_id"),
+        F.when(lost, F.struct(F.lit("whole").alias("snapshot_id"), F.concat(F.lit("lost-"), "doc_id").alias("document_id"))),
+    ))
+    members_ = settle(known.select(F.inline(names)), "version-members")
+    sizes = faulty.groupBy("document_id").agg(F.count("*").alias("n"))
+    catalog = members_.join(sizes, "document_id").groupBy("snapshot_id").agg(F.count("*").alias("documents"), F.sum("n").alias("chunks"))
+    return audit.version_rules(settle(catalog, "version-catalog"), members_, documents, assets, faulty)
 
 
 def audit_objects(spark, sf):
@@ -347,6 +371,7 @@ QUERIES = {
     "object_missing": object_missing,
     "audit_sound": audit_sound,
     "audit_violations": audit_violations,
+    "audit_all_versions": audit_all_versions,
 }
 
 _ID = "'doc_' || substr(sha256(source_name || chr(0) || sha256(content_text)), 1, 24)"
@@ -509,12 +534,27 @@ SELECT name AS "check", ({value})::BIGINT AS violations FROM (VALUES {rows}) v(n
 
 
 ORACLES["audit_sound"] = _audit_sql({})
-ORACLES["audit_violations"] = _audit_sql(
-    {
-        "chunk_ordinal_gap": "count(*) FILTER (toxic = 1)",
-        "chunk_blank": "count(*) FILTER (quality = 0 AND toxic = 0)",
-        "chunk_anchor_range": "count(*) FILTER (quality = 1 AND toxic = 0 AND ordinal = 1)",
-        "chunk_id_forged": "count(*) FILTER (toxic = 1 OR (quality = 0 AND toxic = 0 AND chunk_text <> ' '))",
-        "chunk_promoted": "count(*) FILTER (toxic = 1)",
-    }
-)
+_INJECTED = {
+    "chunk_ordinal_gap": "count(*) FILTER (toxic = 1)",
+    "chunk_blank": "count(*) FILTER (quality = 0 AND toxic = 0)",
+    "chunk_anchor_range": "count(*) FILTER (quality = 1 AND toxic = 0 AND ordinal = 1)",
+    "chunk_id_forged": "count(*) FILTER (toxic = 1 OR (quality = 0 AND toxic = 0 AND chunk_text <> ' '))",
+    "chunk_promoted": "count(*) FILTER (toxic = 1)",
+}
+ORACLES["audit_violations"] = _audit_sql(_INJECTED)
+ORACLES["audit_all_versions"] = f"""WITH {CHUNKS},
+faulty AS (SELECT c.*, l.quality, l.toxic FROM chunks c LEFT JOIN labels l USING (doc_id)),
+known AS (SELECT ids.doc_id, ids.lang, l.quality, l.toxic FROM ids LEFT JOIN labels l USING (doc_id)),
+versions AS (
+  SELECT 'language ' || coalesce(lang, 'none') AS snapshot_id, doc_id FROM known
+  UNION ALL SELECT 'unlabelled', doc_id FROM known WHERE quality IS NULL
+  UNION ALL SELECT 'whole', doc_id FROM known),
+found AS (
+  SELECT snapshot_id, u."check", u.violations FROM (
+    SELECT snapshot_id, [{", ".join(f"{{'check': '{name}', 'violations': {expr}}}" for name, expr in _INJECTED.items())}] AS rules
+    FROM versions JOIN faulty USING (doc_id) GROUP BY snapshot_id) t, unnest(t.rules) AS x(u)
+  UNION ALL SELECT 'whole', 'member_without_document', count(*) FROM known WHERE quality = 0 AND toxic = 1
+  UNION ALL SELECT 'whole', 'documents', 1 WHERE EXISTS (FROM known WHERE quality = 0 AND toxic = 1))
+SELECT v.snapshot_id, coalesce("check", 'sound') AS "check", coalesce(violations, 0)::BIGINT AS violations
+FROM (SELECT DISTINCT snapshot_id FROM versions) v
+LEFT JOIN (FROM found WHERE violations > 0) f ON v.snapshot_id = f.snapshot_id"""

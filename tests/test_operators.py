@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from excerpta.functions import classify, identity, text as tx, vectors as vec
 from excerpta.operators import audit, chunking, evaluate, members, navigation, objects, rerank, vectors
+from excerpta.plans import versions
 from excerpta.schemas import asset_rows, chunk_rows, document_rows
 from excerpta.sources import metrics, uploads
 from excerpta.streaming import connection
@@ -371,3 +372,29 @@ def test_refused_queries_keep_a_status(spark):
     assert [r[1] for r in frame.select("i", q.query_status("t")).orderBy("i").collect()] == [
         "asked", "refused", "refused", "empty", "refused", "refused",
     ]
+
+
+def test_all_versions_are_audited_in_one_pass(spark, sf):
+    documents, assets, chunks = versions._tables(spark, sf)
+    first, second, *_ = [r["document_id"] for r in documents.select("document_id").orderBy("document_id").collect()]
+    sizes = {r["document_id"]: r["count"] for r in chunks.groupBy("document_id").count().collect()}
+    catalog = [("good", 2, sizes[first] + sizes[second]), ("torn", 2, sizes[first]), ("empty", 0, 0), ("gone", 1, 1), ("late", 1, sizes[second])]
+    held = [("good", first), ("good", second), ("torn", first), ("torn", "doc_unknown"), ("late", second), ("unlisted", "doc_unknown")]
+    members_ = spark.createDataFrame(held, "snapshot_id string, document_id string")
+    listed = spark.createDataFrame(catalog, "snapshot_id string, documents long, chunks long")
+    blank = F.when(F.col("document_id") == second, " ").otherwise(F.col("chunk_text"))
+
+    def found(chunks, documents=documents, assets=assets):
+        rows = audit.version_rules(listed, members_, documents, assets, chunks).collect()
+        return {(r["snapshot_id"], r["check"]): r["violations"] for r in rows}
+
+    sound = {(name, "sound"): 0 for name in ("good", "empty", "late")}
+    faults = {("torn", "member_without_document"): 1, ("gone", "documents"): 1, ("gone", "chunks"): 1}
+    assert found(chunks) == sound | faults
+    n = sizes[second]
+    shared = {(name, check): n for name in ("good", "late") for check in ("chunk_blank", "chunk_id_forged")}
+    assert found(chunks.withColumn("chunk_text", blank)) == {("empty", "sound"): 0} | faults | shared
+    twice = found(chunks, documents.unionByName(documents.filter(F.col("document_id") == first)))
+    assert twice[("good", "document_repeated")] == 1 and twice[("late", "sound")] == 0
+    bare = found(chunks.limit(0), documents.limit(0), assets.limit(0))
+    assert bare[("good", "member_without_document")] == 2 and bare[("good", "chunks")] == 1 and bare[("empty", "sound")] == 0
