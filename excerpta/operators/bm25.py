@@ -20,6 +20,7 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 MAX_TOP_K = 10
+WORDS_PER_TASK = 1 << 19
 # ----------------------------------------------------------------------------------------------
 
 
@@ -123,11 +124,25 @@ def corpus_stats(lens: DataFrame, *, groups=()) -> DataFrame:
     return lens.groupBy(*groups).agg(F.count("*").alias("rows"), F.sum("length").alias("tokens"))
 
 
+def tasks_for(rows: DataFrame, words: int) -> int:
+    """Tasks over which ``words`` word occurrences of ``rows`` are dealt: as many as cores, and more as the words grow, so
+    that what one task holds does not."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-words // WORDS_PER_TASK))
+
+
+def deal(rows: DataFrame, tasks: int, *, key: str, groups=()) -> DataFrame:
+    """``rows``, texts or postings, with all of one key in one task: what is counted per key then needs no more shuffles."""
+    return rows.repartition(tasks, *groups, key)
+
+
 def score_postings(
     posts: DataFrame, stats: DataFrame, words: DataFrame, *, key: str, query_id: str = "query_id", groups=()
 ) -> DataFrame:
     """Score a whole table of queries: ``groups + [query_id, key, score]``.
 
+    Postings that are dealt by key (``deal``) are counted, voted and summed where they lie; others meet by row first, and
+    what their tasks hold before that grows with the tasks' files.
+
     ``words`` comes from ``query_words``. Single words are counted per row and term before they meet
     the queries, so a word many queries share is counted once. In a phrase, a posting that could be
     word ``offset`` votes for the start ``position - offset``; a start with all its words is an

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from excerpta.functions import query as q, text as tx
 from excerpta.operators import bm25, chunking
 from excerpta.plans import inputs as io
+from excerpta.session import settle
 
 OR_QUERY = "Where is the attion, eriner and thanedble?"
 MIXED_QUERY = "attion oument einlich erkeit cionll"
@@ -94,10 +95,12 @@ def batch(spark, sf):
     queries = io.table(spark, sf, "benchmark").select("item_id", "text")
     words = q.query_words(queries, "item_id", "text")
     docs = io.texts(spark, sf)
-    lens = bm25.lengths(docs, key="doc_id", text="text")
+    stats = settle(bm25.corpus_stats(bm25.lengths(docs, key="doc_id", text="text")), "stats")
+    # The number of tasks follows the number of words, which the statistics have.
+    tasks = bm25.tasks_for(docs, stats.first()["tokens"] or 0)
+    dealt = bm25.deal(io.table(spark, sf, "documents").select("doc_id", "text"), tasks, key="doc_id")
     scored = bm25.score_postings(
-        bm25.postings(docs, key="doc_id", text="text"), bm25.corpus_stats(lens), words,
-        key="doc_id", query_id="item_id",
+        bm25.postings(dealt, key="doc_id", text="text"), stats, words, key="doc_id", query_id="item_id"
     )
     scored = scored.withColumn("score", F.round("score", 9))
     top = bm25.top_k(scored, 5, key="doc_id", groups=["item_id"])

@@ -1,13 +1,17 @@
 """BM25 against SQLite's own FTS5 index, and the stated query rules."""
 
+import re
 import sqlite3
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from excerpta.functions import query as q, text as tx
 from excerpta.operators import bm25
+from excerpta.plans import operations, semantic
+from excerpta.session import settle
 
 ROWS = [
     (1, "Shannon entropy quantifies uncertainty in a probability distribution. entropy entropy"),
@@ -180,3 +184,28 @@ def test_vocabulary_equals_fts5(spark):
     frame = spark.createDataFrame(rows, "id long, t string").select("id", tx.index_tokens("t").alias("w"))
     got = {r["id"]: r["w"] for r in frame.collect()}
     assert {letters[i]: (got[i], want[i]) for i in got if got[i] != want[i]} == {}
+
+
+@pytest.mark.parametrize("where", ["bm25_query_table", "eval_cases", "eval_metrics", "search_stored", "search_stored_phrase"])
+def test_postings_are_counted_where_their_documents_are_dealt(spark, sf, monkeypatch, where):
+    """No count, vote or sum of a document meets before a shuffle: what a task holds follows the number of tasks, not files."""
+    plans, dealt = [], []
+    string = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(semantic, "settle", lambda df, name: plans.append(string(df)) or settle(df, name))
+    monkeypatch.setattr(bm25, "WORDS_PER_TASK", 500, raising=False)
+    repartition = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *a: dealt.append(a) or repartition(self, *a))
+    plans.append(string(entry.queries()[where](spark, sf)))
+    assert not [p for p in plans if re.search(r"hashpartitioning\(doc_id#\d+L?, (?:length|term|query_id|item_id)#", p)]
+    most = max(a[0] for a in dealt if a[1:] == ("doc_id",))
+    assert most > 4 or where == "search_stored"
+
+
+def test_stored_postings_are_cut_once_and_by_size(spark, sf, monkeypatch):
+    """Texts are split into words once: no pass looks for ranges and none for lengths."""
+    plans = {}
+    string = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(operations, "settle", lambda df, name: plans.update({name: string(df)}) or settle(df, name))
+    entry.queries()["search_stored"](spark, sf)
+    assert list(plans) == ["postings"]
+    assert "REBALANCE_PARTITIONS_BY_COL" in plans["postings"] and "rangepartitioning" not in plans["postings"]
