@@ -241,6 +241,8 @@ def _judged(spark, sf):
     # One frame of postings, of the words that queries and markers have, serves the scores and the markers' candidates.
     terms = words.select("term").union(items.select(F.explode(tx.index_tokens("text"))).toDF("term")).distinct()
     posts = settle(bm25.postings(docs, key="doc_id", text="text").join(small_side(settle(terms, "terms")), "term", "left_semi"), "postings")
+    # Dealt by document over as many tasks as they fill; counting them reads no column.
+    posts = bm25.deal(posts, bm25.tasks_for(posts, posts.count()), key="doc_id")
     stats = bm25.corpus_stats(bm25.lengths(docs, key="doc_id", text="text"))
     scored = bm25.score_postings(posts, stats, words, key="doc_id", query_id="item_id").withColumn("score", F.round("score", 9))
     top = settle(bm25.top_k(scored, 5, key="doc_id", groups=["item_id"]), "top")
