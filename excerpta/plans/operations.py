@@ -18,17 +18,22 @@ from excerpta.sources import metrics
 
 def _stored(query):
     def run(spark, sf):
-        """Postings are written once, sorted by word; a search reads the row groups of its words and the lengths."""
+        """Postings are written once, sorted by word; a search reads the row groups of its words.
+
+        Words are dealt by hash and their partitions cut at Spark's advisory size, so a frequent word lies in many files and
+        no pass looks for ranges first. Both statistics are counts of rows: of documents, and of their postings.
+        """
         docs = io.table(spark, sf, "documents").select("doc_id", "text")
         posts = bm25.postings(docs, key="doc_id", text="text")
-        stored = settle(posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
-        stats = bm25.corpus_stats(settle(bm25.lengths(docs, key="doc_id", text="text"), "lengths"))
+        stored = settle(posts.hint("rebalance", F.col("term")).sortWithinPartitions("term"), "postings")
+        stats = spark.createDataFrame([(docs.count(), stored.count())], "rows long, tokens long")
         phrases = q.phrases(query)
         words = spark.createDataFrame(
             [(0, i, offset, len(p), word) for i, p in enumerate(phrases) for offset, word in enumerate(p)],
             "query_id int, phrase int, offset int, words int, term string",
         )
         wanted = stored.filter(F.col("term").isin(sorted({word for phrase in phrases for word in phrase})))
+        wanted = bm25.deal(wanted, bm25.tasks_for(wanted, wanted.count()), key="doc_id")
         scored = bm25.score_postings(wanted, stats, words, key="doc_id").withColumn("score", F.round("score", 9))
         return bm25.top_k(scored, 10, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 

@@ -107,9 +107,9 @@ class EvidenceTools:
         stats = library.spark.createDataFrame(
             [(manifest["stats"]["rows"], manifest["stats"]["tokens"])], "rows bigint, tokens bigint"
         )
-        scored = bm25.score_postings(
-            posts.withColumn("owned", F.struct("chunk_id", "document_id")), stats, words, key="owned"
-        ).select("owned.*", "score")
+        posts = posts.withColumn("owned", F.struct("chunk_id", "document_id"))
+        posts = bm25.deal(posts, bm25.tasks_for(posts, posts.count()), key="owned")
+        scored = bm25.score_postings(posts, stats, words, key="owned").select("owned.*", "score")
         if document_id is not None:
             # After scoring: the statistics stay those of the whole snapshot.
             scored = scored.filter(F.col("document_id") == document_id)
