@@ -230,8 +230,11 @@ def scoped_targets(spark, sf):
     a chunk stands in pieces; its first piece is sought."""
     files = io.prepared(spark, sf)
     last = F.element_at(F.filter(F.transform(tx.split_lines("content_text"), tx.collapse_line), lambda line: line != ""), -1)
-    cases = files.select(F.col("doc_id").alias("case_id"), "document_id", tx.strip(F.substring(last, 1, tx.MAX_CHUNK_CHARS)).alias("marker"))
-    return evaluate.scoped_targets(cases, chunking.explode_chunks(files))
+    marker = tx.strip(F.substring(last, 1, tx.MAX_CHUNK_CHARS)).alias("marker")
+    # Every file is read and cut once, for its case and for its chunks.
+    made = settle(files.select("doc_id", "document_id", "asset_id", "chunks", marker), "scoped")
+    cases = made.select(F.col("doc_id").alias("case_id"), "document_id", "marker")
+    return evaluate.scoped_targets(cases, chunking.explode_chunks(made))
 
 
 def _judged(spark, sf):

@@ -398,3 +398,11 @@ def test_all_versions_are_audited_in_one_pass(spark, sf):
     assert twice[("good", "document_repeated")] == 1 and twice[("late", "sound")] == 0
     bare = found(chunks.limit(0), documents.limit(0), assets.limit(0))
     assert bare[("good", "member_without_document")] == 2 and bare[("good", "chunks")] == 1 and bare[("empty", "sound")] == 0
+
+
+def test_scoped_targets_cut_every_file_once(spark, sf):
+    """Cases and chunks read files that were cut before they meet: no part of the plan cuts them again."""
+    from excerpta.plans import semantic
+
+    plan = semantic.scoped_targets(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
