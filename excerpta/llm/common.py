@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from excerpta.session import settle  # noqa: F401  the operators' way to cut lineage
 
 OUTPUT_ROWS = 4096
+SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,13 @@ def per_worker(key: Hashable, make: Callable):
     return held[key]
 
 
+def slices(it: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: texts become Python strings a slice at a time."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_runs(texts: list, limit: int) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of about ``limit`` characters, one text at least in each."""
     start, size = 0, 0

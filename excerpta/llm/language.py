@@ -23,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from excerpta.llm.common import batches, per_worker, settle, text_runs
+from excerpta.llm.common import batches, per_worker, settle, slices, text_runs
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 SAMPLE = 600
 LABELS = 1000
 TOLERANCE = 0.001
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 16
 UNDETERMINED = "und"
 COUNTED = pa.schema([("label", pa.string()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 PREDICTED = pa.schema([("_lang_pred", pa.string()), ("_score", pa.float64()), ("_rejected", pa.bool_())])
@@ -101,7 +101,7 @@ def bucket_counts(docs: DataFrame, label: str, text: str) -> DataFrame:
 
     def run(it):
         def rows():
-            for batch in it:
+            for batch in slices(it):
                 labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for a, b in text_runs(texts, RUN_CHARS):
                     buckets, owners = windows(texts[a:b], per_worker("letters", letters))
@@ -211,16 +211,17 @@ def predict(docs: DataFrame, model: Model | None, text="text", lang="lang_pred",
                 for best, chance, some, strange in zip(chances.argmax(1), chances.max(1), any_letter, new):
                     yield (own.labels[best], float(chance), bool(strange or chance < own.level)) if some else (UNDETERMINED, 0.0, True)
 
-        for batch in it:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            found = list(zip(*rows(texts)))
-            columns = [pa.array(c, f.type) for c, f in zip(found, PREDICTED)] if found else [pa.array([], f.type) for f in PREDICTED]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], lang, score, rejected])
+        for batch in slices(it):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows(texts)), PREDICTED)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, lang, score, rejected])
 
     kept = [c for c in docs.columns if c not in (lang, score, rejected)]
+    # The text goes to Python once, whether or not it comes back.
+    at = kept.index(text) if text in kept else len(kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     schema = f"{fields}, `{lang}` string, `{score}` double, `{rejected}` boolean".lstrip(", ")
-    return docs.select(*kept, F.col(text).alias("_text_read")).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if text in kept else [F.col(text).alias("_text_read")])).mapInArrow(run, schema)
 
 
 def held_out(key: Column, folds=5) -> Column:

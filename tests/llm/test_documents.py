@@ -5,12 +5,13 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from excerpta.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, pii, queries, token_counts
+from excerpta.llm import bpe, common, exact_dedup, language, licenses, near_dedup, packing, pii, queries, token_counts
 from tests.llm import helpers
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -472,6 +473,18 @@ def test_language_rejects_what_was_never_learned(spark, docs):
         assert stays.agg(F.avg((~F.col("rejected")).cast("double"))).first()[0] >= 0.99
 
 
+def test_language_texts_reach_python_once_and_in_slices(docs):
+    """What a worker holds does not follow the size of Spark's Arrow batches, and no text is sent beside itself."""
+    model = language.train(docs)
+    found = language.predict(docs, model)
+    assert "_text_read" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.select(*docs.columns).exceptAll(docs).isEmpty() and found.count() == docs.count()
+    batch = pa.RecordBatch.from_pydict({"text": [str(k) for k in range(1000)]})
+    parts = list(common.slices([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) <= 256 and [t for p in parts for t in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert language.RUN_CHARS <= 1 << 16
+
+
 def test_near_dedup_of_rows_that_share_an_id(spark):
     a, b, c = (" ".join(f"{name}{n}" for n in range(60)) for name in "abc")
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, c), (8, c + " z"), (9, c), (None, a), (5, None), (5, "")]
