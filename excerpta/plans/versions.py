@@ -299,7 +299,7 @@ def pipeline_change(spark, sf):
 
     The store holds all layers of today's steps, and those of an earlier run of the revised chunker over toxic documents.
     """
-    made = settle(io.prepared(spark, sf), "prepared")
+    made = settle(io.prepared(spark, sf).drop("lang", "source", "import_status"), "prepared")
     before = made.join(io.table(spark, sf, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     payloads = [
         objects.object_payloads(rows, "media_type", steps=CHANGED[name]).withColumn("steps", F.lit(name))
