@@ -12,6 +12,8 @@ from excerpta.session import settle  # noqa: F401  the operators' way to cut lin
 
 OUTPUT_ROWS = 4096
 SLICE_ROWS = 256
+ARROW_BYTES = 1 << 20
+ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,19 @@ def per_worker(key: Hashable, make: Callable):
     return held[key]
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches to Python hold about ``ARROW_BYTES``, or one row that is longer.
+
+    Spark's own bound is 10 000 rows, so that a batch of texts or shingle sets grows with their length, and executor and
+    worker each hold it more than once. Spark reads the setting when a job starts, so it stays set; a session's own limit
+    is kept.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_LIMIT, None) is None:
+        conf.set(ARROW_LIMIT, str(ARROW_BYTES))
+    return df
+
+
 def slices(it: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``: texts become Python strings a slice at a time."""
     for batch in it:

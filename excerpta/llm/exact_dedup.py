@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from excerpta.llm.common import batches
+from excerpta.llm.common import batches, in_small_batches
 
 COMBINE_BYTES = 24 << 20
 BUCKET_BYTES = 64 << 20
@@ -152,7 +152,7 @@ def content_groups(docs: DataFrame, key="doc_id", text="text", combine_bytes=COM
         return batches(((d.hex(), k, n) for d, _, k, n in grace(records, bucket_bytes)), GROUPS)
 
     rows = docs.select(F.col(key).cast("long").alias("low"), normal_text(F.col(text)).alias("content"))
-    folded = rows.mapInArrow(fold, "bucket long, digest binary, content string, low long, rows long")
+    folded = in_small_batches(rows).mapInArrow(fold, "bucket long, digest binary, content string, low long, rows long")
     return folded.repartition("bucket").drop("bucket").mapInArrow(meet, "text_sha256 string, keep_id long, group_size long")
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from excerpta.llm.common import batches, per_worker, settle, slices, text_runs
+from excerpta.llm.common import batches, in_small_batches, per_worker, settle, slices, text_runs
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -111,7 +111,7 @@ def bucket_counts(docs: DataFrame, label: str, text: str) -> DataFrame:
 
         return batches(rows(), COUNTED, 64)
 
-    return docs.select(F.col(label), F.col(text)).mapInArrow(run, "label string, buckets array<int>, counts array<int>")
+    return in_small_batches(docs.select(F.col(label), F.col(text))).mapInArrow(run, "label string, buckets array<int>, counts array<int>")
 
 
 def fit(rows: list[tuple], epochs=6, rate=0.5, seed=7, tolerance=TOLERANCE) -> Model | None:
@@ -221,7 +221,8 @@ def predict(docs: DataFrame, model: Model | None, text="text", lang="lang_pred",
     at = kept.index(text) if text in kept else len(kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     schema = f"{fields}, `{lang}` string, `{score}` double, `{rejected}` boolean".lstrip(", ")
-    return docs.select(*kept, *([] if text in kept else [F.col(text).alias("_text_read")])).mapInArrow(run, schema)
+    rows = docs.select(*kept, *([] if text in kept else [F.col(text).alias("_text_read")]))
+    return in_small_batches(rows).mapInArrow(run, schema)
 
 
 def held_out(key: Column, folds=5) -> Column:

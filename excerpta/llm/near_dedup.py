@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from excerpta.llm.common import batches, settle
+from excerpta.llm.common import batches, in_small_batches, settle
 
 SYMBOLS = 64
 CHUNKS = 13
@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, width: int, key="doc_id", text="text") -> DataFram
         return batches(rows(), SKETCHED, 1024)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary, parity binary")
+    return in_small_batches(rows).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary, parity binary")
 
 
 def chunk_bounds() -> np.ndarray:
@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key:
         shingler = Shingler(width)
         return batches(((r, shingler(t.as_py()).tobytes()) for b in it for r, t in zip(b.column(0).to_pylist(), b.column(1))), SETS, 256)
 
-    sets = settle(rows.mapInArrow(read, "rep long, shingles binary").dropDuplicates(["rep"]), "near-sets")
+    sets = settle(in_small_batches(rows).mapInArrow(read, "rep long, shingles binary").dropDuplicates(["rep"]), "near-sets")
 
     def compare(it):
         for batch in it:

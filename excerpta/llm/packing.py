@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from excerpta.llm.common import batches, per_worker, settle
+from excerpta.llm.common import batches, in_small_batches, per_worker, settle
 
 CAPACITY = 2048
 # The split pattern of byte-level BPE: a fixed value of the tokenizer's format.
@@ -84,7 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity=CAPACITY, end_id=0, k
         return batches(rows(), PIECES)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece long, start long, length long, ids_crc32 long")
+    return in_small_batches(rows).mapInArrow(cut, "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
 class Plan:

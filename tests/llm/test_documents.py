@@ -512,3 +512,38 @@ def test_licenses_are_named_by_their_whole_wording():
     notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     assert found(notice.format(2)) == {"gpl-2.0"} and found(notice.format(3)) == {"gpl-3.0"}
     assert found("SPDX-License-Identifier: BSD-3-Clause") == {"bsd-3-clause"}
+
+
+@pytest.mark.parametrize("operator", ["content_groups", "sketches", "bucket_counts", "predict", "token_pieces"])
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark, operator):
+    long = "many words of one long text " * 4_000  # 112 000 bytes
+    rows = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit(long), "id").alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    model = language.Model(["en"], None, 1.0, 0.0, 0.0, None, 0.0)
+    run = {
+        "content_groups": lambda: exact_dedup.content_groups(rows),
+        "sketches": lambda: near_dedup.sketches(rows, 5),
+        "bucket_counts": lambda: language.bucket_counts(rows, "lang", "text"),
+        "predict": lambda: language.predict(rows, model),
+        "token_pieces": lambda: packing.token_pieces(rows, BYTES),
+    }
+    run[operator]()
+
+    def sizes(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    found = rows.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in found) == 60 and max(r.bytes for r in found) < 1_500_000
+
+
+def test_a_limit_of_the_session_on_batches_stays(spark):
+    setting, held = common.ARROW_LIMIT, spark.conf.get(common.ARROW_LIMIT, None)
+    spark.conf.set(setting, "5000")
+    try:
+        common.in_small_batches(spark.range(1))
+        assert spark.conf.get(setting) == "5000"
+    finally:
+        spark.conf.unset(setting)
+        if held:
+            spark.conf.set(setting, held)
