@@ -77,9 +77,11 @@ def chunk_starts(levels, sizes, solo, pages):
     """Positions where a chunk starts, each with the positions of the headings in force there.
 
     A chunk starts at a heading, at a solo line and after one, on a new page, and where one more line would exceed the
-    limit. One pass over small integers; the texts stay where they are.
+    limit. One pass over small integers; the texts stay where they are. A null text has no lines and no chunks.
     """
     out, path, size, page = [], [], -1, None
+    if levels is None:
+        return out
     for at, (level, chars, alone, own) in enumerate(zip(levels, sizes, solo, pages)):
         if level:
             path = path[: level - 1] + [at]

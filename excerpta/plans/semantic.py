@@ -227,9 +227,10 @@ def marker_targets(spark, sf):
 
 def scoped_targets(spark, sf):
     """Marker chunks inside known documents: the last line of every file, sought in its own chunks. A line longer than
-    a chunk stands in pieces; its first piece is sought."""
+    a chunk stands in pieces; its first piece is sought. A file without a line has no marker and no target."""
     files = io.prepared(spark, sf)
-    last = F.element_at(F.filter(F.transform(tx.split_lines("content_text"), tx.collapse_line), lambda line: line != ""), -1)
+    lines = F.filter(F.transform(tx.split_lines("content_text"), tx.collapse_line), lambda line: line != "")
+    last = F.try_element_at(lines, F.lit(-1))
     marker = tx.strip(F.substring(last, 1, tx.MAX_CHUNK_CHARS)).alias("marker")
     # Every file is read and cut once, for its case and for its chunks.
     made = settle(files.select("doc_id", "document_id", "asset_id", "chunks", marker), "scoped")

@@ -3,6 +3,7 @@
 import random
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,3 +407,18 @@ def test_scoped_targets_cut_every_file_once(spark, sf):
 
     plan = semantic.scoped_targets(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_scoped_targets_pass_over_files_without_a_line(spark, tmp_path):
+    """Files without text or of blank lines alone have no marker; the others keep their targets, as the SQL has them."""
+    from excerpta.plans import semantic
+
+    last = "This line stands last and is much longer than any heading of a file."
+    texts = ["", None, "\n\n", "\n \t\n\n", f"{last[::-1]}\n{last}\n\n", "word " * 600]
+    rows = [(at, text, "en", "web", 1) for at, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(row) for row in semantic.scoped_targets(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        assert found == set(con.execute(semantic.ORACLES["eval_scoped_targets"]).fetchall())
+    assert {case for case, _ in found} == {4, 5}
